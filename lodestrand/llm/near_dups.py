@@ -5,28 +5,32 @@ region of rank x weight into which hashed darts are thrown; the earliest dart of
 coordinates of two signatures come with the probability of their weighted Jaccard similarity. ``BANDS`` bands of
 ``BAND`` coordinates each give join keys; every candidate pair is then checked exactly on its full texts.
 
-Texts of equal bare text are one class before anything is hashed. Null texts and texts with fewer than ``SHINGLE``
-bare characters have no stretches and no partners. Repeated rows count once. Empty tables give empty results.
+Texts of equal bare text are one class, named by 16 bytes of BLAKE2 over it. Null texts and texts with fewer than
+``SHINGLE`` bare characters have no stretches and no partners. Repeated rows count once. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..runtime import stored
-from . import exact_dups
 from .chars import bare_codes, mix, steps, window_hashes
 
 SHINGLE_LOG2 = 3
 SHINGLE = 1 << SHINGLE_LOG2
 SIMILARITY = 0.6
 BAND, BANDS = 5, 60
+_LABEL_LINE = re.compile(r"^[^:]{1,60}:.*\w|^[\W_]*$")
 _U = np.uint64
 _UNIT = float(2.0**-64)
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -97,20 +101,56 @@ def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[place], owner
 
 
+def text_key(values: np.ndarray) -> bytes:
+    """16 bytes that stand for a run of code points."""
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def _key_rows(batches):
+    """(id, title, text) batches to (id, class, title_key, lines_key): hashes of bare text, bare title and sorted lines."""
+    for batch in batches:
+        ids, titles, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
+        keys, names, lines = [], [], []
+        for a, b in steps([len(t) for t in texts]):
+            low, starts = bare_codes(texts[a:b])
+            keys += [text_key(low[x:y]) if y - x >= SHINGLE else None for x, y in pairwise(starts.tolist())]
+            low, starts = bare_codes(titles[a:b])
+            names += [text_key(low[x:y]) for x, y in pairwise(starts.tolist())]
+            lines += [_lines_key(t) if ":" in t else None for t in texts[a:b]]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(names, pa.binary()), pa.array(lines, pa.binary())], names=["doc_id", "class", "title_key", "lines_key"])
+
+
+def _lines_key(text: str) -> bytes | None:
+    lines = [x for x in text.splitlines() if x]
+    if not all(_LABEL_LINE.search(x) for x in lines):
+        return None
+    low, starts = bare_codes(lines)
+    parts = sorted(low[x:y].tobytes() for x, y in pairwise(starts.tolist()) if y > x)
+    return hashlib.blake2b(b"\n\0\0\0".join(parts), digest_size=16).digest()
+
+
 def _band_rows(batches):
-    """(id, text) batches to (bucket, id) rows, ``BANDS`` for each text that has a stretch."""
+    """(text) batches to (bucket, class), ``BANDS`` rows for each bare text; copies within a task give rows once."""
+    seen: set[bytes] = set()
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(0).to_pylist()
         for a, b in steps([len(t) for t in texts]):
-            h, owner = elements(texts[a:b])
-            sig = signatures(h, owner, b - a, BAND * BANDS)
-            has = np.flatnonzero(sig[:, 0] != _NONE)
-            key = np.zeros((len(has), BANDS), _U)
+            low, starts = bare_codes(texts[a:b])
+            new = []
+            for i, (x, y) in enumerate(pairwise(starts.tolist())):
+                if y - x >= SHINGLE and (key := text_key(low[x:y])) not in seen:
+                    seen.add(key)
+                    new.append((a + i, key))
+            if not new:
+                continue
+            h, owner = elements([texts[i] for i, _ in new])
+            sig = signatures(h, owner, len(new), BAND * BANDS)
+            key = np.zeros((len(new), BANDS), _U)
             for j in range(BAND):
-                key = mix(key * _U(0x9E3779B97F4A7C15) + sig[has][:, j::BAND])
+                key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, j::BAND])
             key = mix(key + np.arange(BANDS, dtype=_U))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[a:b][has], BANDS))], names=["bucket", "id"])
+            owners = pa.array([k for _, k in new], pa.binary()).take(pa.array(np.repeat(np.arange(len(new)), BANDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), owners], names=["bucket", "class"])
 
 
 def jaccard(left: list[str], right: list[str]) -> np.ndarray:
@@ -142,56 +182,65 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(jaccard(left.tolist(), right.tolist()))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class: rows of equal bare text share the smallest of their ids as class."""
-    keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", _bare_key(F.col("text")).alias("key"))
-    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("class"))
-    return keyed.join(reps, "key").select("doc_id", "class")
+def member_table(docs: DataFrame) -> DataFrame:
+    """doc_id, class, record: the class of equal bare text and the group of problem 4 of every row with a stretch.
 
+    One pass hashes all rows, without moving a text; groups of problem 4 form on the hashes: rows of equal bare title
+    and text, or, where one member is made of ``Label: value`` lines, of equal sorted lines. Written to the shared folder.
+    """
+    keyed = docs.filter("text is not null").select("doc_id", "title", "text").mapInArrow(_key_rows, "doc_id long, class binary, title_key binary, lines_key binary")
+    keyed = stored(keyed.filter("class is not null"))
+    labelled = keyed.filter("lines_key is not null").select("title_key", "class", "lines_key").distinct()
+    joined = keyed.select("doc_id", "title_key", "class").join(labelled, ["title_key", "class"], "left")
+    return joined.select("doc_id", "class", F.sha2(F.concat("title_key", F.coalesce("lines_key", "class")), 256).alias("record"))
 
-def _bare_key(text: Column) -> Column:
-    return exact_dups.digest(exact_dups.bare_column(text))
 
+def candidate_pairs(docs: DataFrame) -> DataFrame:
+    """a, b: classes a < b that share a bucket, each pair once.
 
-def class_pairs(docs: DataFrame, reps: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity: all pairs a < b of class representatives at ``threshold`` or above that share a bucket."""
-    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text").join(reps, "id", "left_semi").dropDuplicates(["id"])
-    bands = texts.mapInArrow(_band_rows, "bucket long, id long")
-    left, right = bands.select("bucket", F.col("id").alias("a")), bands.select("bucket", F.col("id").alias("b"))
-    pairs = left.join(right, "bucket").filter("a < b").select("a", "b").distinct()
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    Buckets are reduced to their count, least and greatest class by partial aggregation; one of two rows is its pair.
+    Only rows of larger buckets, which hold true groups of edits, are joined with each other.
+    """
+    bands = stored(docs.filter("text is not null").select("text").mapInArrow(_band_rows, "bucket long, class binary"))
+    buckets = stored(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).filter("n > 1 and a < b"))
+    two = buckets.filter("n = 2").select("a", "b")
+    rows = bands.join(buckets.filter("n > 2").select("bucket"), "bucket").distinct()
+    more = rows.select("bucket", F.col("class").alias("a")).join(rows.select("bucket", F.col("class").alias("b")), "bucket").filter("a < b").select("a", "b")
+    return two.union(more).distinct()
+
+
+def class_pairs(docs: DataFrame, members: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """a, b, similarity: all pairs of classes at ``threshold`` or above that share a bucket, checked on their full texts."""
+    found = stored(candidate_pairs(docs))
+    reps = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    ids = found.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class")
+    texts = stored(docs.filter("text is not null").select("doc_id", "text").join(stored(ids), "doc_id").select("class", "text"))
+    both = found.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     return both.withColumn("similarity", similarity("text_a", "text_b")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def member_table(docs: DataFrame) -> DataFrame:
-    """doc_id, class, keep: the class of equal bare text and the group of problem 4 of every row."""
-    keep = exact_dups.membership(docs).select("doc_id", "keep").dropDuplicates(["doc_id"])
-    known = classes(docs).dropDuplicates(["doc_id"]).join(keep, "doc_id", "left")
-    return stored(known.select("doc_id", "class", F.coalesce("keep", "doc_id").alias("keep")))
-
-
 def pairs(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id_a, doc_id_b: pairs of rows at ``threshold`` or above that are not of one group of problem 4."""
-    members = member_table(docs)
-    linked = class_pairs(docs, members.select(F.col("class").alias("id")).distinct(), threshold)
-    left = members.select(F.col("class").alias("a"), F.col("doc_id").alias("id_a"), F.col("keep").alias("keep_a"))
-    right = members.select(F.col("class").alias("b"), F.col("doc_id").alias("id_b"), F.col("keep").alias("keep_b"))
+    members = stored(member_table(docs))
+    linked = class_pairs(docs, members, threshold)
+    left = members.select(F.col("class").alias("a"), F.col("doc_id").alias("id_a"), F.col("record").alias("record_a"))
+    right = members.select(F.col("class").alias("b"), F.col("doc_id").alias("id_b"), F.col("record").alias("record_b"))
     across = linked.select("a", "b").join(left, "a").join(right, "b")
-    mixed = members.filter("class <> keep").select(F.col("class").alias("a")).distinct()
+    mixed = members.groupBy("class").agg(F.min("record").alias("x"), F.max("record").alias("y")).filter("x <> y").select(F.col("class").alias("a"))
     within = left.join(mixed, "a", "left_semi").join(right.withColumnRenamed("b", "a"), "a").filter("id_a < id_b")
-    both = across.select("id_a", "id_b", "keep_a", "keep_b").union(within.select("id_a", "id_b", "keep_a", "keep_b"))
-    return both.filter("keep_a <> keep_b").select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b"))
+    both = across.select("id_a", "id_b", "record_a", "record_b").union(within.select("id_a", "id_b", "record_a", "record_b"))
+    return both.filter("record_a <> record_b and id_a <> id_b").select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).distinct()
 
 
 def groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, group_id, links: every row with a text, the smallest id of its group, and its class's number of partners.
+    """doc_id, group_id, links: every row with a stretch, its group (smallest id) and its class's number of partners.
 
-    Copies are not expanded into pairs: groups join class representatives, and members follow their class.
+    Copies are not expanded into pairs: groups join classes, and members follow their class.
     """
-    members = stored(classes(docs).dropDuplicates(["doc_id"]))
-    linked = stored(class_pairs(docs, members.select(F.col("class").alias("id")).distinct(), threshold).select("a", "b"))
+    members = stored(member_table(docs).select("doc_id", "class"))
+    linked = stored(class_pairs(docs, members, threshold).select("a", "b"))
     links = linked.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     labels = connected_components(linked).select(F.col("node").alias("class"), "component")
-    out = members.join(labels, "class", "left").join(links, "class", "left")
-    return out.select("doc_id", F.coalesce("component", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    placed = members.join(labels, "class", "left").join(links, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("group_id"))
+    return placed.join(least, "component").select("doc_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
