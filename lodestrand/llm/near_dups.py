@@ -68,13 +68,14 @@ def throw_darts(hashes: np.ndarray, theta: np.ndarray, weights: np.ndarray | Non
 def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, k: int, weights: np.ndarray | None = None) -> np.ndarray:
     """The DartMinHash signatures (n x k) of n records; element i, of record owner[i], has hashes[i].
 
-    An element named twice throws the same darts twice, which changes no minimum. Records without elements keep the
+    An element named twice throws the same darts twice, which changes no minimum; only records that lack a coordinate
+    after the first throw have their repeated elements dropped before the next. Records without elements keep the
     value 2**64 - 1 throughout.
     """
     out = np.full((n, k), _NONE)
     mass = np.bincount(owner, weights, n)
     theta = np.divide(k * np.log(k) + 2 * k, mass, out=np.zeros(n), where=mass > 0)
-    todo = np.arange(len(hashes))
+    first, todo = theta, np.arange(len(hashes))
     flat = out.reshape(-1)
     while len(todo):
         for at, rank, h in throw_darts(hashes[todo], theta[owner[todo]], None if weights is None else weights[todo]):
@@ -84,8 +85,14 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, k: int, weights: n
         lacking = (out == _NONE).any(axis=1) & (mass > 0)
         if not lacking.any():
             break
-        theta = theta * 2
-        todo = np.flatnonzero(lacking[owner])
+        if theta is first:
+            todo = np.flatnonzero(lacking[owner])
+            todo = todo[np.unique(np.stack([owner[todo].astype(_U), hashes[todo]]), axis=1, return_index=True)[1]]
+            mass = np.bincount(owner[todo], None if weights is None else weights[todo], n)
+            theta = np.divide(k * np.log(k) + 2 * k, mass, out=np.zeros(n), where=mass > 0)
+        else:
+            theta = theta * 2
+            todo = todo[lacking[owner[todo]]]
     return out
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import exact_dups, near_dups
+from . import exact_dups, near_dups, pieces, sentences
 
 
 def p1_found(spark, d):
@@ -16,6 +16,15 @@ def p1_groups(spark, d):
     return near_dups.groups(table(spark, d, "documents"))
 
 
+def _sentence_model(spark, d):
+    return sentences.train(table(spark, d, "documents"), table(spark, d, "extract_sentence"))
+
+
+def p2_found(spark, d):
+    """The sentence units of every document."""
+    return sentences.unit_table(table(spark, d, "documents"), _sentence_model(spark, d))
+
+
 def p4_found(spark, d):
     """Documents hidden behind formatting differences, with the one kept."""
     return exact_dups.copies(table(spark, d, "documents"))
@@ -26,5 +35,15 @@ def p4_groups(spark, d):
     return exact_dups.groups(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_groups)}
+def p6_found(spark, d):
+    """Documents above 4,000 characters and how they were cut."""
+    return pieces.cuts(table(spark, d, "documents"), _sentence_model(spark, d))
+
+
+def p6_pieces(spark, d):
+    """The overlapping pieces of every document above 4,000 characters."""
+    return pieces.pieces(table(spark, d, "documents"), _sentence_model(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_groups, p6_found, p6_pieces)}
 SQL: dict[str, str] = {}
