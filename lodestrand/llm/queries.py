@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import exact_dups, near_dups, pieces, sentences
+from . import exact_dups, leakage, near_dups, pieces, sentences
 
 
 def p1_found(spark, d):
@@ -45,5 +45,15 @@ def p6_pieces(spark, d):
     return pieces.pieces(table(spark, d, "documents"), _sentence_model(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_groups, p6_found, p6_pieces)}
+def p8_found(spark, d):
+    """Documents that hold held-out text, with the samples concerned."""
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "samples"))
+
+
+def p8_leaks(spark, d):
+    """The same with questions that recur with other values in their slots."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "samples"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_groups, p6_found, p6_pieces, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
