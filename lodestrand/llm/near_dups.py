@@ -18,7 +18,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ SHINGLE_LOG2 = 3
 SHINGLE = 1 << SHINGLE_LOG2
 SIMILARITY = 0.6
 BAND, BANDS = 5, 60
+#: Rows of a bucket that a row meets in one sorted pass.
+NEAR = 6
 _LABEL_LINE = re.compile(r"^[^:]{1,60}:.*\w|^[\W_]*$")
 _U = np.uint64
 _UNIT = float(2.0**-64)
@@ -87,7 +89,7 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, k: int, weights: n
             break
         if theta is first:
             todo = np.flatnonzero(lacking[owner])
-            todo = todo[np.unique(np.stack([owner[todo].astype(_U), hashes[todo]]), axis=1, return_index=True)[1]]
+            todo = todo[np.unique(mix(owner[todo].astype(_U) * _U(0x9E3779B97F4A7C15) + hashes[todo]), return_index=True)[1]]
             mass = np.bincount(owner[todo], None if weights is None else weights[todo], n)
             theta = np.divide(k * np.log(k) + 2 * k, mass, out=np.zeros(n), where=mass > 0)
         else:
@@ -113,8 +115,13 @@ def text_key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def code_of(key: bytes) -> int:
+    """The first 8 bytes of a class: what bands carry. Classes that share a code are told apart before the check."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
 def _key_rows(batches):
-    """(id, title, text) batches to (id, class, title_key, lines_key): hashes of bare text, bare title and sorted lines."""
+    """(id, title, text) batches to (id, code, class, title_key, lines_key): of bare text, bare title, sorted lines."""
     for batch in batches:
         ids, titles, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
         keys, names, lines = [], [], []
@@ -124,7 +131,8 @@ def _key_rows(batches):
             low, starts = bare_codes(titles[a:b])
             names += [text_key(low[x:y]) for x, y in pairwise(starts.tolist())]
             lines += [_lines_key(t) if ":" in t else None for t in texts[a:b]]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(names, pa.binary()), pa.array(lines, pa.binary())], names=["doc_id", "class", "title_key", "lines_key"])
+        codes = pa.array([k and code_of(k) for k in keys], pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, codes, pa.array(keys, pa.binary()), pa.array(names, pa.binary()), pa.array(lines, pa.binary())], names=["doc_id", "code", "class", "title_key", "lines_key"])
 
 
 def _lines_key(text: str) -> bytes | None:
@@ -137,7 +145,7 @@ def _lines_key(text: str) -> bytes | None:
 
 
 def _band_rows(batches):
-    """(text) batches to (bucket, class), ``BANDS`` rows for each bare text; copies within a task give rows once."""
+    """(text) batches to (bucket, code), ``BANDS`` rows for each bare text; copies within a task give rows once."""
     seen: set[bytes] = set()
     for batch in batches:
         texts = batch.column(0).to_pylist()
@@ -156,8 +164,8 @@ def _band_rows(batches):
             for j in range(BAND):
                 key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, j::BAND])
             key = mix(key + np.arange(BANDS, dtype=_U))
-            owners = pa.array([k for _, k in new], pa.binary()).take(pa.array(np.repeat(np.arange(len(new)), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), owners], names=["bucket", "class"])
+            owners = np.repeat(np.array([code_of(k) for _, k in new], np.int64), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(owners)], names=["bucket", "code"])
 
 
 def jaccard(left: list[str], right: list[str]) -> np.ndarray:
@@ -195,35 +203,41 @@ def member_table(docs: DataFrame) -> DataFrame:
     One pass hashes all rows, without moving a text; groups of problem 4 form on the hashes: rows of equal bare title
     and text, or, where one member is made of ``Label: value`` lines, of equal sorted lines. Written to the shared folder.
     """
-    keyed = docs.filter("text is not null").select("doc_id", "title", "text").mapInArrow(_key_rows, "doc_id long, class binary, title_key binary, lines_key binary")
+    keyed = docs.filter("text is not null").select("doc_id", "title", "text").mapInArrow(_key_rows, "doc_id long, code long, class binary, title_key binary, lines_key binary")
     keyed = stored(keyed.filter("class is not null"))
     labelled = keyed.filter("lines_key is not null").select("title_key", "class", "lines_key").distinct()
-    joined = keyed.select("doc_id", "title_key", "class").join(labelled, ["title_key", "class"], "left")
-    return joined.select("doc_id", "class", F.sha2(F.concat("title_key", F.coalesce("lines_key", "class")), 256).alias("record"))
+    joined = keyed.select("doc_id", "code", "title_key", "class").join(labelled, ["title_key", "class"], "left")
+    return joined.select("doc_id", "code", "class", F.sha2(F.concat("title_key", F.coalesce("lines_key", "class")), 256).alias("record"))
 
 
 def candidate_pairs(docs: DataFrame) -> DataFrame:
-    """a, b: classes a < b that share a bucket, each pair once.
+    """a, b: codes a < b that share a bucket, each pair once.
 
-    Buckets are reduced to their count, least and greatest class by partial aggregation; one of two rows is its pair.
-    Only rows of larger buckets, which hold true groups of edits, are joined with each other.
+    Within a bucket, in order of code, every row meets the ``NEAR`` rows before it, in one pass over sorted rows.
+    Buckets with more rows (large groups of edits, or copies seen by many tasks) are joined with themselves, distinct.
     """
-    bands = stored(docs.filter("text is not null").select("text").mapInArrow(_band_rows, "bucket long, class binary"))
-    buckets = stored(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).filter("n > 1 and a < b"))
-    two = buckets.filter("n = 2").select("a", "b")
-    rows = bands.join(buckets.filter("n > 2").select("bucket"), "bucket").distinct()
-    more = rows.select("bucket", F.col("class").alias("a")).join(rows.select("bucket", F.col("class").alias("b")), "bucket").filter("a < b").select("a", "b")
-    return two.union(more).distinct()
+    bands = stored(docs.filter("text is not null").select("text").mapInArrow(_band_rows, "bucket long, code long"))
+    order = Window.partitionBy("bucket").orderBy("code")
+    met = bands.select("bucket", "code", *[F.lag("code", i).over(order).alias(f"c{i}") for i in range(1, NEAR + 2)]).filter("c1 is not null")
+    met = stored(met)
+    near = met.select(F.col("code").alias("b"), F.explode(F.array(*[f"c{i}" for i in range(1, NEAR + 1)])).alias("a")).filter("a < b").select("a", "b").distinct()
+    large = met.filter(f"c{NEAR + 1} is not null").select("bucket").distinct()
+    rows = bands.join(large, "bucket").distinct()
+    more = rows.select("bucket", F.col("code").alias("a")).join(rows.select("bucket", F.col("code").alias("b")), "bucket").filter("a < b").select("a", "b")
+    return near.union(more).distinct()
 
 
 def class_pairs(docs: DataFrame, members: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """a, b, similarity: all pairs of classes at ``threshold`` or above that share a bucket, checked on their full texts."""
     found = stored(candidate_pairs(docs))
-    reps = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    ids = found.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class")
-    texts = stored(docs.filter("text is not null").select("doc_id", "text").join(stored(ids), "doc_id").select("class", "text"))
-    both = found.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.withColumn("similarity", similarity("text_a", "text_b")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    reps = members.groupBy("code", "class").agg(F.min("doc_id").alias("doc_id"))
+    ids = stored(found.select(F.explode(F.array("a", "b")).alias("code")).distinct().join(reps, "code"))
+    texts = stored(docs.filter("text is not null").select("doc_id", "text").join(ids, "doc_id").select("code", "class", "text"))
+    left = texts.select(F.col("code").alias("a"), F.col("class").alias("class_a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("code").alias("b"), F.col("class").alias("class_b"), F.col("text").alias("text_b"))
+    both = found.join(left, "a").join(right, "b")
+    checked = both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), similarity("text_a", "text_b").alias("similarity"))
+    return checked.filter(F.col("similarity") >= threshold)
 
 
 def pairs(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
