@@ -54,7 +54,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``, without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
