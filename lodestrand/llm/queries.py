@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import exact_dups, leakage, near_dups, pieces, sentences
+from . import exact_dups, leakage, mixing, near_dups, pieces, sentences
 
 
 def p1_found(spark, d):
@@ -55,5 +55,15 @@ def p8_leaks(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "samples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_groups, p6_found, p6_pieces, p8_found, p8_leaks)}
+def p9_mixture(spark, d):
+    """The documents chosen for each mixture, with how often."""
+    return mixing.select(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
+
+
+def p9_shares(spark, d):
+    """Target and reached shares of each mixture's sources."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mixture_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_groups, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares)}
 SQL: dict[str, str] = {}
