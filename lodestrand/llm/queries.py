@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import exact_dups, leakage, mixing, near_dups, pieces, sentences
+from . import exact_dups, leakage, mixing, near_dups, pairs, pieces, sentences
 
 
 def p1_found(spark, d):
@@ -25,6 +25,11 @@ def p2_found(spark, d):
     return sentences.unit_table(table(spark, d, "documents"), _sentence_model(spark, d))
 
 
+def p3_found(spark, d):
+    """Defective answers with the type of their defect."""
+    return pairs.defects(table(spark, d, "per_example"))
+
+
 def p4_found(spark, d):
     """Documents hidden behind formatting differences, with the one kept."""
     return exact_dups.copies(table(spark, d, "documents"))
@@ -65,5 +70,5 @@ def p9_shares(spark, d):
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mixture_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_groups, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_groups, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares)}
 SQL: dict[str, str] = {}
