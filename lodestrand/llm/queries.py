@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import exact_dups, leakage, mixing, near_dups, pairs, pieces, sentences
+from . import exact_dups, leakage, mixing, names, near_dups, pairs, pieces, sentences
 
 
 def p1_found(spark, d):
@@ -40,6 +40,16 @@ def p4_groups(spark, d):
     return exact_dups.groups(table(spark, d, "documents"))
 
 
+def p5_found(spark, d):
+    """Pairs of spellings of one person, organisation or place."""
+    return names.pairs(table(spark, d, "extract_sentence"))
+
+
+def p5_entities(spark, d):
+    """Every spelling with its entity and its number of links."""
+    return names.linked(table(spark, d, "extract_sentence"))
+
+
 def p6_found(spark, d):
     """Documents above 4,000 characters and how they were cut."""
     return pieces.cuts(table(spark, d, "documents"), _sentence_model(spark, d))
@@ -70,5 +80,5 @@ def p9_shares(spark, d):
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mixture_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_groups, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_groups, p5_found, p5_entities, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares)}
 SQL: dict[str, str] = {}
