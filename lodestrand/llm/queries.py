@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import exact_dups, leakage, mixing, names, near_dups, pairs, pieces, sentences
+from . import exact_dups, leakage, mixing, names, near_dups, pairs, pieces, privacy, sentences
 
 
 def p1_found(spark, d):
@@ -80,5 +80,15 @@ def p9_shares(spark, d):
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mixture_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_groups, p5_found, p5_entities, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares)}
+def p10_found(spark, d):
+    """Private data in every document, with its place and kind."""
+    return privacy.findings(table(spark, d, "documents"))
+
+
+def p10_redacted(spark, d):
+    """Every document with its private data replaced."""
+    return privacy.redacted(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_groups, p5_found, p5_entities, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_redacted)}
 SQL: dict[str, str] = {}
