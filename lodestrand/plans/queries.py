@@ -1,38 +1,389 @@
-"""The queries of the core operators, each over its whole tables."""
+"""The queries of the core operators, each over its whole tables; questions of searches are those whose id ends in 00."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import nested
+from ..config import Config
+from ..functions import text as X
+from ..functions.scores import entropy_confidence, heuristic_alpha, l1_normalised, profile_of, quota_of
+from ..functions.scores import alpha as normal_alpha
+from ..operators import corpus, evaluation, graph, nested, retrieval
+from ..runtime import small_side, stored
 from ..sources.tables import table
+from . import oracle, pipeline
 
+CONFIG = Config()
 JSON_COLUMNS = ["ranked_evidence", "channel_scores", "retrieval_meta"]
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+# ---- index ----------------------------------------------------------------------------------------------------------
+
+
+def _sentences(spark, d) -> DataFrame:
+    return graph.sentences(graph.chunks(table(spark, d, "documents")))
+
+
+@query
+def chunk_windows(spark, d):
+    """Windows of 256 words that overlap by 64."""
+    rows = graph.chunks(table(spark, d, "documents"), Config(use_paragraph_as_chunk=False))
+    return rows.select(F.col("ord").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), X.word_count(F.col("body")).cast("long").alias("n_words"), F.md5("body").alias("digest"))
+
+
+@query
+def sentence_split(spark, d):
+    return _sentences(spark, d).select(F.col("ord").alias("doc_id"), F.col("sentence_index").cast("long").alias("sentence_index"), F.col("text").alias("sentence"))
+
+
+@query
+def sentence_sequence_edges(spark, d):
+    order = Window.partitionBy("corpus_id", "ord", "chunk_id").orderBy("sentence_index")
+    rows = _sentences(spark, d).withColumn("src", F.lag("sentence_id").over(order)).filter("src is not null")
+    return rows.select("corpus_id", F.col("ord").alias("doc_id"), F.col("sentence_index").cast("long").alias("sentence_index"), "src", F.col("sentence_id").alias("dst"))
+
+
+@query
+def node_ids(spark, d):
+    return graph.chunks(table(spark, d, "documents")).select(F.col("ord").alias("doc_id"), "chunk_id")
+
+
+@query
+def entity_mentions(spark, d):
+    rows = graph.mentions(_sentences(spark, d))
+    return rows.select(F.col("ord").alias("doc_id"), F.col("sentence_index").cast("long").alias("sentence_index"), F.col("place").cast("long").alias("place"), "entity")
+
+
+@query
+def entity_nodes(spark, d):
+    return graph.entities(graph.mentions(_sentences(spark, d)))
+
+
+@query
+def facts_regex(spark, d):
+    rows = graph.facts(_sentences(spark, d))
+    return rows.select(F.col("ord").alias("doc_id"), F.col("sentence_index").cast("long").alias("sentence_index"), F.col("fact_index").cast("long").alias("fact_index"), "head", "relation", "tail", "confidence")
+
+
+def _index(spark, d):
+    return graph.build(table(spark, d, "documents"), CONFIG)
+
+
+@query
+def edges_merged(spark, d):
+    return _index(spark, d)["edges"].select("corpus_id", "src", "dst", "weight", "edge_type", F.array_join("edge_kinds", ",").alias("edge_kinds"), F.array_join("relations", ",").alias("relations"))
+
+
+@query
+def edge_kind_counts(spark, d):
+    return _index(spark, d)["edges"].select("corpus_id", F.explode("edge_kinds").alias("edge_kind")).groupBy("corpus_id", "edge_kind").agg(F.count("*").alias("edges"))
+
+
+@query
+def layer_counts(spark, d):
+    """Nodes per layer; facts count with repeats."""
+    index = _index(spark, d)
+    layers = index["nodes"].groupBy("corpus_id", F.col("node_type").alias("layer")).agg(F.count("*").alias("n"))
+    return layers.union(index["facts"].groupBy("corpus_id").agg(F.count("*").alias("n")).select("corpus_id", F.lit("fact"), "n"))
+
+
+@query
+def entity_degree(spark, d):
+    return graph.degrees(_index(spark, d)["edges"]).filter(F.col("node_id").startswith("entity:"))
+
+
+@query
+def entity_chunk_count(spark, d):
+    index = _index(spark, d)
+    return graph.chunk_counts(index["edges"], index["nodes"])
+
+
+@query
+def strip_sentence_layer(spark, d):
+    """Edges by type once the sentence layer is out and fact ends are linked to chunks."""
+    edges = graph.without_sentences(_index(spark, d))["edges"]
+    return edges.groupBy("corpus_id", "edge_type").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+
+
+# ---- vectors and scores ---------------------------------------------------------------------------------------------
+
+
+@query
+def dense_topk(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("vec_id").alias("ord"))
+    q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    return retrieval.dense(q, v, CONFIG.entity_top_k, []).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query
+def similarity_edges(spark, d):
+    """Both directions of every pair at 0.3 or above (the default threshold finds none in this table)."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return graph.similarity_weights(graph.similarity_edges(v, 0.3)).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+def _examples(spark, d):
+    return table(spark, d, "per_example")
+
+
+@query
+def score_normalise(spark, d):
+    rows = _examples(spark, d).select("example_id", "corpus_id", F.coalesce("f1", F.lit(0.0)).alias("score"))
+    return l1_normalised(rows, ["corpus_id"]).withColumn("score", F.round("score", 9))
+
+
+@query
+def lexical_overlap(spark, d):
+    return _examples(spark, d).select("example_id", F.round(X.lexical_overlap(F.col("question"), F.col("gold_answer")), 6).alias("overlap"))
+
+
+@query
+def content_coverage(spark, d):
+    return _examples(spark, d).select("example_id", F.round(X.coverage(F.col("question"), F.col("predicted_answer")), 6).alias("coverage"))
+
+
+def _parts(spark, d):
+    rows = _examples(spark, d).filter("query_id is not null and execution_mode is not null")
+    return rows.select("query_id", F.col("execution_mode").alias("id"), F.col("example_id").alias("part"), F.coalesce("retrieval_latency", F.lit(0.0)).alias("score"))
+
+
+@query
+def max_merge(spark, d):
+    return retrieval.max_channel(_parts(spark, d)).withColumn("score", F.round("score", 9))
+
+
+@query
+def last_wins_merge(spark, d):
+    return retrieval.entity_channel(_parts(spark, d)).withColumn("score", F.round("score", 9))
+
+
+@query
+def heuristic_alpha_routing(spark, d):
+    a = F.col("a")
+    rows = _examples(spark, d).select("example_id", heuristic_alpha(F.col("question")).alias("a"))
+    return rows.select("example_id", a["fact"].alias("fact"), a["sentence"].alias("sentence"), a["chunk"].alias("chunk"), profile_of(a).alias("profile"), F.round(entropy_confidence(a), 6).alias("confidence"))
+
+
+@query
+def alpha_quota(spark, d):
+    """Units per kind of every example's profile."""
+    rows = _examples(spark, d).filter("alpha_f is not null and alpha_s is not null and alpha_c is not null").select("example_id", normal_alpha(F.col("alpha_f"), F.col("alpha_s"), F.col("alpha_c")).alias("a"))
+    return rows.withColumn("q", quota_of(F.col("a"), CONFIG)).select("example_id", "q.fact", "q.sentence", "q.chunk")
+
+
+@query
+def heuristic_decompose(spark, d):
+    rows = _examples(spark, d).filter("question is not null").select("example_id", pipeline.heuristic_parts(F.col("question")).alias("parts"))
+    return rows.select("example_id", F.posexplode("parts").alias("part", "sub_question"))
+
+
+# ---- questions against the graph ------------------------------------------------------------------------------------
+
+
+def _questions(spark, d) -> DataFrame:
+    rows = _examples(spark, d).filter("example_id % 100 = 0 and question is not null").select(F.col("example_id").alias("query_id"), "corpus_id", F.col("question").alias("query"))
+    return stored(rows.withColumn("alpha", heuristic_alpha(F.col("query"))))
+
+
+def _lexical_facts(index, q) -> DataFrame:
+    """Facts of each question's corpus by lexical overlap, reranked: the plan of the fact channel without an encoder."""
+    texts = index["facts"].groupBy("corpus_id", F.col("fact_id").alias("id")).agg(F.max_by("text", F.struct("ord", "sentence_index", "fact_index")).alias("text"))
+    scored = texts.join(small_side(q), "corpus_id").withColumn("score", X.lexical_overlap(F.col("query"), F.col("text"))).withColumn("ord", F.col("id"))
+    return retrieval.rerank_facts(scored.select("query_id", "query", "id", "text", "ord", "score"), CONFIG).drop("ord")
+
+
+def _lexical_chunks(index, q) -> DataFrame:
+    bodies = index["chunks"].groupBy("corpus_id", F.col("chunk_id").alias("id")).agg(F.max_by("body", "ord").alias("body"))
+    scored = bodies.join(small_side(q), "corpus_id").select("query_id", "id", X.lexical_overlap(F.col("query"), F.col("body")).alias("score"))
+    return l1_normalised(retrieval.top_k(scored, ["query_id"], CONFIG.chunk_top_k, ["id"]), ["query_id"])
+
+
+def _seeds(index, q) -> DataFrame:
+    """Entities that the question names and the corpus has, one each."""
+    named = q.select("query_id", "corpus_id", F.explode(X.regex_entities(F.col("query"))).alias("e")).withColumn("entity_id", X.node_id("entity", F.col("e")))
+    return index["entities"].join(small_side(stored(named)), ["corpus_id", "entity_id"]).select("query_id", F.col("entity_id").alias("node_id"), F.lit(1.0).alias("score")).distinct()
+
+
+def _ranks(index, q) -> DataFrame:
+    moves = graph.transitions(graph.base_weights(index["edges"], index["nodes"], CONFIG), q, CONFIG)
+    return graph.pagerank(moves, graph.personalisation(index["nodes"], q, _seeds(index, q), CONFIG), CONFIG, oracle.STEPS)
+
+
+@query
+def fact_rerank(spark, d):
+    index, q = _index(spark, d), _questions(spark, d)
+    return _lexical_facts(index, q).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query
+def seed_scores(spark, d):
+    """Restart seeds from reranked facts and chunks, damped at hubs."""
+    index, q = _index(spark, d), _questions(spark, d)
+    counts, degree = graph.chunk_counts(index["edges"], index["nodes"]), graph.degrees(index["edges"])
+    seeds = retrieval.seed_scores(stored(_lexical_facts(index, q)), index["facts"], stored(_lexical_chunks(index, q)), q, counts, degree, None, CONFIG)
+    return seeds.select("query_id", "node_id", F.round("score", 6).alias("score"))
+
+
+@query
+def ppr_fixed_iters(spark, d):
+    """The thirty highest nodes of every question after a fixed number of steps."""
+    index, q = _index(spark, d), _questions(spark, d)
+    rounded = _ranks(index, q).select("query_id", "node_id", F.round("score", 9).alias("score"))
+    return retrieval.top_k(rounded, ["query_id"], 30, ["node_id"]).drop("rank")
+
+
+@query
+def passage_rank(spark, d):
+    index, q = _index(spark, d), _questions(spark, d)
+    facts = stored(pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q))
+    ranked = retrieval.rank_passages(_ranks(index, q), index, _lexical_chunks(index, q), facts, q, CONFIG)
+    return ranked.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def sentence_blend(spark, d):
+    index, q = _index(spark, d), _questions(spark, d)
+    facts = stored(pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q))
+    none = _lexical_chunks(index, q).limit(0)
+    return retrieval.sentence_scores(_ranks(index, q), none, facts, CONFIG).withColumn("score", F.round("score", 9))
+
+
+@query
+def neighbour_sentences(spark, d):
+    index, q = _index(spark, d), _questions(spark, d)
+    facts = pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q).select("query_id", "corpus_id", "chunk_id", "sentence_index", "score")
+    return retrieval.neighbours(facts, index["sentences"]).withColumn("score", F.round("score", 6))
+
+
+@query
+def title_diverse_topk(spark, d):
+    q = _questions(spark, d)
+    bodies = graph.chunks(table(spark, d, "documents")).groupBy("corpus_id", F.col("chunk_id").alias("node_id")).agg(F.max_by(F.struct("title", "body"), "ord").alias("c"))
+    scored = bodies.join(small_side(q), "corpus_id").select("query_id", "node_id", "c.title", X.lexical_overlap(F.col("query"), F.col("c.body")).alias("score"))
+    ranked = retrieval.top_k(scored, ["query_id"], 50, ["node_id"])
+    return retrieval.diverse(ranked, CONFIG.qa_passage_top_k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _answered(spark, d, **options):
+    return pipeline.answer(_index(spark, d), _questions(spark, d).select("query_id", "corpus_id", "query"), config=CONFIG, **options)
+
+
+@query
+def packed_evidence(spark, d):
+    """The whole pipeline with the hashed encoder: packed evidence of every question."""
+    return _answered(spark, d)["packed"]
+
+
+@query
+def direct_evidence(spark, d):
+    """The pipeline without propagation."""
+    return _answered(spark, d, propagate=False)["packed"]
+
+
+# ---- given extractions, evaluation, corpora -------------------------------------------------------------------------
+
+
+@query
+def given_facts(spark, d):
+    rows = table(spark, d, "extract_sentence").select("sentence_id", F.explode("triples").alias("t")).select("sentence_id", X.clean_relation(F.col("t.relation")).alias("relation"))
+    return rows.groupBy("relation").agg(F.count("*").alias("facts"), F.countDistinct("sentence_id").alias("sentences"))
+
+
+@query
+def truncate_words(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(X.truncated(F.col("text"), 50)).alias("digest"))
+
+
+@query
+def token_f1(spark, d):
+    p, g = F.col("predicted_answer"), F.col("gold_answer")
+    return _examples(spark, d).select("example_id", F.round(X.token_f1(p, g), 6).alias("f1"), X.exact_match(p, g).alias("em"))
+
+
+@query
+def best_em_f1(spark, d):
+    """Best scores of each sample's own answer forms against its gold set."""
+    rows = table(spark, d, "samples").withColumn("golds", evaluation.gold_set(F.col("answer"), F.col("answer_aliases")))
+    em, f1 = evaluation.best(F.lower("answer"), F.col("golds"))
+    return rows.select("sample_id", F.size("golds").alias("golds"), em.alias("em"), F.round(f1, 6).alias("f1"))
+
+
+@query
+def source_summary(spark, d):
+    rows = evaluation.by_source(_examples(spark, d))
+    return rows.select("source", "examples", *[F.round(f"avg_{m}", 9).alias(f"avg_{m}") for m in evaluation.METRICS])
+
+
+@query
+def alpha_std_by_source(spark, d):
+    rows = evaluation.alpha_spread(_examples(spark, d))
+    return rows.select("source", "examples", *[F.round(c, 9).alias(c) for c in rows.columns[2:]])
+
+
+@query
+def mode_consistency(spark, d):
+    return evaluation.mode_consistency(_examples(spark, d))
+
+
+@query
+def doc_dedup(spark, d):
+    return corpus.keyed(table(spark, d, "documents")).select("key", "doc_id")
+
+
+@query
+def required_docs(spark, d):
+    rows = corpus.required(table(spark, d, "samples"))
+    return rows.select("key", F.lit(True).alias("has"), F.size("sample_ids").cast("long").alias("samples"))
+
+
+@query
+def distractors(spark, d):
+    return corpus.distractors(table(spark, d, "documents"), corpus.required(table(spark, d, "samples"))).select("key", "doc_id")
+
+
+@query
+def scaled_corpus(spark, d):
+    """All required documents with seeded distractors, as large as the tables allow up to 1,000."""
+    docs, needed = table(spark, d, "documents"), corpus.required(table(spark, d, "samples"))
+    return corpus.scaled(docs, needed, min(1000, needed.count() + corpus.distractors(docs, needed).count())).select("key", "required")
+
+
+# ---- nested records (problem 7) -------------------------------------------------------------------------------------
 
 
 def _nodes(spark, d):
     return nested.nodes(table(spark, d, "last_query_result"), "result_id", JSON_COLUMNS)
 
 
+@query
 def p7_found(spark, d):
     """Objects that are elements of arrays, with the path of the one around them."""
     return nested.object_table(_nodes(spark, d)).select(F.col("record_id").alias("result_id"), "parent_path", "path").distinct()
 
 
+@query
 def p7_objects(spark, d):
     """The table of element objects with their interval labels."""
     return nested.object_table(_nodes(spark, d)).withColumnRenamed("record_id", "result_id")
 
 
+@query
 def p7_values(spark, d):
     """The table of values with the element object they belong to."""
     return nested.value_table(_nodes(spark, d)).withColumnRenamed("record_id", "result_id")
 
 
+@query
 def p7_arrays(spark, d):
     """The table of arrays with the element object they belong to."""
     return nested.array_table(_nodes(spark, d)).withColumnRenamed("record_id", "result_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_objects, p7_values, p7_arrays)}
-SQL: dict[str, str] = {}
+SQL = {("heuristic_alpha_routing" if k == "heuristic_alpha" else k): v for k, v in oracle.SQL.items()}
