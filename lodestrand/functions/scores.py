@@ -22,10 +22,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l1_normalised(scores: DataFrame, by: list[str], column: str = "score") -> DataFrame:
-    """Scores clamped at 0, divided by their sum per group; zeros, and groups that sum to 0, go."""
-    clamped = scores.withColumn(column, F.greatest(F.col(column), F.lit(0.0)))
-    total = F.sum(column).over(Window.partitionBy(*by))
-    return clamped.withColumn(column, F.col(column) / total).filter(F.col(column) > 0)
+    """Scores divided by their sum per group; rows at 0 or below, and nulls, go."""
+    positive = scores.filter(F.col(column) > 0)
+    return positive.withColumn(column, F.col(column) / F.sum(column).over(Window.partitionBy(*by)))
 
 
 def alpha(fact: Column, sentence: Column, chunk: Column, entity: Column | None = None) -> Column:
@@ -63,12 +62,12 @@ def heuristic_alpha(query: Column, config: Config = Config()) -> Column:
 def parsed_alpha(text: Column) -> Column:
     """(profile, failed) of a model's reply: JSON members, else its first three numbers, else equal shares."""
     json = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    member = lambda *names: F.coalesce(*[F.get_json_object(json, f"$.{n}").cast("double") for n in names])
+    member = lambda *names: F.coalesce(*[F.get_json_object(json, f"$.{n}").try_cast("double") for n in names])
     f, s, c = member("alpha_F", "fact"), member("alpha_S", "sentence"), member("alpha_C", "chunk")
     numbers = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
     named = f.isNotNull() & s.isNotNull() & c.isNotNull() & (f + s + c > 0)
     third = F.lit(1.0)
-    pick = lambda i, x: F.when(named, x).when(F.size(numbers) >= 3, F.get(numbers, F.lit(i)).cast("double")).otherwise(third)
+    pick = lambda i, x: F.when(named, x).when(F.size(numbers) >= 3, F.get(numbers, F.lit(i)).try_cast("double")).otherwise(third)
     return F.struct(alpha(pick(0, f), pick(1, s), pick(2, c)).alias("alpha"), (~F.coalesce(named, F.lit(False)) & (F.size(numbers) < 3)).alias("failed"))
 
 

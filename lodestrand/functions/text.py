@@ -89,7 +89,7 @@ def is_named(text: Column) -> Column:
     tokens = words(text)
     asks = F.exists(tokens, lambda t: F.lower(t).isin(QUESTION_WORDS))
     capital = F.exists(tokens, lambda t: t.rlike(r"^\p{Lu}"))
-    lone = (F.size(tokens) == 1) & (F.upper(tokens[0]) == tokens[0]) & tokens[0].rlike(r"\p{Lu}")
+    lone = (F.size(tokens) == 1) & (F.upper(F.get(tokens, F.lit(0))) == F.get(tokens, F.lit(0))) & F.get(tokens, F.lit(0)).rlike(r"\p{Lu}")
     return ~is_generic(text) & ~asks & (capital | F.coalesce(lone, F.lit(False)))
 
 
@@ -196,9 +196,9 @@ def parsed_answer(text: Column) -> Column:
     """The first line after the last ``Answer:``, or the last line."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
     after = F.regexp_replace(F.substring_index(t, "Answer:", -1), r"(?U)^\s+|\s+$", "")
-    marked = F.regexp_replace(F.regexp_replace(F.trim(F.split(after, r"\R")[0]), "^\"+|\"+$", ""), r"^'+|'+$|\.+$", "")
+    marked = F.regexp_replace(F.regexp_replace(F.trim(F.get(F.split(after, r"\R"), F.lit(0))), "^\"+|\"+$", ""), r"^'+|'+$|\.+$", "")
     lines = F.split(t, r"\R")
-    return F.when(t == "", "").when(t.contains("Answer:"), marked).otherwise(F.regexp_replace(F.trim(F.element_at(lines, -1)), r"\.+$", ""))
+    return F.when(t == "", "").when(t.contains("Answer:"), marked).otherwise(F.regexp_replace(F.trim(F.try_element_at(lines, F.lit(-1))), r"\.+$", ""))
 
 
 def formatted_passage(rank: Column, title: Column, text: Column) -> Column:

@@ -138,6 +138,11 @@ def build(docs: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
     return {"chunks": chunked, "sentences": split, "mentions": mentioned, "entities": named, "facts": known, "edges": edges, "nodes": table}
 
 
+def materialised(index: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The index with every table written once to the shared folder, for plans that read them many times."""
+    return {k: stored(v) for k, v in index.items()}
+
+
 def without_sentences(index: dict[str, DataFrame], compensate: bool = True) -> dict[str, DataFrame]:
     """The index with its sentence layer taken out; ``compensate`` links fact ends to their chunks instead."""
     sentence = index["nodes"].filter("node_type = 'sentence'").select("corpus_id", "node_id")
@@ -194,28 +199,32 @@ def pagerank(moves: DataFrame, restart: DataFrame, config: Config = Config(), it
     join and one partial aggregation on the keys; scores are written to the shared folder, which cuts the lineage.
     """
     moves, restart = stored(moves), stored(restart)
-    sizes = stored(restart.groupBy("query_id").agg(F.count("*").alias("n")))
-    sources = moves.select("query_id", F.col("src").alias("node_id")).distinct()
-    base = stored(restart.join(sources.withColumn("moves", F.lit(True)), ["query_id", "node_id"], "left").select("query_id", "node_id", "r", F.coalesce("moves", F.lit(False)).alias("moves")))
-    current = base.join(small_side(sizes), "query_id").select("query_id", "node_id", (1 / F.col("n")).alias("score"), F.lit(0).alias("iterations"), F.lit(False).alias("converged"))
-    d = config.pagerank_alpha
-    for turn in range(1, (iterations or config.pagerank_max_iter) + 1):
-        current = stored(current)
-        active = current.filter("not converged")
-        if iterations is None and active.isEmpty():
-            break
-        flow = moves.join(active.select("query_id", F.col("node_id").alias("src"), "score"), ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("p") * F.col("score")).alias("in"))
-        state = base.join(active, ["query_id", "node_id"])
+    sizes = restart.groupBy("query_id").agg(F.count("*").alias("n"))
+    sources = moves.select("query_id", F.col("src").alias("node_id")).distinct().withColumn("moves", F.lit(True))
+    base = restart.join(small_side(sizes), "query_id").join(sources, ["query_id", "node_id"], "left")
+    state = stored(base.select("query_id", "node_id", "n", "r", F.coalesce("moves", F.lit(False)).alias("moves"), (1 / F.col("n")).alias("score")))
+    d, done = config.pagerank_alpha, []
+    most = iterations or config.pagerank_max_iter
+
+    def result(rows: DataFrame, turn: int, converged: bool) -> DataFrame:
+        return rows.select("query_id", "node_id", "score", F.lit(turn).alias("iterations"), F.lit(converged).alias("converged"))
+
+    for turn in range(1, most + 1):
+        flow = moves.join(state.select("query_id", F.col("node_id").alias("src"), "score"), ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("p") * F.col("score")).alias("in"))
         lost = state.groupBy("query_id").agg(F.sum(F.when(F.col("moves"), 0.0).otherwise(F.col("score"))).alias("lost"))
-        after = state.join(flow, ["query_id", "node_id"], "left").join(small_side(lost), "query_id").select("query_id", "node_id", "score", (d * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("r")) + (1 - d) * F.col("r")).alias("next"))
+        after = state.join(flow, ["query_id", "node_id"], "left").join(small_side(lost), "query_id")
+        moved = after.select("query_id", "node_id", "n", "r", "moves", F.col("score").alias("before"), (d * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("r")) + (1 - d) * F.col("r")).alias("score"))
+        state = stored(moved)
         if iterations is None:
-            after = stored(after)
-            change = after.groupBy("query_id").agg(F.sum(F.abs(F.col("next") - F.col("score"))).alias("c")).join(small_side(sizes), "query_id").select("query_id", (F.col("c") < F.col("n") * config.pagerank_tolerance).alias("converged"))
-            moved = after.join(small_side(change), "query_id").select("query_id", "node_id", F.col("next").alias("score"), F.lit(turn).alias("iterations"), "converged")
-            current = moved.union(current.filter("converged"))
-        else:
-            current = after.select("query_id", "node_id", F.col("next").alias("score"), F.lit(turn).alias("iterations"), F.lit(False).alias("converged"))
-    return stored(current)
+            change = state.groupBy("query_id").agg((F.sum(F.abs(F.col("score") - F.col("before"))) < F.first("n") * config.pagerank_tolerance).alias("still"))
+            change = stored(change)
+            if not change.filter("still").isEmpty():
+                done.append(result(state.join(small_side(change.filter("still")), "query_id", "left_semi"), turn, True))
+                if change.filter("not still").isEmpty():
+                    return reduce(DataFrame.union, done)
+                state = state.join(small_side(change.filter("not still")), "query_id", "left_semi")
+                moves = moves.join(small_side(change.filter("not still")), "query_id", "left_semi")
+    return reduce(DataFrame.union, [*done, result(state, most, False)])
 
 
 def similarity_edges(vectors: DataFrame, threshold: float, top_k: int = Config().entity_similarity_top_k, blocks: int = 8) -> DataFrame:

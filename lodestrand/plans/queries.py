@@ -218,14 +218,14 @@ def _ranks(index, q) -> DataFrame:
 
 @query
 def fact_rerank(spark, d):
-    index, q = _index(spark, d), _questions(spark, d)
+    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
     return _lexical_facts(index, q).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query
 def seed_scores(spark, d):
     """Restart seeds from reranked facts and chunks, damped at hubs."""
-    index, q = _index(spark, d), _questions(spark, d)
+    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
     counts, degree = graph.chunk_counts(index["edges"], index["nodes"]), graph.degrees(index["edges"])
     seeds = retrieval.seed_scores(stored(_lexical_facts(index, q)), index["facts"], stored(_lexical_chunks(index, q)), q, counts, degree, None, CONFIG)
     return seeds.select("query_id", "node_id", F.round("score", 6).alias("score"))
@@ -234,14 +234,14 @@ def seed_scores(spark, d):
 @query
 def ppr_fixed_iters(spark, d):
     """The thirty highest nodes of every question after a fixed number of steps."""
-    index, q = _index(spark, d), _questions(spark, d)
+    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
     rounded = _ranks(index, q).select("query_id", "node_id", F.round("score", 9).alias("score"))
     return retrieval.top_k(rounded, ["query_id"], 30, ["node_id"]).drop("rank")
 
 
 @query
 def passage_rank(spark, d):
-    index, q = _index(spark, d), _questions(spark, d)
+    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
     facts = stored(pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q))
     ranked = retrieval.rank_passages(_ranks(index, q), index, _lexical_chunks(index, q), facts, q, CONFIG)
     return ranked.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
@@ -249,7 +249,7 @@ def passage_rank(spark, d):
 
 @query
 def sentence_blend(spark, d):
-    index, q = _index(spark, d), _questions(spark, d)
+    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
     facts = stored(pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q))
     none = _lexical_chunks(index, q).limit(0)
     return retrieval.sentence_scores(_ranks(index, q), none, facts, CONFIG).withColumn("score", F.round("score", 9))
@@ -257,7 +257,7 @@ def sentence_blend(spark, d):
 
 @query
 def neighbour_sentences(spark, d):
-    index, q = _index(spark, d), _questions(spark, d)
+    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
     facts = pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q).select("query_id", "corpus_id", "chunk_id", "sentence_index", "score")
     return retrieval.neighbours(facts, index["sentences"]).withColumn("score", F.round("score", 6))
 
@@ -272,7 +272,7 @@ def title_diverse_topk(spark, d):
 
 
 def _answered(spark, d, **options):
-    return pipeline.answer(_index(spark, d), _questions(spark, d).select("query_id", "corpus_id", "query"), config=CONFIG, **options)
+    return pipeline.answer(graph.materialised(_index(spark, d)), _questions(spark, d).select("query_id", "corpus_id", "query"), config=CONFIG, **options)
 
 
 @query
