@@ -91,4 +91,21 @@ def p10_redacted(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_groups, p5_found, p5_entities, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_redacted)}
-SQL: dict[str, str] = {}
+_BARE = "regexp_replace(lower({}),'[^\\p{{L}}\\p{{N}}]+','','g')"
+_LINES = "regexp_split_to_array(text,'\\r\\n|[\\n\\x0B\\f\\r]')"
+_IS_LABELS = f"contains(text,':') and len(list_filter({_LINES}, lambda x: not regexp_matches(x,'^[^:]{{1,60}}:.*[\\p{{L}}\\p{{N}}]|^[^\\p{{L}}\\p{{N}}]*$')))=0"
+_P4 = f"""with d as (select doc_id, {_BARE.format("coalesce(title,'')")} t, {_BARE.format("text")} x, case when {_IS_LABELS} then array_to_string(list_sort(list_filter(list_transform({_LINES}, lambda l: {_BARE.format("l")}), lambda l: l<>'')),chr(10)) end k from documents where text is not null),
+b as (select *, max(k) over (partition by t, x) kk from d where x<>''),
+g as (select doc_id, min(doc_id) over (partition by t, coalesce(chr(10)||kk, x)) keep, count(*) over (partition by t, coalesce(chr(10)||kk, x)) copies from b)"""
+_WINDOWS = "select {0}, substr(b, i, {1}) w from (select {0}, b, unnest(range(1, length(b)-{1}+2)) i from {2})"
+_P8 = f"""with s as (select sample_id, question, unnest(list_concat([question], list_transform(coalesce(documents,[]), lambda x: x.text))) t from samples where split in ('test','validation','dev')),
+sb as (select sample_id, case when regexp_matches(question,'[一-鿿㐀-䶿]') then 24 else 75 end n, {_BARE.format("t")} b from s where t is not null),
+db as (select doc_id, {_BARE.format("text")} b from documents where text is not null)
+select distinct doc_id, sample_id from ({_WINDOWS.format("doc_id", 75, "db")}) join ({_WINDOWS.format("sample_id", 75, "(select * from sb where n=75)")}) using (w)
+union select distinct doc_id, sample_id from ({_WINDOWS.format("doc_id", 24, "db")}) join ({_WINDOWS.format("sample_id", 24, "(select * from sb where n=24)")}) using (w)"""
+
+SQL: dict[str, str] = {
+    "p4_found": _P4 + " select distinct keep keep_doc_id, doc_id copy_doc_id from g where doc_id<>keep",
+    "p4_groups": _P4 + " select distinct keep, copies from g",
+    "p8_found": _P8,
+}
