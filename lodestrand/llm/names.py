@@ -77,10 +77,10 @@ def parse(name: str) -> dict | None:
     other: list[str] = []
     if org or not initials:
         base, qualifier, short = sorted(rest), legal, False
-    elif len(long) >= 2:
+    elif len(long) >= 2 and len(words) > len(long) and not (words[0] in initials and "-" in name):
         base, qualifier, short = sorted(long), initials[0], False
     elif long:
-        base, qualifier, short = [initials[0], *long], initials[1] if len(initials) > 1 else None, True
+        base, qualifier, short = [initials[0], *sorted(long)], initials[1] if len(initials) > 1 else None, True
     else:
         base, qualifier, short = rest, None, False
     if not org and not short and len(base) > 1:
@@ -184,8 +184,9 @@ def entities(names: DataFrame) -> DataFrame:
     first = _labels(bases, connected_components(typed))
     first = stored(first)
     # initials and other readings of nicknames: a form that leads to one entity links
-    two = first.filter("not short and not org and size(split(base, ' ')) = 2").select("base", "entity", F.split("base", " ").alias("w"))
-    initial = two.select("entity", F.explode(F.array(F.concat(F.substring(F.col("w")[0], 1, 1), F.lit(" "), F.col("w")[1]), F.concat(F.substring(F.col("w")[1], 1, 1), F.lit(" "), F.col("w")[0]))).alias("form"))
+    few = first.filter("not short and not org and size(split(base, ' ')) between 2 and 3").select("entity", F.split("base", " ").alias("w"))
+    forms_of = F.transform("w", lambda x, i: F.concat_ws(" ", F.substring(x, 1, 1), F.array_join(F.filter("w", lambda y, j: j != i), " ")))
+    initial = few.select("entity", F.explode(forms_of).alias("form"))
     owned = initial.groupBy("form").agg(F.min("entity").alias("entity"), F.max("entity").alias("last")).filter("entity = last").select("form", "entity")
     shorts = first.filter("short").select(F.col("base").alias("form"), F.col("entity").alias("b")).join(owned, "form").select(F.col("entity").alias("a"), "b")
     # nicknames that stand for more than one name

@@ -258,7 +258,7 @@ def groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
     Copies are not expanded into pairs: groups join classes, and members follow their class.
     """
-    members = stored(member_table(docs).select("doc_id", "class"))
+    members = stored(member_table(docs).select("doc_id", "code", "class"))
     linked = stored(class_pairs(docs, members, threshold).select("a", "b"))
     links = linked.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     labels = connected_components(linked).select(F.col("node").alias("class"), "component")
