@@ -58,18 +58,24 @@ def node_id(prefix: str, *parts: Column) -> Column:
     """A stable id: parts joined, everything but ASCII letters and digits one underscore, at most 120 characters."""
     joined = F.concat_ws("||", *[F.regexp_replace(F.coalesce(p.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "") for p in parts])
     clean = F.substring(F.lower(F.regexp_replace(F.regexp_replace(joined, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", "")), 1, 120)
-    return F.concat(F.lit(f"{prefix}:"), F.when(clean == "", F.lit("node")).otherwise(clean))
+    return F.concat(F.lit(f"{prefix}:"), F.regexp_replace(clean, "^$", "node"))
+
+
+_LEADING = "(?i)^(?:(?:" + "|".join(sorted({*QUESTION_WORDS, *LIGHT_STOPWORDS})) + ")(?: |$))+"
+_TRAILING = "(?i)(?:(?:^| )(?:" + "|".join(LIGHT_STOPWORDS) + "))+$"
+_GENERIC = "^(?:" + "|".join(GENERIC_TERMS) + r")?$|^\S(?: \S)*$"
+_ASKS = r"(?i)(?:^|\s)(?:" + "|".join(QUESTION_WORDS) + r")(?=\s|$)"
+_NAMED = r"(?:^|\s)\p{Lu}|^[^\s\p{Ll}]*\p{Lu}[^\s\p{Ll}]*$"
 
 
 def clean_entity(text: Column) -> Column:
-    """An entity without leading question words and articles and trailing small words; '' if under two characters."""
+    """An entity without leading question words and articles and trailing small words; '' if under two characters.
+
+    Each step reads its input once: nested copies of an expression would be evaluated anew inside array functions.
+    """
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9][A-Za-z0-9'\-]*"), F.lit(0))
-    lead, trail = array_of(sorted({*QUESTION_WORDS, *LIGHT_STOPWORDS})), array_of(LIGHT_STOPWORDS)
-    first = F.array_position(F.transform(tokens, lambda t: F.array_contains(lead, F.lower(t))), F.lit(False)).cast("int")
-    kept = F.when(first > 0, F.slice(tokens, F.greatest(first, F.lit(1)), F.size(tokens) - F.greatest(first, F.lit(1)) + 1)).otherwise(F.array().cast("array<string>"))
-    back = F.array_position(F.transform(F.reverse(kept), lambda t: F.array_contains(trail, F.lower(t))), F.lit(False)).cast("int")
-    joined = F.when(back > 0, F.array_join(F.slice(kept, F.lit(1), F.size(kept) - F.greatest(back, F.lit(1)) + 1), " ")).otherwise("")
-    return F.when(F.length(joined) >= 2, joined).otherwise("")
+    lead = F.regexp_replace(F.array_join(tokens, " "), _LEADING, "")
+    return F.regexp_replace(F.regexp_replace(lead, _TRAILING, ""), "^.$", "")
 
 
 def entity_key(text: Column) -> Column:
@@ -80,17 +86,13 @@ def entity_key(text: Column) -> Column:
 
 def is_generic(text: Column) -> Column:
     """Pronouns, general terms, nothing, or single characters only."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.\-_/]+", " "), r"(?U)\s+", " "))
-    return (t == "") | t.isin(GENERIC_TERMS) | F.forall(F.split(t, " "), lambda p: F.length(p) == 1)
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[.\-_/\s]+", " ")).rlike(_GENERIC)
 
 
 def is_named(text: Column) -> Column:
     """Looks like a name: not generic, no question word, and some token begins with a capital (a lone token may be all capitals)."""
-    tokens = words(text)
-    asks = F.exists(tokens, lambda t: F.lower(t).isin(QUESTION_WORDS))
-    capital = F.exists(tokens, lambda t: t.rlike(r"^\p{Lu}"))
-    lone = (F.size(tokens) == 1) & (F.upper(F.get(tokens, F.lit(0))) == F.get(tokens, F.lit(0))) & F.get(tokens, F.lit(0)).rlike(r"\p{Lu}")
-    return ~is_generic(text) & ~asks & (capital | F.coalesce(lone, F.lit(False)))
+    given = F.coalesce(text, F.lit(""))
+    return ~is_generic(given) & ~given.rlike(_ASKS) & given.rlike(_NAMED)
 
 
 def regex_entities(text: Column) -> Column:
@@ -130,8 +132,12 @@ def overlap_terms(text: Column) -> Column:
 
 def lexical_overlap(query: Column, text: Column) -> Column:
     """Share of the query's terms that the text has."""
-    q = overlap_terms(query)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, overlap_terms(text))) / F.size(q)).otherwise(0.0)
+    return term_share(overlap_terms(query), overlap_terms(text))
+
+
+def term_share(query_terms: Column, terms: Column) -> Column:
+    """Share of the distinct ``query_terms`` that ``terms`` has; 0 without any."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(query_terms, terms)), F.size(query_terms)), F.lit(0.0))
 
 
 def content_terms(text: Column, stopwords: list[str] = CONTENT_STOPWORDS) -> Column:
@@ -141,8 +147,7 @@ def content_terms(text: Column, stopwords: list[str] = CONTENT_STOPWORDS) -> Col
 
 def coverage(question: Column, text: Column) -> Column:
     """Share of the question's content terms that the text has."""
-    q = content_terms(question)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, content_terms(text))) / F.size(q)).otherwise(0.0)
+    return term_share(content_terms(question), content_terms(text))
 
 
 def term_jaccard(a: Column, b: Column) -> Column:

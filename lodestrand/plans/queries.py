@@ -189,19 +189,21 @@ def heuristic_decompose(spark, d):
 
 def _questions(spark, d) -> DataFrame:
     rows = _examples(spark, d).filter("example_id % 100 = 0 and question is not null").select(F.col("example_id").alias("query_id"), "corpus_id", F.col("question").alias("query"))
-    return stored(rows.withColumn("alpha", heuristic_alpha(F.col("query"))))
+    return stored(rows.withColumn("alpha", heuristic_alpha(F.col("query"))).withColumn("query_terms", X.overlap_terms(F.col("query"))))
 
 
 def _lexical_facts(index, q) -> DataFrame:
     """Facts of each question's corpus by lexical overlap, reranked: the plan of the fact channel without an encoder."""
     texts = index["facts"].groupBy("corpus_id", F.col("fact_id").alias("id")).agg(F.max_by("text", F.struct("ord", "sentence_index", "fact_index")).alias("text"))
-    scored = texts.join(small_side(q), "corpus_id").withColumn("score", X.lexical_overlap(F.col("query"), F.col("text"))).withColumn("ord", F.col("id"))
+    termed = stored(texts.withColumn("terms", X.overlap_terms(F.col("text"))))
+    scored = termed.join(small_side(q), "corpus_id").withColumn("score", X.term_share(F.col("query_terms"), F.col("terms"))).withColumn("ord", F.col("id"))
     return retrieval.rerank_facts(scored.select("query_id", "query", "id", "text", "ord", "score"), CONFIG).drop("ord")
 
 
 def _lexical_chunks(index, q) -> DataFrame:
     bodies = index["chunks"].groupBy("corpus_id", F.col("chunk_id").alias("id")).agg(F.max_by("body", "ord").alias("body"))
-    scored = bodies.join(small_side(q), "corpus_id").select("query_id", "id", X.lexical_overlap(F.col("query"), F.col("body")).alias("score"))
+    termed = stored(bodies.select("corpus_id", "id", X.overlap_terms(F.col("body")).alias("terms")))
+    scored = termed.join(small_side(q), "corpus_id").select("query_id", "id", X.term_share(F.col("query_terms"), F.col("terms")).alias("score"))
     return l1_normalised(retrieval.top_k(scored, ["query_id"], CONFIG.chunk_top_k, ["id"]), ["query_id"])
 
 
@@ -266,7 +268,8 @@ def neighbour_sentences(spark, d):
 def title_diverse_topk(spark, d):
     q = _questions(spark, d)
     bodies = graph.chunks(table(spark, d, "documents")).groupBy("corpus_id", F.col("chunk_id").alias("node_id")).agg(F.max_by(F.struct("title", "body"), "ord").alias("c"))
-    scored = bodies.join(small_side(q), "corpus_id").select("query_id", "node_id", "c.title", X.lexical_overlap(F.col("query"), F.col("c.body")).alias("score"))
+    termed = stored(bodies.select("corpus_id", "node_id", "c.title", X.overlap_terms(F.col("c.body")).alias("terms")))
+    scored = termed.join(small_side(q), "corpus_id").select("query_id", "node_id", "title", X.term_share(F.col("query_terms"), F.col("terms")).alias("score"))
     ranked = retrieval.top_k(scored, ["query_id"], 50, ["node_id"])
     return retrieval.diverse(ranked, CONFIG.qa_passage_top_k).withColumn("rank", F.col("rank").cast("long"))
 
