@@ -49,7 +49,7 @@ nick=nicholas nicky=nicholas nico=nicholas klaus=nicholas nicolas=nicholas oscar
 penny=penelope pen=penelope pete=peter petey=peter phil=philip phillip=philip pip=philip quent=quentin quint=quentin ray=raymond richie=richard rich=richard ricky=richard ron=ronald sam=samuel,samantha
 sammy=samuel,samantha sandy=alexander,sandra stan=stanley steve=steven sue=susan susie=susan suzy=susan suzie=susan susanna=susan terry=theresa tess=theresa tessa=theresa tessie=theresa teresa=theresa therese=theresa
 thea=theodora tim=timothy timmy=timothy tom=thomas tommy=thomas ursel=ursula uschi=ursula val=valerie vicky=victoria vicki=victoria vic=victor,victoria viktoria=victoria tori=victoria vince=vincent walt=walter
-wendy=gwendolyn yvon=yvonne evonne=yvonne xen=xenia zach=zachary zack=zachary zak=zachary zac=zachary zachariah=zachary layla=leila laila=leila dorothea=dorothy dora=dorothy dory=dorothy sofie=sophia toby=tobias"""
+wendy=gwendolyn yvon=yvonne evonne=yvonne xen=xenia zach=zachary zack=zachary zak=zachary zac=zachary zachariah=zachary layla=leila laila=leila nikolas=nicholas niklas=nicholas josef=joseph katharine=katherine katharina=katherine kristina=christina viktor=victor frederik=frederick philipp=philip dorothea=dorothy dora=dorothy dory=dorothy sofie=sophia toby=tobias"""
 _NICK = {k: v.split(",") for k, v in (x.split("=") for x in _NICK_TEXT.split())}
 _LETTERS = {"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"}
 
