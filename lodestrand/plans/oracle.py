@@ -154,7 +154,6 @@ seed2 as (select query_id, s1.node_id, s/(case when s1.node_id like 'entity:%' t
 seed3 as (select query_id, node_id, score from seed2 union all select query_id, id, score from chunk_rank where query_id not in (select query_id from fact_rank)),
 seed4 as (select query_id, node_id, sum(score) score from seed3 group by 1,2),
 seed_scores as (select query_id, node_id, score/sum(score) over (partition by query_id) score from seed4 where score>0)"""
-MERGED = ("list_transform", "array_to_string")
 
 SQL: dict[str, str] = {}
 
@@ -187,7 +186,6 @@ _add("last_wins_merge", "", "select query_id, id, round(s/sum(s) over (partition
 _add("fact_rerank", ",\n".join((GRAPH, QUERIES, FACT_PARTS)), "select query_id, id, rank, round(score,6) score from fact_rank")
 _add("seed_scores", ",\n".join((GRAPH, COUNTS, QUERIES, FACT_PARTS, SEED_SCORES)), "select query_id, node_id, round(score,6) score from seed_scores")
 _add("ppr_fixed_iters", ALL, f"select query_id, node_id, round(score,9) score from it{STEPS} qualify row_number() over (partition by query_id order by round(score,9) desc, node_id)<=30")
-_pw = "sum(case node_type when 'chunk' then (0.35+0.90*ac)*score when 'sentence' then (0.08+0.55*as_)*score end)"
 PASSAGES = f"""placed as (select i.query_id, i.node_id, i.score, q.corpus_id, q.af, q.as_, q.ac, n.node_type, n.chunk_id from it{STEPS} i join qs q using (query_id) join nodes n on n.corpus_id=q.corpus_id and n.node_id=i.node_id),
 touch as (select t.corpus_id, t.node_id, h.chunk_id home, count(*) times from (select corpus_id, src node_id, dst near from edges union all select corpus_id, dst, src from edges) t join nodes h on h.corpus_id=t.corpus_id and h.node_id=t.near and h.node_type='sentence' group by 1,2,3),
 contrib as (select query_id, chunk_id, (case node_type when 'chunk' then 0.35+0.90*ac else 0.08+0.55*as_ end)*score s from placed where node_type<>'entity'

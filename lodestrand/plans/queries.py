@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import reader
 from ..functions import text as X
 from ..functions.scores import entropy_confidence, heuristic_alpha, l1_normalised, profile_of, quota_of
 from ..functions.scores import alpha as normal_alpha
@@ -310,6 +311,23 @@ def token_f1(spark, d):
     return _examples(spark, d).select("example_id", F.round(X.token_f1(p, g), 6).alias("f1"), X.exact_match(p, g).alias("em"))
 
 
+@query
+def or_choices(spark, d):
+    """The choices that questions offer, and the answers settled on them."""
+    rows = _examples(spark, d).filter("question is not null").withColumn("offered", reader.choices(F.col("question")))
+    return rows.select("example_id", F.array_join("offered", " | ").alias("offered"), reader.settled(X.parsed_answer(F.col("predicted_answer")), F.col("offered")).alias("settled"))
+
+
+@query
+def reader_passages(spark, d):
+    """Documents of the questions' corpora as a reader gets them: an excerpt under a numbered heading."""
+    q = _questions(spark, d)
+    bodies = graph.chunks(table(spark, d, "documents")).select("corpus_id", F.col("chunk_id").alias("node_id"), "title", "body", X.overlap_terms(F.col("body")).alias("terms"))
+    scored = bodies.join(small_side(q), "corpus_id").withColumn("score", X.term_share(F.col("query_terms"), F.col("terms")))
+    best = retrieval.top_k(scored, ["query_id"], CONFIG.qa_passage_top_k, ["node_id", "title"])
+    return best.select("query_id", "rank", X.formatted_passage(F.col("rank"), F.col("title"), reader.reader_excerpt(F.col("body"), F.col("query"), 120)).alias("passage"))
+
+
 @query
 def best_em_f1(spark, d):
     """Best scores of each sample's own answer forms against its gold set."""

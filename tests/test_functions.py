@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrand.functions import reader as R
 from lodestrand.functions import scores as S
 from lodestrand.functions import text as X
 from lodestrand.plans.pipeline import heuristic_parts
@@ -82,6 +83,19 @@ def test_l1(spark):
     assert {r.id: r.score for r in S.l1_normalised(rows, ["q"]).collect()} == {"a": 0.75, "d": 0.25}
 
 
+def test_reader(spark):
+    of = lambda q: value(spark, R.choices(F.lit(q)))
+    assert of("Which is older, Fort Ab or Lake Cd?") == ["Fort Ab", "Lake Cd"]
+    assert of("Did Ada study music?") == ["yes", "no"] and of("Who sold it?") == []
+    two = F.array(F.lit("Fort Ab"), F.lit("Lake Cd"))
+    assert value(spark, R.settled(F.lit('"It is Lake Cd."'), two)) == "Lake Cd"
+    assert value(spark, R.settled(F.lit("Yes, both."), F.array(F.lit("yes"), F.lit("no")))) == "yes"
+    assert value(spark, R.settled(F.lit("Ada because she said so."), F.array().cast("array<string>"))) == "Ada"
+    assert "Choices: Fort Ab | Lake Cd" in value(spark, R.prompt(F.lit("q?"), F.lit("p"), two))
+    assert value(spark, R.reader(lambda p: [x.upper() for x in p])(F.lit("a"))) == "A"
+    assert value(spark, X.formatted_passage(F.lit(1), F.lit("T"), F.lit("body"))) == "Passage 1 [T]:\nbody"
+
+
 def test_decompose(spark):
     assert value(spark, heuristic_parts(F.lit("Who built the old bridge and then sold it to Ada?"))) == ["Who built the old bridge?", "sold it to Ada?"]
     assert value(spark, heuristic_parts(F.lit("Name it?"))) == ["Name it?"]

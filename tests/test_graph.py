@@ -82,6 +82,28 @@ def test_packing(spark):
     assert budget <= 150
 
 
+def _made(spark):
+    rows = [(1, (0.3, 0.5, 0.2), k, f"{k}{i}", f"Title {i}", f"{k} line {i * 31} about {'abcdefghijkl'[i % 12] * 4} things", 1 / (i + 1), i) for k in ("fact", "sentence", "chunk") for i in range(15)]
+    return spark.createDataFrame(rows, "query_id long, alpha struct<fact:double,sentence:double,chunk:double>, kind string, node_id string, title string, line string, pack_score double, ord int")
+
+
+def test_packing_without_sentences(spark):
+    kinds = lambda **o: [r.kind for r in evidence.pack_without_sentences(_made(spark), **o).collect()]
+    loose, strict = kinds(), kinds(strict=True)
+    assert set(loose) == set(strict) == {"fact", "chunk"} and strict.count("fact") == 6 and strict.count("chunk") == 4 and len(loose) > len(strict)
+
+
+def test_groups(spark):
+    rows = [(1, f"s{i}", f"T{i % 4}", 1 / (i + 1), (i % 5) / 5, src, part) for src, part in (("fact", None), ("context", None), ("part", 0), ("part", 1), ("ranked", None)) for i in range(10)]
+    df = spark.createDataFrame(rows, "query_id long, node_id string, title string, score double, coverage double, source string, part int")
+    for quotas in (evidence.MULTI_HOP, evidence.FACT_FIRST):
+        got = evidence.grouped(df, quotas=quotas).orderBy("rank").collect()
+        assert len(got) <= 14 and len({r.node_id for r in got}) == len(got) and got[0].node_id == "s0" and got[0].label == "Filtered fact source"
+    taken = evidence.grouped(df, most=3).join(df.select("node_id", "title").distinct(), "node_id")
+    fair = evidence.fair_context(taken, df.filter("source = 'ranked'")).orderBy("rank").collect()
+    assert [r.node_id for r in fair[:3]] == [r.node_id for r in taken.orderBy("rank").collect()] and 3 < len(fair) <= 9
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (None, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a int, b int")).collect()}
