@@ -176,7 +176,7 @@ def entities(names: DataFrame) -> DataFrame:
     full = bases.filter("not short").select("base")
     forms = stored(full.mapInArrow(_omission_rows, "form string, base string").select(F.xxhash64("form").alias("form"), "base"))
     met = forms.select("form", F.col("base").alias("a")).join(forms.select("form", F.col("base").alias("b")), "form").filter("a < b").select("a", "b").distinct()
-    differ = stored(met.withColumn("d", _difference("a", "b")).filter(F.size("d") > 0).select("a", "b", F.col("d")[0].alias("x"), F.col("d")[1].alias("y")))
+    differ = stored(met.withColumn("d", _difference("a", "b")).filter(F.size("d") > 0).select("a", "b", F.get("d", F.lit(0)).alias("x"), F.get("d", F.lit(1)).alias("y")))
     wanted = differ.select(F.explode(F.array("x", "y")).alias("word")).distinct()
     df = full.select(F.explode(F.array_distinct(F.split("base", " "))).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     typed = differ.join(df.select(F.col("word").alias("x"), F.col("df").alias("dx")), "x").join(df.select(F.col("word").alias("y"), F.col("df").alias("dy")), "y").filter(F.least("dx", "dy") < COMMON).select("a", "b")
@@ -189,6 +189,13 @@ def entities(names: DataFrame) -> DataFrame:
     initial = few.select("entity", F.explode(forms_of).alias("form"))
     owned = initial.groupBy("form").agg(F.min("entity").alias("entity"), F.max("entity").alias("last")).filter("entity = last").select("form", "entity")
     shorts = first.filter("short").select(F.col("base").alias("form"), F.col("entity").alias("b")).join(owned, "form").select(F.col("entity").alias("a"), "b")
+    # a typing error beside an initial: forms that one character left out makes equal
+    left = first.filter("short").select("base", F.col("entity").alias("b")).join(owned.select(F.col("form").alias("base")), "base", "left_anti")
+    slips = left.select("base").mapInArrow(_omission_rows, "form string, base string").select(F.xxhash64("form").alias("h"), F.col("base").alias("x"))
+    right = owned.select(F.col("form").alias("base")).mapInArrow(_omission_rows, "form string, base string").select(F.xxhash64("form").alias("h"), F.col("base").alias("y"))
+    near_forms = slips.join(right, "h").select("x", "y").distinct().withColumn("d", _difference("x", "y")).filter((F.size("d") > 0) & (F.length(F.get("d", F.lit(0))) > 4))
+    slipped = near_forms.join(owned.withColumnRenamed("form", "y"), "y").groupBy("x").agg(F.min("entity").alias("a"), F.max("entity").alias("z")).filter("a = z")
+    shorts = shorts.union(slipped.join(left.withColumnRenamed("base", "x"), "x").select("a", "b"))
     # nicknames that stand for more than one name
     nick = parsed.filter(F.size("other") > 0).select("base", F.explode("other").alias("read")).distinct()
     by_name = first.select("base", "entity")
