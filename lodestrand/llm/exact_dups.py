@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 #: A line ``Label: value``, or one without letters and digits.
 LABEL_LINE = r"^[^:]{1,60}:.*[\p{L}\p{N}]|^[^\p{L}\p{N}]*$"
 
@@ -41,11 +43,16 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _survivors(docs: DataFrame) -> DataFrame:
-    """Distinct (title, text) rows with their counts, canonicalised."""
+    """Distinct (title, text) rows with their counts, canonicalised: raw and same (digests), rep, n, t, x, k.
+
+    Written to the shared folder, so that the canonical text is made once, and of survivors only: otherwise conditions
+    on it would be pushed below the collapse of the raw rows and be worked out for every one of them.
+    """
     raw = _rows(docs).groupBy("title", "text").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    return raw.select(
-        "title", "text", "rep", "n", bare_column(F.col("title")).alias("t"), bare_column(F.col("text")).alias("x"), lines_key(F.col("text")).alias("k")
-    ).filter(F.length("x") > 0)
+    made = raw.select(
+        digest(F.col("title"), F.col("text")).alias("raw"), "rep", "n", bare_column(F.col("title")).alias("t"), bare_column(F.col("text")).alias("x"), lines_key(F.col("text")).alias("k")
+    )
+    return stored(made.withColumn("same", digest(F.col("t"), F.col("x")))).filter("x <> ''")
 
 
 def _bare_groups(survivors: DataFrame) -> DataFrame:
@@ -53,9 +60,9 @@ def _bare_groups(survivors: DataFrame) -> DataFrame:
 
     A bare group of which one member is made of ``Label: value`` lines goes with its sorted lines.
     """
-    by_text = survivors.groupBy("t", "x").agg(F.min("rep").alias("keep"), F.sum("n").alias("copies"), F.max("k").alias("k"))
+    by_text = survivors.groupBy("t", "x").agg(F.first("same").alias("same"), F.min("rep").alias("keep"), F.sum("n").alias("copies"), F.max("k").alias("k"))
     return by_text.select(
-        digest(F.col("t"), F.col("x")).alias("same"), "keep", "copies",
+        "same", "keep", "copies",
         digest(F.col("t"), F.when(F.col("k").isNull(), F.col("x")).otherwise(F.concat(F.lit("\n"), "k"))).alias("final"),
     )
 
@@ -72,7 +79,7 @@ def membership(docs: DataFrame) -> DataFrame:
     by_text = _bare_groups(survivors)
     final = by_text.groupBy("final").agg(F.min("keep").alias("keep"), F.sum("copies").alias("copies")).filter("copies > 1")
     by_same = by_text.select("same", "final").join(final, "final").select("same", "keep", "copies")
-    by_raw = survivors.select(digest(F.col("title"), F.col("text")).alias("raw"), digest(F.col("t"), F.col("x")).alias("same")).join(by_same, "same").select("raw", "keep", "copies")
+    by_raw = survivors.select("raw", "same").join(by_same, "same").select("raw", "keep", "copies")
     return _rows(docs).select("doc_id", digest(F.col("title"), F.col("text")).alias("raw")).join(by_raw, "raw").select("doc_id", "keep", "copies")
 
 
