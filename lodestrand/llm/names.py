@@ -4,7 +4,8 @@ Every name is rewritten canonically: case, accents and punctuation go, abbreviat
 order of tokens is ignored, titles and articles are dropped, middle initials and legal forms set aside as qualifiers.
 Names of equal base are one candidate entity. Further rewritings (a token with one character left out, for typing
 errors; the first name's initial; the other names that a nickname stands for) are exploded into forms and equi-joined,
-and a form links only if it is rare enough to tell: one that two entities share links neither.
+and a form links only if it can tell: one that two entities share links neither. Two words one character apart are
+spellings of one word if a good share of the bases that hold the rarer one occur with the other word too, however many.
 
 Qualifiers that contradict each other (two middle initials, two legal forms) keep names apart, and a name without one
 then goes with neither. Null, blank and unnameable strings (no letter) are in no pair; repeated rows count once.
@@ -164,8 +165,8 @@ def mentions(sentences: DataFrame) -> DataFrame:
     return sentences.select(F.explode(F.concat(F.coalesce("entities", F.array()), ends)).alias("name")).filter("name is not null and trim(name) <> ''").groupBy("name").agg(F.count("*").alias("n"))
 
 
-#: Bases in which a word occurs before it counts as a word of its own, of which no other word is a misspelling.
-COMMON = 6
+#: Least share of the rarer word's bases that have a twin with the commoner word, for the two to be spellings of one word.
+TWINS = 0.2
 
 
 def entities(names: DataFrame) -> DataFrame:
@@ -179,8 +180,10 @@ def entities(names: DataFrame) -> DataFrame:
     differ = stored(met.withColumn("d", _difference("a", "b")).filter(F.size("d") > 0).select("a", "b", F.get("d", F.lit(0)).alias("x"), F.get("d", F.lit(1)).alias("y")))
     wanted = differ.select(F.explode(F.array("x", "y")).alias("word")).distinct()
     df = full.select(F.explode(F.array_distinct(F.split("base", " "))).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    typed = differ.join(df.select(F.col("word").alias("x"), F.col("df").alias("dx")), "x").join(df.select(F.col("word").alias("y"), F.col("df").alias("dy")), "y").filter(F.least("dx", "dy") < COMMON).select("a", "b")
-    typed = stored(typed)
+    twins = differ.groupBy(F.least("x", "y").alias("v"), F.greatest("x", "y").alias("w")).agg(F.count("*").alias("twins"))
+    counted = twins.join(df.select(F.col("word").alias("v"), F.col("df").alias("dv")), "v").join(df.select(F.col("word").alias("w"), F.col("df").alias("dw")), "w")
+    one = counted.filter(F.col("twins") >= TWINS * F.least("dv", "dw")).select("v", "w")
+    typed = stored(differ.withColumn("v", F.least("x", "y")).withColumn("w", F.greatest("x", "y")).join(one, ["v", "w"], "left_semi").select("a", "b"))
     first = _labels(bases, connected_components(typed))
     first = stored(first)
     # initials and other readings of nicknames: a form that leads to one entity links

@@ -63,6 +63,15 @@ def test_spellings(spark, want):
     assert groups_of(linked(spark, every), every) == {frozenset(g) for g in want}
 
 
+def test_common_misspellings(spark):
+    """A spelling variant links however often it occurs; two names that merely look alike do not."""
+    places = [a + b + "nor" for a in ("Bada", "Kuse", "Mipo", "Revu", "Zola") for b in ("fi", "gu", "to", "xe")]
+    variants = [f"{g} {s}" for s in places[:8] for g in ("Ivonne", "Yvonne")] + [f"Yvonne {s}" for s in places[8:]]
+    apart = [f"Andre {s}" for s in places[:10]] + [f"Andrew {s}" for s in places[9:]]
+    found = linked(spark, variants + apart)
+    assert found == {(f"Ivonne {s}", f"Yvonne {s}") for s in places[:8]}
+
+
 def test_near():
     assert names.near("abcd", "abd") and names.near("abcd", "abxcd") and names.near("abcd", "abdc") and names.near("abcd", "axcd")
     assert not names.near("abcd", "ab") and not names.near("abcd", "badc")
