@@ -34,6 +34,16 @@ def test_defects(spark):
     assert got == {(1, "predicted_answer"): "empty", (2, "predicted_answer"): "copies_question", (3, "predicted_answer"): "refusal", (4, "predicted_answer"): "truncated", (5, "predicted_answer"): "truncated", (6, "predicted_answer"): "truncated", (8, "predicted_answer"): "empty", (8, "gold_answer"): "empty"}
 
 
+def test_common_fragments(spark):
+    """A word that breaks off is found however often its fragment is a word elsewhere, and in copies of one answer."""
+    made = [(100 + i, f"Whom did Ada{i} marry?", f"Ada{i} Soxenov married Otto{i} Lee.", f"Ada{i} Soxenov married Otto{i} Lee.") for i in range(30)]
+    seas = [(200 + i, f"Wie sah Eva{i} das mar?", f"Eva{i} sah das mar {i} gern.", "no") for i in range(20)]
+    copies = [(300 + i, "Whom did Dora marry?", "Otto Lee", "Dora Soxenov marri") for i in range(6)]
+    rows = made + seas + copies + [(1, "Whom did Ines marry?", "Otto Lee", "Ines Soxenov mar"), (2, "What did Eva see?", "das mar", "Tom")]
+    got = {(r.example_id, r.field): r.defect for r in pairs.defects(spark.createDataFrame(rows, "example_id long, question string, gold_answer string, predicted_answer string")).collect()}
+    assert got == {(1, "predicted_answer"): "truncated"} | {(300 + i, "predicted_answer"): "truncated" for i in range(6)}
+
+
 def linked(spark, spellings):
     rows = [([s], None) for s in spellings] + [(None, [(spellings[0], "r", spellings[0], None, None)]), ([""], [])]
     df = spark.createDataFrame(rows, "entities array<string>, triples array<struct<head:string,relation:string,tail:string,confidence:double,extractor:string>>")
