@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph
+from .operators import graph, retrieval
 from .plans import pipeline
 from .sources import payloads
 
@@ -28,7 +28,7 @@ def main() -> None:
     if args.verb == "index":
         rows = payloads.documents(payloads.read_objects(spark, args.corpus))
         docs = rows.select(F.lit(args.corpus_id).alias("corpus_id"), F.col("document_index").cast("long").alias("doc_id"), "document_index", "title", "text")
-        payloads.write_index(graph.build(docs), args.out)
+        payloads.write_index(graph.build(docs, encode=retrieval.hashed_encoder()), args.out)
     else:
         tables = {k: v.filter(F.col("corpus_id") == args.corpus_id) for k, v in payloads.read_index(spark, args.index).items()}
         asked = spark.createDataFrame([(0, args.corpus_id, args.question)], "query_id long, corpus_id string, query string")

@@ -18,6 +18,10 @@ from ..functions.scores import hub_scale
 from ..runtime import small_side, stored
 
 
+#: Vectors in a block of a similarity join: two blocks and their product stay within a task's memory.
+BLOCK = 4096
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     """corpus_id, ord, document_index, title, body of the documents that have a text; no title gives ``doc_<index>``."""
     strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -89,6 +93,22 @@ def raw_edges(split: DataFrame, mentioned: DataFrame, known: DataFrame, sentence
     return reduce(DataFrame.union, [*parts, relation])
 
 
+def raw_similarity(named: DataFrame, encode, config: Config = Config()) -> DataFrame:
+    """The edges between entities of one corpus whose vectors are alike; they arise after all others."""
+    vectors = stored(named.select("corpus_id", F.col("entity_id").alias("id"), encode("text").alias("vec")))
+    hits = stored(similarity_edges(vectors, config.entity_similarity_threshold, config.entity_similarity_top_k))
+    one = lambda x, y, step: hits.select("corpus_id", F.col(x).alias("src"), F.col(y).alias("dst"), F.col("cosine").alias("weight"), F.lit("entity_similarity").alias("kind"), F.lit(None).cast("string").alias("relation"), F.lit(2**63 - 1).alias("ord"), F.lit(step).alias("step"))
+    return one("src", "dst", 9).union(one("dst", "src", 10))
+
+
+def all_edges(split: DataFrame, mentioned: DataFrame, known: DataFrame, named: DataFrame, config: Config = Config(), encode=None) -> DataFrame:
+    """The merged edges of an index; those between similar entities need an encoder."""
+    raw = raw_edges(split, mentioned, known, config.enable_sentence_layer)
+    if encode is not None and config.enable_entity_similarity_edges:
+        raw = raw.union(raw_similarity(named, encode, config))
+    return merged_edges(raw)
+
+
 def merged_edges(raw: DataFrame) -> DataFrame:
     """One row per (src, dst): weights summed, kinds and relations as sorted sets, the first kind as type.
 
@@ -125,15 +145,15 @@ def chunk_counts(edges: DataFrame, node_table: DataFrame) -> DataFrame:
     return own.join(counts, ["corpus_id", "node_id"], "left").select("corpus_id", F.col("node_id").alias("entity_id"), F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).alias("chunk_count"))
 
 
-def build(docs: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
-    """All index tables of the corpora in ``docs``."""
+def build(docs: DataFrame, config: Config = Config(), encode=None) -> dict[str, DataFrame]:
+    """All index tables of the corpora in ``docs``; ``encode`` makes the vectors that edges between similar entities need."""
     chunked = chunks(docs, config)
     split = stored(sentences(chunked))
     mentioned = mentions(split)
     known = facts(split)
     # a name among a fact's ends is a mention of its sentence already
     named = entities(mentioned)
-    edges = merged_edges(raw_edges(split, mentioned, known, config.enable_sentence_layer))
+    edges = all_edges(split, mentioned, known, named, config, encode)
     table = nodes(chunked, split, named, config.enable_sentence_layer)
     return {"chunks": chunked, "sentences": split, "mentions": mentioned, "entities": named, "facts": known, "edges": edges, "nodes": table}
 
@@ -228,7 +248,8 @@ def pagerank(moves: DataFrame, restart: DataFrame, config: Config = Config(), it
 
 
 def similarity_edges(vectors: DataFrame, threshold: float, top_k: int = Config().entity_similarity_top_k, blocks: int = 8) -> DataFrame:
-    """src, dst, cosine: pairs of vectors at ``threshold`` or above, at most ``top_k`` per source.
+    """src, dst, cosine: pairs of vectors at ``threshold`` or above, at most ``top_k`` per source; with a column
+    ``corpus_id``, which then comes out too, pairs are those of one corpus, in as many blocks as its size calls for.
 
     Vectors (id, vec) are dealt into blocks; each pair of blocks is one matrix product, and only its hits leave it, so
     no pair of rows is ever materialised. The work is quadratic in the number of vectors, as the definition is.
@@ -236,24 +257,29 @@ def similarity_edges(vectors: DataFrame, threshold: float, top_k: int = Config()
     import numpy as np
     import pandas as pd
 
-    dealt = vectors.filter("vec is not null").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("b").alias("x"), F.col("o").alias("y"), "id", "vec")
-    right = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("o").alias("x"), F.col("b").alias("y"), "id", "vec")
+    by = [c for c in vectors.columns if c == "corpus_id"]
+    given = vectors.filter("vec is not null").withColumn("blocks", F.lit(blocks))
+    if by:
+        given = given.drop("blocks").join(small_side(given.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))), by)
+    dealt = given.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = dealt.select(*by, F.col("b").alias("x"), F.col("o").alias("y"), "id", "vec")
+    right = dealt.select(*(F.col(c).alias(c) for c in by), F.col("o").alias("x"), F.col("b").alias("y"), F.col("id").alias("id"), F.col("vec").alias("vec"))
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "cosine": []})
+            return pd.DataFrame({c: [] for c in (*by, "src", "dst", "cosine")})
         m, n = np.stack(a["vec"]).astype(np.float64), np.stack(b["vec"]).astype(np.float64)
         m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-8
         n /= np.linalg.norm(n, axis=1, keepdims=True) + 1e-8
         s = m @ n.T
         i, j = np.nonzero(s >= threshold)
-        return pd.DataFrame({"src": a["id"].to_numpy()[i], "dst": b["id"].to_numpy()[j], "cosine": s[i, j]})
+        return pd.DataFrame({**{c: [a[c].iloc[0]] * len(i) for c in by}, "src": a["id"].to_numpy()[i], "dst": b["id"].to_numpy()[j], "cosine": s[i, j]})
 
     kind = dict(vectors.dtypes)["id"]
-    hits = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(product, f"src {kind}, dst {kind}, cosine double").filter("src <> dst")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cosine"), "dst"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= top_k).select("src", "dst", "cosine")
+    keys = [*by, "x", "y"]
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, ", ".join([*(f"{c} string" for c in by), f"src {kind}, dst {kind}, cosine double"])).filter("src <> dst")
+    rank = F.row_number().over(Window.partitionBy(*by, "src").orderBy(F.desc("cosine"), "dst"))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= top_k).select(*by, "src", "dst", "cosine")
 
 
 def similarity_weights(hits: DataFrame) -> DataFrame:

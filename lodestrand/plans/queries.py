@@ -73,8 +73,8 @@ def facts_regex(spark, d):
     return rows.select(F.col("ord").alias("doc_id"), F.col("sentence_index").cast("long").alias("sentence_index"), F.col("fact_index").cast("long").alias("fact_index"), "head", "relation", "tail", "confidence")
 
 
-def _index(spark, d):
-    return graph.build(table(spark, d, "documents"), CONFIG)
+def _index(spark, d, encode=None):
+    return graph.build(table(spark, d, "documents"), CONFIG, encode)
 
 
 @query
@@ -276,7 +276,8 @@ def title_diverse_topk(spark, d):
 
 
 def _answered(spark, d, **options):
-    return pipeline.answer(graph.materialised(_index(spark, d)), _questions(spark, d).select("query_id", "corpus_id", "query"), config=CONFIG, **options)
+    encode = retrieval.hashed_encoder()
+    return pipeline.answer(graph.materialised(_index(spark, d, encode)), _questions(spark, d).select("query_id", "corpus_id", "query"), encode, config=CONFIG, **options)
 
 
 @query

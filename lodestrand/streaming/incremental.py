@@ -29,9 +29,9 @@ def grow_index(arriving: DataFrame, path: str, checkpoint: str, config: Config =
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def grown_index(spark, path: str, config: Config = Config()) -> dict[str, DataFrame]:
+def grown_index(spark, path: str, config: Config = Config(), encode=None) -> dict[str, DataFrame]:
     """All index tables from the batches so far."""
     t = {n: spark.read.parquet(f"{path}/{n}").drop("batch") for n in GROWING}
     named = graph.entities(t["mentions"])
-    edges = graph.merged_edges(graph.raw_edges(t["sentences"], t["mentions"], t["facts"], config.enable_sentence_layer))
+    edges = graph.all_edges(t["sentences"], t["mentions"], t["facts"], named, config, encode)
     return {**t, "entities": named, "edges": edges, "nodes": graph.nodes(t["chunks"], t["sentences"], named, config.enable_sentence_layer)}

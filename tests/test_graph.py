@@ -23,6 +23,18 @@ def test_similarity(spark):
     assert {(r.src, r.dst): round(r.weight, 4) for r in graph.similarity_weights(hits).collect()} == {(0, 1): 1.8, (1, 0): 1.8}
 
 
+def test_build_links_similar_entities(spark):
+    docs = spark.createDataFrame([(1, "c", 0, "T", "Ada Mary Byron sold it."), (2, "c", 1, "U", "Mary Ada Byron came."), (3, "d", 0, "V", "Byron Mary Ada left.")], "doc_id long, corpus_id string, document_index int, title string, text string")
+
+    def kinds(config, encode):
+        edges = graph.build(docs, config, encode)["edges"].filter("array_contains(edge_kinds, 'entity_similarity')")
+        return {(r.corpus_id, r.src, r.dst): round(r.weight, 4) for r in edges.collect()}
+
+    encode = retrieval.hashed_encoder()
+    assert kinds(Config(), encode) == {("c", "entity:ada_mary_byron", "entity:mary_ada_byron"): 2.0, ("c", "entity:mary_ada_byron", "entity:ada_mary_byron"): 2.0}
+    assert kinds(Config(enable_entity_similarity_edges=False), encode) == kinds(Config(), None) == {}
+
+
 def _toy(spark):
     q = spark.createDataFrame([(1, "c", (0.4, 0.4, 0.2))], "query_id long, corpus_id string, alpha struct<fact:double,sentence:double,chunk:double>")
     nodes = spark.createDataFrame([("c", n, n.split(":")[0]) for n in ("entity:a", "entity:b", "sentence:s", "chunk:k", "chunk:alone")], "corpus_id string, node_id string, node_type string")
