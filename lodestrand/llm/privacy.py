@@ -144,7 +144,8 @@ def placeholder(key: bytes, value: str, kind: str) -> str:
 
 # ---- formats --------------------------------------------------------------------------------------------------------
 
-_AT = re.compile(r"[@＠]|[\[({<]\s*(?:at|AT|At)\s*[\])}>]|(?<=\w)\s+(?:at|AT)\s+(?=[\w-]+\s+(?:dot|DOT)\s)")
+_BRACKETED_AT = re.compile(r"[\[({<]\s*(?:at|AT|At)\s*[\])}>]")
+_AT = re.compile(rf"[@＠]|{_BRACKETED_AT.pattern}|(?<=\w)\s+(?:at|AT)\s+(?=[\w-]+\s+(?:dot|DOT)\s)")
 _LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+%'’-]*\s{0,2}$")
 _DOMAIN = re.compile(r"\s{0,2}[A-Za-z0-9-]+(?:(?:\.|\s{0,2}[\[({]\s*(?:dot|DOT|Dot)\s*[\])}]\s{0,2}|\s+(?:dot|DOT|Dot)\s+)[A-Za-z0-9-]*[A-Za-z0-9])+")
 _EXT = r"(?:[\s,;]{0,3}(?:ext\.?|extension|x|poste|доб\.?|Durchwahl|Apparat|int\.|分机|內線|内線|EXT\.?|Ext\.?)\s{0,2}\.?\s{0,2}\d{1,6})?"
@@ -174,32 +175,45 @@ _ID_CUE = re.compile(
     re.I,
 )
 _FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s+\d+\w?"
-_STREET = r"(?:Street|Str\.|St|Road|Rd|Lane|Ln|Avenue|Ave|Terrace|Square|Sq|Drive|Court|Close|Way|Place|Boulevard|Blvd|Row|Gardens|Crescent|Hill|Mews|Parade)"
+# Words for streets, which the address patterns are made of and by which their places are found.
+_STREETS = "Street Str. St Road Rd Lane Ln Avenue Ave Terrace Square Sq Drive Court Close Way Place Boulevard Blvd Row Gardens Crescent Hill Mews Parade".split()
+_RUES = "rue avenue av. bd. bd boulevard place quai chemin impasse allée cours Rue Avenue".split()
+_CALLES = "C/ Calle Avda. Avd. Avenida Plaza Pza. Paseo".split()
+_STRASSEN = "straße strasse str. weg gasse platz allee ring ufer damm".split()
+_ULITSY = "ул улица пер переулок просп проспект пл наб".split()
+_any_of = lambda words: f"(?:{'|'.join(map(re.escape, words))})"
+_STREET = _any_of(_STREETS)
 _TOWN = r"(?:,\s+(?!Flat|Apt)[A-Z][\w-]+(?:\s[A-Z][\w-]+)?\s+\d{4,5}\b|,\s+\d{4,6}\s+[A-Z][\w-]+(?:\s[A-Z][\w-]+)?)"
 _ADDRESS_EN = (
     rf"(?<![\w./-])(?:{_FLAT},\s+)?\d{{1,5}}[A-Za-z]?\s+(?:[A-Z][\w'’-]*\s+){{1,3}}{_STREET}\b(?:\.?,\s+{_FLAT})?{_TOWN}?"
     rf"|\bP\.?\s?O\.?\s?Box\s+\d+(?:,\s+(?:[A-Z][\w'’-]*\s+){{1,3}}{_STREET}\b)?{_TOWN}?"
 )
 _ADDRESS_OTHER = (
-    rf"(?<![\w./-])\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|av\.|bd\.?|boulevard|place|quai|chemin|impasse|allée|cours|Rue|Avenue)\s+(?:de\s+|du\s+|des\s+|d['’]|la\s+|le\s+|l['’])*[A-Z][\w'’-]+{_TOWN}?"
-    rf"|\b(?:C/|Calle|Avda?\.|Avenida|Plaza|Pza\.|Paseo)\s*(?:de\s+|del\s+|la\s+)*[A-Z][\w'’-]+,?\s+(?:n\.?\s?[º°o]\s*)?\d{{1,4}}(?:,\s+\d+\.?\s?[ºª]\s*[A-Z]?\b)?{_TOWN}?"
-    rf"|\b[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm)\s+\d{{1,4}}\s?[a-z]?\b(?:,\s+(?:Whg\.|Wohnung|App\.)\s*\d+)?{_TOWN}?"
-    r"|(?:\b\d{6},\s+)?(?:г\.\s*[А-ЯЁ][\w-]+,\s+)?\b(?:ул|улица|пер|переулок|просп|проспект|пл|наб)\.?\s+[А-ЯЁ][а-яё-]+(?:\s[А-ЯЁ][а-яё-]+)?,\s+(?:д\.|дом)\s*\d+\w?(?:,\s+(?:кв|корп|стр)\.\s*\d+)*"
+    rf"(?<![\w./-])\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+{_any_of(_RUES)}\s+(?:de\s+|du\s+|des\s+|d['’]|la\s+|le\s+|l['’])*[A-Z][\w'’-]+{_TOWN}?"
+    rf"|\b{_any_of(_CALLES)}\s*(?:de\s+|del\s+|la\s+)*[A-Z][\w'’-]+,?\s+(?:n\.?\s?[º°o]\s*)?\d{{1,4}}(?:,\s+\d+\.?\s?[ºª]\s*[A-Z]?\b)?{_TOWN}?"
+    rf"|\b[A-ZÄÖÜ][\w-]*{_any_of(_STRASSEN)}\s+\d{{1,4}}\s?[a-z]?\b(?:,\s+(?:Whg\.|Wohnung|App\.)\s*\d+)?{_TOWN}?"
+    rf"|(?:\b\d{{6}},\s+)?(?:г\.\s*[А-ЯЁ][\w-]+,\s+)?\b{_any_of(_ULITSY)}\.?\s+[А-ЯЁ][а-яё-]+(?:\s[А-ЯЁ][а-яё-]+)?,\s+(?:д\.|дом)\s*\d+\w?(?:,\s+(?:кв|корп|стр)\.\s*\d+)*"
 )
 _ADDRESS = re.compile(f"{_ADDRESS_EN}|{_ADDRESS_OTHER}")
 _ADDRESS_ANY_CASE = re.compile(f"{_ADDRESS_EN}|{_ADDRESS_OTHER}", re.I)
-# Beginnings of what may hold an address or announce an identity number, in folded text.
-_ADDRESS_WORDS = " street| str.| st| road| rd| lane| ln| avenue| ave| terrace| square| sq| drive| court| close| way| place| boulevard| blvd| row| gardens| crescent| hill| mews| parade|box | rue | av.| bd|quai |chemin |impasse |allee |cours |c/|calle |avda|avd.|avenida |plaza |pza.|paseo |straße |strasse |str. |weg |gasse |platz |allee |ring |ufer |damm |ул.|ул |улица |пер.|переулок |просп|пл.|наб.".split("|")
+# Beginnings of what may announce an identity number, in folded text.
 _ID_WORDS = "identity n|identity c|id n|id c|passport|s card|social security|national insurance|ausweis|reisepass|d'identite|d’identite|de identidad|dni|nie|паспорт|снилс|инн|身份证|护照|身分証|マイナンバー|पहचान|आधार|رقم الهوية|هوية رقم|signed with".split("|")
 
 
+def address_words() -> list[str]:
+    """What every address holds one of: the words of the patterns, with the space or stop that must stand beside them."""
+    words = ["box ", *(f" {w}" for w in _STREETS), *(f" {w} " for w in _RUES), *_CALLES, *(f"{w} " for w in _STRASSEN), *(w + end for w in _ULITSY for end in (" ", "."))]
+    return sorted({fold(w) for w in words})
+
+
 @cache
 def _cues() -> ahocorasick.Automaton:
+    """Beginnings of what may hold an address or announce an identity number, in folded text with plain spaces."""
     automaton = ahocorasick.Automaton()
-    for kind, words in (("address", _ADDRESS_WORDS), ("id_number", _ID_WORDS)):
+    for kind, words in (("address", address_words()), ("id_number", _ID_WORDS)):
         for w in words:
-            for space in (" ", "\n", "\xa0", "\t", "  "):
-                automaton.add_word(w.replace(" ", space), (kind, len(w.replace(" ", space))))
+            for form in {w, w.replace(" ", "  ")}:
+                automaton.add_word(form, (kind, len(form)))
     automaton.make_automaton()
     return automaton
 
@@ -418,14 +432,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
             out.append((a, b, kind))
 
     folded = fold(text)
-    if "@" in text or "＠" in text or "dot" in folded or "(at)" in folded or "[at]" in folded:
+    if "@" in text or "＠" in text or "dot" in folded or _BRACKETED_AT.search(text):
         for m in _AT.finditer(text):
             left, right = _LOCAL.search(text, max(0, m.start() - 70), m.start()), _DOMAIN.match(text, m.end())
             if left and right and (m.group()[0] not in "@＠" or not left.group()[-1:].isspace() and not right.group()[:1].isspace()):
                 add(left.start(), right.end(), "email")
     if _DIGIT.search(text):
         cues: dict[str, list[int]] = {"address": [], "id_number": []}
-        for end, (kind, size) in _cues().iter(folded):
+        for end, (kind, size) in _cues().iter(_SPACE.sub(" ", folded)):
             cues[kind].append(end - size + 1)
         for a, b in _windows(sorted(cues["id_number"]), 20, 110):
             for m in _ID_CUE.finditer(text, a, b):
@@ -462,6 +476,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 _DIGIT = re.compile(r"\d")
+_SPACE = re.compile(r"\s")
 
 
 def redact(text: str, key: bytes) -> str:

@@ -159,6 +159,19 @@ def test_findings(text, want):
     assert [text[a:b] for a, b, _ in privacy.find(text)] == want
 
 
+def test_every_alternative_passes_its_gate():
+    """What the patterns accept is found in a text that holds nothing else."""
+    addresses = [f"12 Old Bridge{space}{w}" for w in privacy._STREETS for space in (" ", "\u2009", "\r\n")]
+    addresses += [f"41 bis, {w} de Bamepohobur" for w in privacy._RUES] + [f"{w} Mayor, 12" for w in privacy._CALLES] + ["CalleMayor 12", "PO Box 12"]
+    addresses += [f"Alt{w} 12" for w in privacy._STRASSEN] + [f"{w}{stop} Садовый, д. 5" for w in privacy._ULITSY for stop in ("", ".")]
+    accepted = [a for a in addresses if privacy._ADDRESS.search(a)]
+    assert len(accepted) > 0.9 * len(addresses)
+    for a in accepted:
+        assert any(k == "address" for *_, k in privacy.find(a)), a
+    for at in ("@", "＠", " (at) ", " [at] ", " { at } ", " <at> ", " ( at ) ", " < AT > "):
+        assert [k for *_, k in privacy.find(f"Write to eva{at}archive.org")] == ["email"], at
+
+
 def test_redaction(spark):
     text = "Call Ada Lovelace at +44 20 7946 0508. Ada is 42."
     other = "Lovelace, Ada: +44 20 79460508"
