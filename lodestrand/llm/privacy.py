@@ -416,6 +416,18 @@ def _script_of(c: str) -> str | None:
     return "han" if "一" <= c <= "龥" else "kana" if "ァ" <= c <= "ヴ" else "devanagari" if "ऀ" <= c <= "ॿ" else "arabic" if "؀" <= c <= "ۿ" else "cyrillic" if "А" <= c <= "я" else None
 
 
+#: Characters around a place by which its capitals are judged, and the steps in which they move on.
+AROUND, STEP = 4000, 1000
+
+
+def useless_capitals(text: str, step: int) -> bool:
+    """Whether hardly any or most letters around a step of a text are capitals, so that they tell nothing."""
+    start = max(0, min(step * STEP - (AROUND - STEP) // 2, len(text) - AROUND))
+    part = text[start : start + AROUND]
+    letters, upper = sum(map(str.isalpha, part)), sum(map(str.isupper, part))
+    return upper * 100 < letters or upper * 2 > letters
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the private data of a text, in order, without overlaps."""
     out: list[tuple[int, int, str]] = []
@@ -450,11 +462,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in _PHONE.finditer(text):
             add(m.start(), m.end(), "phone")
         spots = [p for p in sorted(cues["address"]) if _DIGIT.search(text, max(0, p - 45), p + 45)]
-        if spots:
-            head = text[:4000]
-            letters, upper = sum(map(str.isalpha, head)), sum(map(str.isupper, head))
-            pattern = _ADDRESS_ANY_CASE if upper * 100 < letters or upper * 2 > letters else _ADDRESS
-            for a, b in _windows(spots, 90, 140):
+        any_case = {k: useless_capitals(text, k) for k in {p // STEP for p in spots}}
+        for pattern, told in ((_ADDRESS, False), (_ADDRESS_ANY_CASE, True)):
+            for a, b in _windows([p for p in spots if any_case[p // STEP] == told], 90, 140):
                 for m in pattern.finditer(text, a, b):
                     add(m.start(), m.end(), "address")
         if "号" in text or "町" in text or "村" in text:

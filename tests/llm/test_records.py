@@ -172,6 +172,14 @@ def test_every_alternative_passes_its_gate():
         assert [k for *_, k in privacy.find(f"Write to eva{at}archive.org")] == ["email"], at
 
 
+def test_capitals_are_judged_where_the_address_is():
+    """An address without capitals is found behind a head with them, and one before a tail with them."""
+    proper, small = "The Old Weaver Sold It To Ada. " * 200, "the weaver sold it to them again. " * 200
+    for text in (proper + small + "write to 12 old bridge street now. " + small, small + "write to 12 old bridge street now. " + small + proper * 3):
+        assert [text[a:b] for a, b, k in privacy.find(text) if k == "address"] == ["12 old bridge street"]
+    assert not [k for *_, k in privacy.find(small + proper + "12 old bridge street. " + proper) if k == "address"]
+
+
 def test_redaction(spark):
     text = "Call Ada Lovelace at +44 20 7946 0508. Ada is 42."
     other = "Lovelace, Ada: +44 20 79460508"
