@@ -459,14 +459,17 @@ def stripped_path(s: str, model: dict) -> list[int]:
 
 
 def _unpunctuated(raw: np.ndarray, cls: np.ndarray, bounds: np.ndarray, model: dict) -> np.ndarray:
-    """Ends of units in segments of uncased script that hold no terminal mark."""
-    marks = np.concatenate([[0], np.cumsum((cls == DOT) | (cls == EXCLAIM) | (cls == STOP))])
+    """Ends of units in long runs of uncased script between terminal marks."""
+    marks = np.flatnonzero((cls == DOT) | (cls == EXCLAIM) | (cls == STOP))
     bare = np.concatenate([[0], np.cumsum(cls == UNCASED)])
     size = bounds[:, 1] - bounds[:, 0]
-    at = np.flatnonzero((bounds[:, 2] == 0) & (size > UNPUNCTUATED) & (marks[bounds[:, 1]] == marks[bounds[:, 0]]) & ((bare[bounds[:, 1]] - bare[bounds[:, 0]]) * 2 > size))
+    at = np.flatnonzero((bounds[:, 2] == 0) & (size > UNPUNCTUATED) & ((bare[bounds[:, 1]] - bare[bounds[:, 0]]) * 2 > UNPUNCTUATED))
     out = []
-    for a, b, _ in bounds[at]:
-        out.extend(a + i for i in stripped_path(raw[a:b].tobytes().decode("utf-32-le"), model))
+    for start, end, _ in bounds[at]:
+        inside = marks[np.searchsorted(marks, start) : np.searchsorted(marks, end)]
+        for a, b in zip([start, *(inside + 1)], [*inside, end]):
+            if b - a > UNPUNCTUATED and (bare[b] - bare[a]) * 2 > b - a:
+                out.extend(a + i for i in stripped_path(raw[a:b].tobytes().decode("utf-32-le"), model))
     return np.array(out, np.int64)
 
 
@@ -501,7 +504,7 @@ def train(docs: DataFrame, sentences: DataFrame | None = None) -> tuple[np.ndarr
         texts = docs.filter("text is not null").select("doc_id", "text")
         labelled = [(r.text, r.sentence) for r in texts.join(F.broadcast(rows), "doc_id").select("text", "sentence").collect()]
     uncased = docs.filter(F.col("text").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsDevanagari}\p{IsArabic}\p{IsThai}]")).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(STRIPPED)
-    return fit(labelled), strip_counts([r.text[:2000] for r in uncased.collect()])
+    return fit(labelled), strip_counts([r.text for r in uncased.collect()])
 
 
 def unit_table(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:

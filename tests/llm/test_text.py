@@ -63,6 +63,20 @@ def test_held_out_sentences(spark, data):
     assert sum(s in units(d, None, weights) for d, s in held) >= 0.95 * len(held) > 20
 
 
+def test_unpunctuated_run_before_a_mark():
+    """One mark at the end of a block, or after its first sentence, does not keep the run beside it whole."""
+    parts = ["桥在河上" + "很宽" * 4 + "了", "人在城里" + "很忙" * 4 + "了", "船在海上" + "很慢" * 4 + "了"]
+    model = sentences.strip_counts(["。".join(parts) + "。"] * 30)
+    run = "".join(parts) * 6
+    assert len(run) > sentences.UNPUNCTUATED
+    cut = lambda t: [(int(a), int(b)) for _, a, b in zip(*sentences.units([t], sentences.prior(), model))]
+    plain = cut(run)
+    assert len(plain) == 18
+    assert cut(run + "。") == [*plain[:-1], (plain[-1][0], len(run) + 1)]
+    first = parts[0] + "。"
+    assert cut(first + run) == [(0, len(first)), *((a + len(first), b + len(first)) for a, b in plain)]
+
+
 def test_unpunctuated(spark, data):
     texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").filter("lang = 'zh' and text is not null").orderBy("doc_id").collect()]
     model = sentences.strip_counts(texts[: len(texts) // 2])
