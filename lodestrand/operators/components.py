@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from ..runtime import stored
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node of its component) for every node named in ``edges`` (a, b).
 
     Each round a node takes the smallest label among its neighbours and then the label of that label, so long chains
     shorten by more than half a round. Self-loops and repeated edges change nothing; rows with a null end are dropped;
     no edges give no rows. Aggregation is by key with partial minima, so a hub with very many edges reduces on the map
-    side. Labels are written to the shared folder each round; raises if ``max_rounds`` do not suffice.
+    side. Labels are written to the shared folder each round. Labels only ever fall, so the rounds come to an end.
     """
     pairs = edges.filter("a is not null and b is not null and a <> b").select("a", "b")
     both = stored(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         hooked = labels.join(seen, "node").select("node", "component", F.least("component", "m").alias("m"))
         jumped = hooked.alias("h").join(labels.select(F.col("node").alias("m"), F.col("component").alias("mm")), "m", "left")
@@ -27,4 +27,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         labels = after.select("node", "component")
         if after.filter("component <> before").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
