@@ -36,8 +36,13 @@ _LABEL_LINE = re.compile(r"^[^:]{1,60}:.*\w|^[\W_]*$")
 _U = np.uint64
 _UNIT = float(2.0**-64)
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
-#: Ranks are fixed-point with so many fractional bits above 20 bits of the dart's own hash.
-_RANK_BITS, _LOW_BITS = 36, 20
+#: Coordinates are a rank, as the bits of its floating-point number (which order as ranks do, however large), with the
+#: lowest bits taken by the dart's own hash.
+_LOW_BITS = 20
+#: Codes of a large bucket in a block; blocks meet one another, so no task and no join key holds a whole bucket.
+BLOCK = 256
+#: Texts that a task remembers to pass over copies; a copy that it forgot gives its rows again, which changes nothing.
+SEEN = 1 << 18
 
 
 def throw_darts(hashes: np.ndarray, theta: np.ndarray, weights: np.ndarray | None = None):
@@ -81,7 +86,7 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, k: int, weights: n
     flat = out.reshape(-1)
     while len(todo):
         for at, rank, h in throw_darts(hashes[todo], theta[owner[todo]], None if weights is None else weights[todo]):
-            key = ((rank * float(1 << _RANK_BITS)).astype(_U) << _U(_LOW_BITS)) | (h >> _U(64 - _LOW_BITS))
+            key = (rank.view(_U) >> _U(_LOW_BITS) << _U(_LOW_BITS)) | (h >> _U(64 - _LOW_BITS))
             place = ((h & _U(0xFFFFFFFF)) * _U(k)) >> _U(32)
             np.minimum.at(flat, owner[todo[at]] * k + place.astype(np.int64), key)
         lacking = (out == _NONE).any(axis=1) & (mass > 0)
@@ -152,6 +157,8 @@ def _band_rows(batches):
         for a, b in steps([len(t) for t in texts]):
             low, starts = bare_codes(texts[a:b])
             new = []
+            if len(seen) > SEEN:
+                seen.clear()
             for i, (x, y) in enumerate(pairwise(starts.tolist())):
                 if y - x >= SHINGLE and (key := text_key(low[x:y])) not in seen:
                     seen.add(key)
@@ -213,8 +220,10 @@ def member_table(docs: DataFrame) -> DataFrame:
 def candidate_pairs(docs: DataFrame) -> DataFrame:
     """a, b: codes a < b that share a bucket, each pair once.
 
-    Within a bucket, in order of code, every row meets the ``NEAR`` rows before it, in one pass over sorted rows.
-    Buckets with more rows (large groups of edits, or copies seen by many tasks) are joined with themselves, distinct.
+    Within a bucket, in order of code, every row meets the ``NEAR`` rows before it, in one pass over sorted rows, which
+    is all pairs of most buckets. Larger ones (groups of edits, or copies seen by many tasks) are cut into blocks of
+    about ``BLOCK`` codes, and every two blocks of a bucket meet under a key of their own: all pairs are compared,
+    as the definition of the result asks, but no task gets a whole bucket.
     """
     bands = stored(docs.filter("text is not null").select("text").mapInArrow(_band_rows, "bucket long, code long"))
     order = Window.partitionBy("bucket").orderBy("code")
@@ -222,8 +231,12 @@ def candidate_pairs(docs: DataFrame) -> DataFrame:
     met = stored(met)
     near = met.select(F.col("code").alias("b"), F.explode(F.array(*[f"c{i}" for i in range(1, NEAR + 1)])).alias("a")).filter("a < b").select("a", "b").distinct()
     large = met.filter(f"c{NEAR + 1} is not null").select("bucket").distinct()
-    rows = bands.join(large, "bucket").distinct()
-    more = rows.select("bucket", F.col("code").alias("a")).join(rows.select("bucket", F.col("code").alias("b")), "bucket").filter("a < b").select("a", "b")
+    rows = stored(bands.join(large, "bucket").distinct())
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    left = dealt.select("bucket", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("code").alias("a"))
+    right = dealt.select("bucket", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("code").alias("b"))
+    more = left.join(right, ["bucket", "x", "y"]).filter("a <> b and (x < y or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return near.union(more).distinct()
 
 

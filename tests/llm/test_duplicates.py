@@ -95,3 +95,27 @@ def test_tables(spark, data):
     keep = {r.copy_doc_id: r.keep_doc_id for r in exact_dups.copies(docs).collect()}
     want = {p for p in brute(rows) if keep.get(p[0], p[0]) != keep.get(p[1], p[1])} - same
     assert {tuple(r) for r in near_dups.pairs(docs).collect()} == want
+
+
+@pytest.mark.parametrize("common, own", [(4, 1), (8, 2), (15, 4), (79, 21), (240, 60)])
+def test_recall_of_short_texts(common, own):
+    """Pairs at a similarity of 0.65 or so share a band almost always, down to five stretches a text."""
+    rng = np.random.default_rng(common)
+    n = 400
+    sets = rng.integers(0, 2**63, (n, common + 2 * own), dtype=np.uint64)
+    share = common / (common + 2 * own)
+    elements = np.concatenate([sets[:, : common + own].reshape(-1), np.concatenate([sets[:, :common], sets[:, common + own :]], 1).reshape(-1)])
+    owner = np.repeat(np.arange(2 * n), common + own)
+    sig = near_dups.signatures(elements, owner, 2 * n, near_dups.BAND * near_dups.BANDS)
+    same = (sig[:n] == sig[n:]).reshape(n, -1)
+    assert abs(same.mean() - share) < 0.05
+    bands = same.reshape(n, near_dups.BANDS, near_dups.BAND).all(axis=2)
+    assert bands.any(axis=1).mean() >= 0.99
+
+
+def test_large_buckets(spark):
+    """A bucket of many blocks gives every pair of its codes once."""
+    rows = [("the quick brown fox jumps over the lazy dog and sleeps under the old oak tree until the morning light " * 3 + f"x{i}", i) for i in range(700)]
+    docs = spark.createDataFrame([(i, None, t) for t, i in rows], "doc_id long, title string, text string")
+    got = near_dups.candidate_pairs(docs)
+    assert got.count() == got.distinct().count() == 700 * 699 // 2
