@@ -3,9 +3,12 @@
 Every name is rewritten canonically: case, accents and punctuation go, abbreviations and nicknames are spelt out, the
 order of tokens is ignored, titles and articles are dropped, middle initials and legal forms set aside as qualifiers.
 Names of equal base are one candidate entity. Further rewritings (a token with one character left out, for typing
-errors; the first name's initial; the other names that a nickname stands for) are exploded into forms and equi-joined,
-and a form links only if it can tell: one that two entities share links neither. Two words one character apart are
-spellings of one word if a good share of the bases that hold the rarer one occur with the other word too, however many.
+errors; the first name's initial; the other names that a nickname stands for) are exploded into forms and equi-joined.
+A link is scored by how rare its form is among entities: the score is the share of the form's mentions, over all
+entities that have the form, that one entity holds. A form of one entity scores 1; one that many share in like parts
+tells nothing and links none of them; a stray misspelling beside a frequent name takes nothing from it. Two words one
+character apart are spellings of one word if a good share of the bases that hold the rarer one occur with the other
+word too. Both are shares, so neither depends on how many rows there are.
 
 Qualifiers that contradict each other (two middle initials, two legal forms) keep names apart, and a name without one
 then goes with neither. Null, blank and unnameable strings (no letter) are in no pair; repeated rows count once.
@@ -31,7 +34,10 @@ _EXPAND = dict(
     for x in "univ=university uni=university inst=institute instit=institute lab=laboratory mus=museum acad=academy soc=society assn=association assoc=association ass=association intl=international bros=brothers ltd=limited corp=corporation co=company comp=company inc=incorporated st=saint mt=mount ft=fort pt=port upr=upper lk=lake nth=north sth=south dept=department hosp=hospital lib=library coll=college natl=national govt=government centre=center".split()
 )
 _DROPPED = set("the of for and a an de la le du des der die das von van el los las y et dr prof mr mrs ms miss sir madam jr sr phd professor doctor rev hon saintly m mme mlle herr frau sra srta don dona".split())
-_LEGAL = set("limited company corporation incorporated llc plc gmbh ag sa nv bv oy ab kg".split())
+_LEGAL = set("limited company corporation incorporated llc plc gmbh ag sa nv bv oy ab kg ооо оао зао пао ао ип тоо".split())
+# Legal forms that Chinese and Japanese names carry without a space, the longest first, and what they are called here.
+_LEGAL_HAN = "股份有限公司 有限责任公司 有限公司 株式会社 有限会社 合同会社 集团公司 公司 集团".split()
+_TITLES_HAN = "先生 女士 小姐 博士 教授 さん 様 氏".split()
 _ORG = set("university institute laboratory museum academy society association international brothers college hospital department library foundation agency bank".split())
 _PLACE = set("saint mount fort port upper lower lake north south east west new bay cape isle river".split())
 # Nicknames and spelling variants with the names they stand for, the likeliest first.
@@ -51,7 +57,11 @@ penny=penelope pen=penelope pete=peter petey=peter phil=philip phillip=philip pi
 sammy=samuel,samantha sandy=alexander,sandra stan=stanley steve=steven sue=susan susie=susan suzy=susan suzie=susan susanna=susan terry=theresa tess=theresa tessa=theresa tessie=theresa teresa=theresa therese=theresa
 thea=theodora tim=timothy timmy=timothy tom=thomas tommy=thomas ursel=ursula uschi=ursula val=valerie vicky=victoria vicki=victoria vic=victor,victoria viktoria=victoria tori=victoria vince=vincent walt=walter
 wendy=gwendolyn yvon=yvonne evonne=yvonne xen=xenia zach=zachary zack=zachary zak=zachary zac=zachary zachariah=zachary layla=leila laila=leila nikolas=nicholas niklas=nicholas josef=joseph katharine=katherine katharina=katherine kristina=christina viktor=victor frederik=frederick philipp=philip dorothea=dorothy dora=dorothy dory=dorothy sofie=sophia toby=tobias"""
-_NICK = {k: v.split(",") for k, v in (x.split("=") for x in _NICK_TEXT.split())}
+# Short forms of Russian given names.
+_NICK_CYRILLIC = """саша=александр,александра шура=александр,александра алёша=алексей лёша=алексей аня=анна нюра=анна ася=анастасия настя=анастасия боря=борис вадик=вадим валя=валентина,валентин ваня=иван варя=варвара вася=василий
+витя=виктор вика=виктория вова=владимир володя=владимир галя=галина гена=геннадий гриша=григорий дима=дмитрий митя=дмитрий женя=евгений,евгения жора=георгий зина=зинаида ира=ирина катя=екатерина костя=константин ксюша=ксения
+лара=лариса лена=елена лида=лидия люба=любовь люда=людмила макс=максим маша=мария миша=михаил надя=надежда наташа=наталья наталия=наталья никита=никита оля=ольга паша=павел петя=пётр рома=роман света=светлана сеня=семён
+серёжа=сергей слава=вячеслав,станислав соня=софья софия=софья стёпа=степан таня=татьяна тёма=артём толя=анатолий федя=фёдор юра=юрий юля=юлия яша=яков"""
 _LETTERS = {"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"}
 
 
@@ -61,18 +71,35 @@ def plain(text: str) -> str:
     return "".join(_LETTERS.get(c, c) for c in text if not unicodedata.combining(c))
 
 
+_NICK = {plain(k): plain(v).split(",") for k, v in (x.split("=") for x in f"{_NICK_TEXT} {_NICK_CYRILLIC}".split())}
+_HAN_NAME = re.compile(r"[一-鿿㐀-䶿ぁ-ヿ々]+")
+
+
+def _without_form(word: str) -> list[str]:
+    """A Chinese or Japanese word with its legal form as a word of its own and without a title."""
+    if not _HAN_NAME.fullmatch(word):
+        return [word]
+    for form in _LEGAL_HAN:
+        if word.endswith(form) and len(word) > len(form):
+            return [word[: -len(form)], form]
+        if word.startswith(form) and len(word) > len(form):
+            return [word[len(form) :], form]
+    title = next((t for t in _TITLES_HAN if word.endswith(t) and len(word) > len(t) + 1), "")
+    return [word[: len(word) - len(title)]]
+
+
 def parse(name: str) -> dict | None:
     """base, qualifier, org, and what further forms need, of one name; None if it names nothing."""
     words = re.findall(r"[^\W_]+", re.sub(r"['’`´]", "", plain(name)))
-    words = [_EXPAND.get(w, w) for w in words]
+    words = [x for w in words for x in _without_form(_EXPAND.get(w, w))]
     kept = [w for w in words if w not in _DROPPED or len(w) == 1]
     if len([w for w in kept if len(w) > 1]) == 0:
         kept = words
     if not kept or not any(c.isalpha() for w in kept for c in w):
         return None
-    legal = next((w for w in kept if w in _LEGAL), None)
+    legal = next((w for w in kept if w in _LEGAL or w in _LEGAL_HAN), None)
     org = bool(legal) or any(w in _ORG for w in kept)
-    rest = [w for w in kept if w not in _LEGAL] or kept
+    rest = [w for w in kept if w not in _LEGAL and w not in _LEGAL_HAN] or kept
     long = [w for w in rest if len(w) > 1]
     initials = [w for w in rest if len(w) == 1 and w.isalpha()]
     other: list[str] = []
@@ -169,10 +196,21 @@ def mentions(sentences: DataFrame) -> DataFrame:
 TWINS = 0.2
 
 
+#: Least share of a form's mentions that an entity must hold for the form to link to it.
+OWNED = 0.8
+
+
+def owners(forms: DataFrame, by: str) -> DataFrame:
+    """``by``, entity, score: of (by, entity, n) the entity that holds most mentions of each form, if that tells."""
+    held = forms.groupBy(by, "entity").agg(F.sum("n").alias("n"))
+    best = held.groupBy(by).agg(F.max_by("entity", F.struct("n", "entity")).alias("entity"), (F.max("n") / F.sum("n")).alias("score"))
+    return best.filter(F.col("score") >= OWNED)
+
+
 def entities(names: DataFrame) -> DataFrame:
     """name, base, qualifier, entity for every name: rows of one entity, and of no contradicting qualifier, are one."""
-    parsed = stored(names.select("name").mapInArrow(_parsed, "name string, base string, qualifier string, org boolean, short boolean, other array<string>"))
-    bases = stored(parsed.groupBy("base").agg(F.max("org").alias("org"), F.min("short").alias("short"), F.max(F.size("other")).alias("others")))
+    parsed = stored(names.select("name").mapInArrow(_parsed, "name string, base string, qualifier string, org boolean, short boolean, other array<string>").join(names, "name"))
+    bases = stored(parsed.groupBy("base").agg(F.max("org").alias("org"), F.min("short").alias("short"), F.sum("n").alias("n")))
     # typing errors
     full = bases.filter("not short").select("base")
     forms = stored(full.mapInArrow(_omission_rows, "form string, base string").select(F.xxhash64("form").alias("form"), "base"))
@@ -184,35 +222,34 @@ def entities(names: DataFrame) -> DataFrame:
     counted = twins.join(df.select(F.col("word").alias("v"), F.col("df").alias("dv")), "v").join(df.select(F.col("word").alias("w"), F.col("df").alias("dw")), "w")
     one = counted.filter(F.col("twins") >= TWINS * F.least("dv", "dw")).select("v", "w")
     typed = stored(differ.withColumn("v", F.least("x", "y")).withColumn("w", F.greatest("x", "y")).join(one, ["v", "w"], "left_semi").select("a", "b"))
-    first = _labels(bases, connected_components(typed))
-    first = stored(first)
-    # initials and other readings of nicknames: a form that leads to one entity links
-    few = first.filter("not short and not org and size(split(base, ' ')) between 2 and 3").select("entity", F.split("base", " ").alias("w"))
+    first = stored(_labels(bases, connected_components(typed)))
+    # initials: a form links to the entity that holds it
+    few = first.filter("not short and not org and size(split(base, ' ')) between 2 and 3").select("entity", "n", F.split("base", " ").alias("w"))
     forms_of = F.transform("w", lambda x, i: F.concat_ws(" ", F.substring(x, 1, 1), F.array_join(F.filter("w", lambda y, j: j != i), " ")))
-    initial = few.select("entity", F.explode(forms_of).alias("form"))
-    owned = initial.groupBy("form").agg(F.min("entity").alias("entity"), F.max("entity").alias("last")).filter("entity = last").select("form", "entity")
-    shorts = first.filter("short").select(F.col("base").alias("form"), F.col("entity").alias("b")).join(owned, "form").select(F.col("entity").alias("a"), "b")
+    initial = stored(few.select("entity", "n", F.explode(F.array_distinct(forms_of)).alias("form")).groupBy("form", "entity").agg(F.sum("n").alias("n")))
+    short = first.filter("short").select("base", F.col("entity").alias("b"))
+    known = short.join(initial.select(F.col("form").alias("base")).distinct(), "base", "left_semi").select("base")
+    shorts = short.join(owners(initial, "form").withColumnRenamed("form", "base"), "base").select(F.col("entity").alias("a"), "b")
     # a typing error beside an initial: forms that one character left out makes equal
-    left = first.filter("short").select("base", F.col("entity").alias("b")).join(owned.select(F.col("form").alias("base")), "base", "left_anti")
+    left = short.join(known, "base", "left_anti")
     slips = left.select("base").mapInArrow(_omission_rows, "form string, base string").select(F.xxhash64("form").alias("h"), F.col("base").alias("x"))
-    right = owned.select(F.col("form").alias("base")).mapInArrow(_omission_rows, "form string, base string").select(F.xxhash64("form").alias("h"), F.col("base").alias("y"))
+    right = initial.select(F.col("form").alias("base")).distinct().mapInArrow(_omission_rows, "form string, base string").select(F.xxhash64("form").alias("h"), F.col("base").alias("y"))
     near_forms = slips.join(right, "h").select("x", "y").distinct().withColumn("d", _difference("x", "y")).filter((F.size("d") > 0) & (F.length(F.get("d", F.lit(0))) > 4))
-    slipped = near_forms.join(owned.withColumnRenamed("form", "y"), "y").groupBy("x").agg(F.min("entity").alias("a"), F.max("entity").alias("z")).filter("a = z")
-    shorts = shorts.union(slipped.join(left.withColumnRenamed("base", "x"), "x").select("a", "b"))
+    slipped = owners(near_forms.join(initial.withColumnRenamed("form", "y"), "y").select("x", "entity", "n"), "x")
+    shorts = shorts.union(slipped.join(left.withColumnRenamed("base", "x"), "x").select(F.col("entity").alias("a"), "b"))
     # nicknames that stand for more than one name
     nick = parsed.filter(F.size("other") > 0).select("base", F.explode("other").alias("read")).distinct()
-    by_name = first.select("base", "entity")
-    alone = first.groupBy("entity").agg(F.count("*").alias("n"))
-    readings = nick.join(by_name.withColumnRenamed("base", "read").withColumnRenamed("entity", "a"), "read").join(by_name.withColumnRenamed("entity", "b"), "base")
+    read_as = nick.join(first.select(F.col("base").alias("read"), "entity", "n"), "read")
     spelt = parsed.filter((F.size("other") == 0) & ~F.col("short")).select("base").distinct()
-    readings = readings.join(spelt, "base", "left_anti").groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("z")).filter("a = z").select("a", "b")
+    readings = owners(read_as.join(spelt, "base", "left_anti").select("base", "entity", "n"), "base").select("base", F.col("entity").alias("a"))
+    readings = readings.join(first.select("base", F.col("entity").alias("b")), "base").select("a", "b")
     second = connected_components(stored(shorts.union(readings)))
     placed = first.join(second.select(F.col("node").alias("entity"), "component"), "entity", "left").select("base", F.coalesce("component", "entity").alias("entity"))
     return stored(parsed.select("name", "base", "qualifier").join(placed, "base"))
 
 
 def _labels(bases: DataFrame, labels: DataFrame) -> DataFrame:
-    return bases.join(labels.select(F.col("node").alias("base"), "component"), "base", "left").select("base", "org", "short", F.coalesce("component", "base").alias("entity"))
+    return bases.join(labels.select(F.col("node").alias("base"), "component"), "base", "left").select("base", "org", "short", "n", F.coalesce("component", "base").alias("entity"))
 
 
 def _told_apart(named: DataFrame) -> DataFrame:

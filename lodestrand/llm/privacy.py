@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chars import codes
-from .names import _NICK, plain
+from .names import _NICK as _EVERY_NICK
+from .names import plain
 from .sentences import lower_table
 
+_NICK = {k: v for k, v in _EVERY_NICK.items() if k.isascii()}
 DEFAULT_KEY = "lodestrand"
 
 # ---- format-preserving pseudonyms -----------------------------------------------------------------------------------

@@ -200,3 +200,26 @@ def test_precision_and_recall(spark, data):
                 total += 1
                 hits += any(docs[r.doc_id][a:b] == e for a, b, k in privacy.find(docs[r.doc_id]) if k == "name")
     assert total > 20 and hits >= 0.95 * total
+
+
+@pytest.mark.parametrize("many", [3, 40])
+def test_initials_beside_strays(spark, many):
+    """A form links to the entity that holds most of its mentions, however many others have it now and then."""
+    full, stray = "Ottilie Brunhold", "Oswald Brunhold"
+    rows = [([full], None)] * (20 * many) + [([stray], None)] * many + [(["O. Brunhold"], None)]
+    rows += [(["Anna Lee"], None)] * many + [(["Arno Lee"], None)] * many + [(["A. Lee"], None)]
+    df = spark.createDataFrame(rows, "entities array<string>, triples array<struct<head:string,relation:string,tail:string,confidence:double,extractor:string>>")
+    assert {(r.name_a, r.name_b) for r in names.pairs(df).collect()} == {("O. Brunhold", full)}
+
+
+@pytest.mark.parametrize(
+    "want",
+    [
+        [{"ООО Рассвет", "Рассвет, ООО", "рассвет"}, {"Саша Зимин", "Александр Зимин", "Зимин Александр", "А. Зимин"}, {"Пётр Зимин", "Петя Зимин"}],
+        [{"北京印刷有限公司", "北京印刷"}, {"有限会社山田", "山田"}, {"李明", "李明先生"}],
+    ],
+)
+def test_other_scripts(spark, want):
+    every = sorted(x for g in want for x in g)
+    got = groups_of(linked(spark, every), every)
+    assert got == {frozenset(g) for g in want}
