@@ -155,10 +155,39 @@ def test_reparameterised(spark):
     assert {(r.doc_id, r.exact) for r in leakage.leaks(d, s).collect()} == {(1, False), (2, True)}
 
 
-def test_leaks_by_blocks(spark, data, monkeypatch):
+SAMPLE = "sample_id string, question string, documents array<struct<idx:string,title:string,text:string,is_supporting:boolean>>, split string"
+
+
+@pytest.mark.parametrize(
+    "question, again, other",
+    [
+        ("In which year did Anna leave the mill for the northern dockyard with 40 barrels?", "In which year did Greta leave the mill for the northern dockyard with 12 barrels?", "In which year did Greta leave the mill for the southern dockyard with 12 barrels?"),
+        ("Who sold the bell of Zitok to Anna Lee before Anna Lee left?", "Who sold the bell of Mabo to Tom Ash before Tom Ash left?", "Who sold the bell of Mabo to Tom Ash before Eve Ash left?"),
+        ("Which weaver walked 5 miles to the fair of the town?", "Which weaver walked 12 furlongs to the fair of the town?", "Which weaver walked to the fair of the town?"),
+        ("Who broke the old loom in the attic?", "Who broke the old loom in the attic?", "Who broke the new loom in the attic?"),
+        ("石桥在1834年由谁出售给村里的人？", "石桥在1901年由谁出售给村里的人？", "木桥在1901年由谁出售给村里的人？"),
+    ],
+)
+def test_questions_with_other_values(spark, question, again, other):
+    """Values that no held-out text has are slots too, a short question word for word is found, other words are not."""
+    d = spark.createDataFrame([(1, f"He asked me. {again} Nobody knew."), (2, f"He asked me. {other} Nobody knew.")], "doc_id long, text string")
+    s = spark.createDataFrame([("s", question, None, "test")], SAMPLE)
+    assert leakage.found(d, s).count() == 0
+    assert {tuple(r) for r in leakage.leaks(d, s).collect()} == {(1, "s", False)}
+
+
+def test_passages_with_other_numbers(spark):
+    passage = "The dockyard that was founded in 1808 and sold by 1911 was kept by the weavers until 1911 came in."
+    again = passage.replace("1808", "1709").replace("1911", "1856")
+    mixed = passage.replace("1808", "1709").replace("by 1911", "by 1856")
+    d = spark.createDataFrame([(1, again), (2, passage.upper()), (3, mixed), (4, "The dockyard of the town.")], "doc_id long, text string")
+    s = spark.createDataFrame([(x, "What?", [("0", "t", passage, True)], "dev") for x in ("a", "b")], SAMPLE)
+    assert {tuple(r) for r in leakage.leaks(d, s).collect()} == {(1, "a", False), (1, "b", False), (2, "a", True), (2, "b", True)}
+
+
+def test_full_bit_table(spark, data, monkeypatch):
+    """A table of bits that passes everything changes nothing but the rows that meet."""
     docs, samples = table(spark, data, "documents"), table(spark, data, "samples")
-    whole = {tuple(r) for r in leakage.found(docs, samples).collect()}
-    blocks = list(leakage.blocks(samples, 40_000))
-    assert len(blocks) > 2
-    monkeypatch.setattr(leakage, "blocks", lambda s: blocks)
-    assert {tuple(r) for r in leakage.found(docs, samples).collect()} == whole
+    whole = {tuple(r) for r in leakage.leaks(docs, samples).collect()}
+    monkeypatch.setattr(leakage, "bit_table", lambda h: np.ones(1 << leakage.BITS, bool))
+    assert {tuple(r) for r in leakage.leaks(docs, samples).collect()} == whole
