@@ -35,7 +35,7 @@ from .chars import bare_codes, mix, steps
 
 #: (length of a stretch, window, step between the windows of a document) of other texts and of those with Chinese questions.
 PLAIN, HAN = (75, 44, 32), (24, 12, 13)
-BITS = 22
+BITS = 24
 HELD_OUT = ("test", "validation", "dev")
 WORDS, WORDS_HAN = 5, 10
 #: Least letters outside slots that a question must have to be looked for as a template.
@@ -92,7 +92,7 @@ def _index_rows(batches):
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
-    """One byte for every value of the first ``BITS`` bits of a 64-bit hash: whether ``hashes`` (hash) has it.
+    """One bit for every value of the first ``BITS`` bits of a 64-bit hash: whether ``hashes`` (hash) has it.
 
     Bits are combined by 64 before they reach the driver, which gets at most ``1 << BITS - 6`` rows.
     """
@@ -101,7 +101,13 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
     out = np.zeros(1 << (BITS - 6), np.int64)
     for word, bits in words.collect():
         out[word] = bits
-    return np.unpackbits(out.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
+    return out.astype("<i8").view(np.uint8)
+
+
+def passed(table: np.ndarray, hashes: np.ndarray) -> list[int]:
+    """Places of the hashes whose bit is set."""
+    slot = hashes >> np.uint64(64 - BITS)
+    return np.flatnonzero(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).tolist()
 
 
 def extent(context: str, left: int, text: str, place: int, span: int) -> tuple[int, int]:
@@ -283,7 +289,7 @@ def stretches(docs: DataFrame, held: DataFrame) -> DataFrame:
                 t = Templates(texts[a:b])
                 for length, span, stride in (PLAIN, HAN):
                     owner, place, h = t.windows(span, stride)
-                    for i in np.flatnonzero(table.value[h >> np.uint64(64 - BITS)]).tolist():
+                    for i in passed(table.value, h):
                         p = int(place[i])
                         context, begin = t.cut(int(owner[i]), p - (length - span), p + length)
                         for part, x in zip(rows, (int(h[i].view(np.int64)), int(ids[a + owner[i]]), context, p - begin)):
@@ -311,7 +317,7 @@ def questions(docs: DataFrame, held: DataFrame) -> DataFrame:
                 said = symbols(text)
                 for size in (WORDS, WORDS_HAN):
                     h = window_hashes(said, size)
-                    for i in np.flatnonzero(table.value[h >> np.uint64(64 - BITS)]).tolist():
+                    for i in passed(table.value, h):
                         a = max(0, i - longest)
                         for part, x in zip(rows, (int(h[i].view(np.int64)), doc, said[a : i + longest], i - a)):
                             part.append(x)

@@ -3,14 +3,17 @@
 Characters are tagged boundary or inside by a linear-chain model decoded with Viterbi. Characters that end no
 terminal mark are inside by constraint, so the chain is compressed to its candidates: ends of runs of terminal marks
 (with closing quotes and brackets). A candidate's emission is the log-odds of its context (kind of mark, kind of word
-before it, kind of what follows, white space, closers); transitions punish boundaries a few characters apart. Weights
-are counts over labelled sentences with a prior: ``train`` takes at most ``LABELLED`` rows. Blocks between blank lines,
-list lines and lines ``Label: value`` bound the chains, and what lies in matched quotes or brackets is inside.
+before it, kind of what follows, white space, closers); a transition is the log-odds by the tag before and the distance
+to it. Both are counts over labelled sentences with a prior: ``train`` takes at most ``LABELLED`` rows. Blocks between
+blank lines, list lines and lines ``Label: value`` bound the chains, and what lies in matched quotes or brackets is inside.
 
-Runs of more than ``UNPUNCTUATED`` characters of an uncased script without any terminal mark are tagged character by
-character by a second chain, trained on at most ``STRIPPED`` texts whose marks were stripped (they are its labels).
+What lies between two terminal marks in an uncased script is tagged character by character by a second chain, trained on
+at most ``STRIPPED`` texts whose marks were stripped (they are its labels). A boundary that no mark shows needs a mark to
+have been left out: how likely that is follows from how many marks the block has for its length, and how long sentences
+of the script are. So an unpunctuated text of any length is cut, and a punctuated one is left alone.
 
-Null, empty and blank texts give no units; a text without any boundary is one unit, however long.
+Null, empty and blank texts give no units; a text without any boundary is one unit, however long. Both models are
+counted where the texts are; only their counts reach the driver.
 """
 
 from __future__ import annotations
@@ -24,14 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import small_side, stored
 from .chars import codes, steps
 
 #: Bounds on the labelled rows that the two models are fitted on.
 LABELLED, STRIPPED = 4000, 1500
-UNPUNCTUATED = 160
 #: How many labelled cases a context's prior counts for.
 PRIOR_CASES = 20.0
-CLOSE_GAP, CLOSE_PENALTY = 3, 4.0
+#: Distances (upper bounds, in characters) that transitions tell apart, and their prior: boundaries hardly ever follow so close.
+DISTANCES = (3, 8, 16, 32, 64)
+CLOSE_PENALTY = 4.0
+#: Share of its marks that an unpunctuated block still has, and the odds that a block with, and without, marks is one.
+STRAY, ODDS, ODDS_BARE = 0.1, 0.02, 0.5
+#: Letters that a word must have for a full stop after it to end a sentence of an uncased script.
+SHORTEST = 4
+#: Chance that a mark is left out in a punctuated block.
+OMITTED = 1e-4
 
 OTHER, SPACE, LINE, LOWER, UPPER, UNCASED, DIGIT, DOT, EXCLAIM, STOP, OPEN_Q, CLOSE_Q, ASCII_Q, OPEN_B, CLOSE_B, LEAD = range(16)
 
@@ -348,44 +359,64 @@ def candidates(texts: list[str]):
     return raw, cls, solid, bounds, p, np.stack([kind, word, follow, gap, closer], 1)
 
 
-def decode(score: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Viterbi over the chain of candidates: which are boundaries.
+def prior_moves() -> np.ndarray:
+    """Log-odds of a boundary by (distance, tag before), before training."""
+    moves = np.zeros((len(DISTANCES) + 1, 2))
+    moves[0, 1] = -CLOSE_PENALTY
+    return moves
 
-    A transition costs something only between boundaries within ``CLOSE_GAP`` characters, so the best path falls into
-    independent runs of close candidates; runs of one are their emission's sign.
+
+def decode(score: np.ndarray, p: np.ndarray, moves: np.ndarray | None = None, chain: np.ndarray | None = None, start: np.ndarray | None = None) -> np.ndarray:
+    """Viterbi over chains of candidates: which are boundaries.
+
+    ``chain`` numbers the chain of each candidate (ascending) and ``start`` gives where each candidate's chain begins,
+    which is a boundary; without them all candidates are one chain that begins far away. All chains advance together.
     """
-    on = score > 0
-    close = np.flatnonzero(np.diff(p) <= CLOSE_GAP)
-    k = 0
-    while k < len(close):
-        a = close[k]
-        while k + 1 < len(close) and close[k + 1] == close[k] + 1:
-            k += 1
-        b = close[k] + 2
-        k += 1
-        best, trace = (0.0, float(score[a])), []
-        for s in score[a + 1 : b]:
-            i = (best[0], best[1])
-            x = (best[0], best[1] - CLOSE_PENALTY)
-            trace.append((i[1] > i[0], x[1] > x[0]))
-            best = (max(i), max(x) + float(s))
-        state = best[1] > best[0]
-        for j in range(b - 1, a - 1, -1):
-            on[j] = state
-            if j > a:
-                state = trace[j - a - 1][int(state)]
+    n = len(p)
+    if not n:
+        return np.zeros(0, bool)
+    moves = prior_moves() if moves is None else moves
+    chain = np.zeros(n, np.int64) if chain is None else chain
+    first = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
+    size = np.diff(np.append(first, n))
+    before = np.concatenate([[0], p[:-1]])
+    before[first] = start[first] if start is not None else p[first] - 1_000_000
+    kind = np.searchsorted(DISTANCES, p - before)
+    step = moves[kind] + score[:, None]
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
+    inside, bound = np.full(len(first), -np.inf), np.zeros(len(first))
+    trace = np.zeros((n, 2), bool)
+    for k in range(int(size[0])):
+        m = alive[k]
+        at = first[:m] + k
+        to_bound = np.stack([inside[:m] + step[at, 0], bound[:m] + step[at, 1]])
+        trace[at, 0] = bound[:m] > inside[:m]
+        trace[at, 1] = to_bound[1] > to_bound[0]
+        inside[:m] = np.maximum(inside[:m], bound[:m])
+        bound[:m] = to_bound.max(axis=0)
+    on = np.zeros(n, bool)
+    state = bound > inside
+    for k in range(int(size[0]) - 1, -1, -1):
+        m = alive[k]
+        at = first[:m] + k
+        on[at] = state[:m]
+        state[:m] = trace[at, state[:m].astype(int)]
     return on
 
 
-def units(texts: list[str], weights: np.ndarray, stripped: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of text, start, end) of every unit of a batch of texts."""
+def units(texts: list[str], weights, stripped: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of text, start, end) of every unit of a batch of texts; ``weights`` are emissions, or these and transitions."""
+    emissions, moves = weights if isinstance(weights, tuple) else (weights, None)
     raw, cls, solid, bounds, p, x = candidates(texts)
-    _, starts = np.zeros(0), np.zeros(len(texts) + 1, np.int64)
+    starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=starts[1:])
     if not len(bounds):
         return (np.zeros(0, np.int64),) * 3
-    score = weights[tuple(x.T)] if len(p) else np.zeros(0)
-    ends = [bounds[:, 1], p[decode(score, p)]]
+    score = emissions[tuple(x.T)] if len(p) else np.zeros(0)
+    chain = np.searchsorted(bounds[:, 0], p - 1, "right") - 1
+    ends = [bounds[:, 1], p[decode(score, p, moves, chain, bounds[chain, 0])]]
     if stripped:
         ends.append(_unpunctuated(raw, cls, bounds, stripped))
     cuts = np.unique(np.concatenate(ends))
@@ -407,80 +438,165 @@ def units(texts: list[str], weights: np.ndarray, stripped: dict | None = None) -
 # ---- unpunctuated scripts -------------------------------------------------------------------------------------------
 
 
-def strip_counts(texts: list[str]) -> dict:
-    """Counts of what surrounds a boundary and what does not, from texts whose terminal marks are stripped.
+_DROPPED = (SPACE, LINE, OPEN_Q, CLOSE_Q, ASCII_Q)
+
+
+def _script(ch: str) -> str:
+    """The group of scripts whose sentences have like lengths: Chinese and Japanese, or the rest."""
+    return "dense" if "\u3040" <= ch <= "\u30ff" or "\u3400" <= ch <= "\u9fff" else "spaced"
 
-    Keys are (distance, characters): the one and two characters before a gap (-1, -2) and after it (1, 2).
+
+def stripped_counts(texts: list[str]) -> tuple[dict, dict]:
+    """What the second model counts, from texts whose terminal marks are stripped.
+
+    Contexts: by (distance, characters), the one and two characters before a gap (-1, -2) and after it (1, 2), how often
+    they stand at a boundary and anywhere. Lengths: by script, number, sum and sum of squares of the logarithms of the
+    sentences' lengths.
     """
-    at_bound: dict = {}
-    at_any: dict = {}
+    contexts: dict = {}
+    lengths: dict = {}
+    table = class_table()
     for t in texts:
-        chars, bound = [], []
-        for ch in t:
-            k = class_table()[ord(ch)]
-            if k in (STOP, EXCLAIM, DOT):
-                if bound:
+        chars: list[str] = []
+        bound: list[bool] = []
+        at = depth = quoted = word = 0
+        for i, ch in enumerate(t):
+            k = table[ord(ch)]
+            if k == LINE and t[i - 1 : i] == "\n":  # a blank line ends a quotation that nothing closed
+                depth = quoted = 0
+            depth = max(0, depth + (k in (OPEN_Q, OPEN_B)) - (k in (CLOSE_Q, CLOSE_B)))
+            quoted ^= k == ASCII_Q
+            if k in (STOP, EXCLAIM) or k == DOT:
+                # a full stop within a number or a word or after a short one, or a mark within a quotation, ends nothing
+                if bound and not bound[-1] and not depth and not quoted and not (k == DOT and (word < SHORTEST or i + 1 < len(t) and LOWER <= table[ord(t[i + 1])] <= DIGIT)):
                     bound[-1] = True
-            elif k not in (SPACE, LINE, OPEN_Q, CLOSE_Q, ASCII_Q):
+                    x = np.log(len(bound) - at)
+                    n, one, two = lengths.get(_script(chars[-1]), (0, 0.0, 0.0))
+                    lengths[_script(chars[-1])] = n + 1, one + x, two + x * x
+                    at = len(bound)
+            elif k not in _DROPPED:
                 chars.append(ch)
                 bound.append(False)
+            word = word + 1 if LOWER <= k <= UNCASED else 0
         s = "".join(chars)
         for i in range(1, len(s)):
             for key in ((-1, s[i - 1]), (-2, s[max(0, i - 2) : i]), (1, s[i]), (2, s[i : i + 2])):
-                at_any[key] = at_any.get(key, 0) + 1
-                if bound[i - 1]:
-                    at_bound[key] = at_bound.get(key, 0) + 1
-    total, ends = sum(v for (k, _), v in at_any.items() if k == 1), sum(v for (k, _), v in at_bound.items() if k == 1)
+                yes, any_ = contexts.get(key, (0, 0))
+                contexts[key] = yes + bound[i - 1], any_ + 1
+    return contexts, lengths
+
+
+def stripped_model(contexts: dict, lengths: dict) -> dict:
+    """Log-likelihood ratios of contexts at boundaries, the base rate (None), and (mean, deviation) of log lengths by script."""
+    total, ends = sum(v for (k, _), (_, v) in contexts.items() if k == 1), sum(v for (k, _), (v, _) in contexts.items() if k == 1)
     if not ends:
         return {}
     base = np.log(ends / max(1, total - ends))
-    return {k: float(np.log((at_bound.get(k, 0) + 20 * ends / total) / (v - at_bound.get(k, 0) + 20 * (1 - ends / total))) - base) for k, v in at_any.items()} | {None: float(base)}
+    out = {k: float(np.log((yes + 20 * ends / total) / (v - yes + 20 * (1 - ends / total))) - base) for k, (yes, v) in contexts.items()}
+    for script, (n, one, two) in lengths.items():
+        out["length", script] = one / n, max(0.3, float(np.sqrt(max(0.0, two / n - (one / n) ** 2))))
+    return out | {None: float(base)}
+
 
+def strip_counts(texts: list[str]) -> dict:
+    """The second model of a few texts."""
+    return stripped_model(*stripped_counts(texts))
+
+
+def length_scores(model: dict, script: str, n: int) -> np.ndarray:
+    """Log-probabilities of sentences of 1 to n characters."""
+    mean, spread = model.get(("length", script)) or next(v for k, v in model.items() if k is not None and k[0] == "length")
+    x = np.log(np.arange(1, n + 1))
+    return -((x - mean) ** 2) / (2 * spread**2) - x - np.log(spread * np.sqrt(2 * np.pi))
 
-def stripped_path(s: str, model: dict) -> list[int]:
+
+def stripped_path(s: str, model: dict, omitted: float = 1.0, marked: bool = False) -> list[int]:
     """Viterbi over the characters of a text without marks: positions where a unit ends.
 
-    On either side of a gap the longer of the known contexts counts, as they are not independent.
+    A boundary scores by its contexts (on either side of a gap the longer known one counts, as they are not independent)
+    and by the chance ``omitted`` that a mark was left out there; the units between score by their lengths. States are
+    numbered by where their unit began, so the best predecessor of a boundary is found in one vector operation.
+    ``marked`` says that a mark ends the text, so that its last unit must be as long as sentences are.
     """
-    base = model[None]
-    best, trace = (0.0, -1e9), []
-    for i in range(1, len(s)):
-        left, right = (-2, s[max(0, i - 2) : i]), (2, s[i : i + 2])
-        e = base + (model[left] if left in model else model.get((-1, s[i - 1]), 0.0)) + (model[right] if right in model else model.get((1, s[i]), 0.0))
-        stay, leave = best
-        trace.append((leave > stay, leave - CLOSE_PENALTY > stay))
-        best = (max(stay, leave), max(stay, leave - CLOSE_PENALTY) + e)
-    state, out = best[1] > best[0], []
-    for i in range(len(s) - 1, 0, -1):
-        if state:
-            out.append(i)
-        state = trace[i - 1][int(state)]
+    n = len(s)
+    known = [v for k, v in model.items() if k is not None and k[0] == "length"]
+    if n < 2 or not known:
+        return []
+    script = "dense" if sum(_script(c) == "dense" for c in s) * 2 > n else "spaced"
+    reach = min(n, max(256, *(int(np.exp(m + 5 * d)) for m, d in known)))
+    length = length_scores(model, script, n)[::-1]  # by n - length
+    best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int64)
+    best[0] = 0.0
+    cost = np.log(omitted)
+    for i in range(1, n + 1):
+        low = max(0, i - reach)
+        options = best[low:i] + length[n - i + low : n]
+        j = int(options.argmax())
+        e = 0.0
+        if i < n:
+            left, right = (-2, s[max(0, i - 2) : i]), (2, s[i : i + 2])
+            e = cost + (model[left] if left in model else model.get((-1, s[i - 1]), 0.0)) + (model[right] if right in model else model.get((1, s[i]), 0.0))
+        best[i], back[i] = options[j] + e, low + j
+    out, i = [], int(back[n])
+    while i > 0:
+        out.append(i)
+        i = int(back[i])
     return out[::-1]
 
 
+def left_out(marks: int, size: int, model: dict, script: str) -> float:
+    """The chance that a sentence's mark was left out in a block of ``size`` characters with so many marks.
+
+    A punctuated block has about one mark a sentence, an unpunctuated one ``STRAY`` of them: Poisson counts of both.
+    """
+    mean, spread = model.get(("length", script)) or next(v for k, v in model.items() if k is not None and k[0] == "length")
+    expected = size / np.exp(mean + spread**2 / 2)
+    odds = np.log(ODDS if marks else ODDS_BARE) + marks * np.log(STRAY) + (1 - STRAY) * expected
+    share = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    return float(share * (1 - STRAY) + (1 - share) * OMITTED)
+
+
 def _unpunctuated(raw: np.ndarray, cls: np.ndarray, bounds: np.ndarray, model: dict) -> np.ndarray:
-    """Ends of units in long runs of uncased script between terminal marks."""
+    """Ends of units that no mark shows, in runs of uncased script between terminal marks."""
+    if not any(k is not None and k[0] == "length" for k in model):
+        return np.zeros(0, np.int64)
     marks = np.flatnonzero((cls == DOT) | (cls == EXCLAIM) | (cls == STOP))
     bare = np.concatenate([[0], np.cumsum(cls == UNCASED)])
+    kept = np.concatenate([[0], np.cumsum(~np.isin(cls, _DROPPED))])
     size = bounds[:, 1] - bounds[:, 0]
-    at = np.flatnonzero((bounds[:, 2] == 0) & (size > UNPUNCTUATED) & ((bare[bounds[:, 1]] - bare[bounds[:, 0]]) * 2 > UNPUNCTUATED))
+    at = np.flatnonzero((bounds[:, 2] == 0) & (size > 1) & ((bare[bounds[:, 1]] - bare[bounds[:, 0]]) * 2 > size))
     out = []
     for start, end, _ in bounds[at]:
         inside = marks[np.searchsorted(marks, start) : np.searchsorted(marks, end)]
+        ends = inside[np.concatenate([inside[1:] - inside[:-1] > 1, [True]])] if len(inside) else inside
+        letters = raw[start:end][cls[start:end] == UNCASED]
+        dense = (((letters >= 0x3040) & (letters <= 0x30FF)) | ((letters >= 0x3400) & (letters <= 0x9FFF))).sum() * 2 > len(letters)
+        omitted = left_out(len(ends), int(kept[end] - kept[start]), model, "dense" if dense else "spaced")
+        if omitted < 0.01:
+            continue  # a boundary here would have to be a hundred times likelier than its contexts can make it
         for a, b in zip([start, *(inside + 1)], [*inside, end]):
-            if b - a > UNPUNCTUATED and (bare[b] - bare[a]) * 2 > b - a:
-                out.extend(a + i for i in stripped_path(raw[a:b].tobytes().decode("utf-32-le"), model))
+            if (bare[b] - bare[a]) * 2 > b - a > 1:
+                solid = np.flatnonzero(~np.isin(cls[a:b], _DROPPED))
+                path = stripped_path(raw[a:b][solid].tobytes().decode("utf-32-le"), model, omitted, b < end)
+                out.extend(a + solid[i - 1] + 1 for i in path)
     return np.array(out, np.int64)
 
 
 # ---- training and the operator --------------------------------------------------------------------------------------
 
 
-def fit(labelled: list[tuple[str, str]]) -> np.ndarray:
-    """Weights from (text, one of its sentences): contexts at the sentence's end are boundaries, those within it are not."""
-    w = prior()
-    rate = 1 / (1 + np.exp(-w))
-    yes, no = rate * PRIOR_CASES, (1 - rate) * PRIOR_CASES
+#: Emissions are counted in this many steps of a half between -BINS / 4 and BINS / 4 where transitions are fitted.
+BINS = 48
+
+
+def _bin(emission: np.ndarray) -> np.ndarray:
+    return np.clip((emission * 2 + BINS / 2).astype(np.int64), 0, BINS - 1)
+
+
+def fit_counts(labelled: list[tuple[str, str]], emissions: np.ndarray | None = None) -> np.ndarray:
+    """Counts from (text, one of its sentences): candidates at the sentence's end are boundaries, those within it are not,
+    and its start is one. By (context, tag), or, given emissions, by (distance, tag before, step of emission, tag)."""
+    out = np.zeros((*_SHAPE, 2) if emissions is None else (len(DISTANCES) + 1, 2, BINS, 2))
     usable = [(t, a, a + len(x)) for t, x in labelled if t and x and (a := t.find(x)) >= 0]
     for i, j in steps([len(t) for t, _, _ in usable]):
         texts = [t for t, _, _ in usable[i:j]]
@@ -488,23 +604,90 @@ def fit(labelled: list[tuple[str, str]]) -> np.ndarray:
         starts = np.cumsum([0, *map(len, texts)])
         k = np.searchsorted(starts, p - 1, "right") - 1
         first, last = (starts[:-1] + np.array([u[n] for u in usable[i:j]]) for n in (1, 2))
-        np.add.at(yes, tuple(x[p == last[k]].T), 1)
-        np.add.at(no, tuple(x[(p > first[k]) & (p < last[k])].T), 1)
-    return np.log(yes / no)
+        inside = (p > first[k]) & (p <= last[k])
+        tag = (p == last[k]).astype(int)
+        if emissions is None:
+            np.add.at(out, (*x[inside].T, tag[inside]), 1)
+            continue
+        before, known = np.concatenate([[-1], p[:-1]]), np.concatenate([[False], inside[:-1] & (k[1:] == k[:-1])])
+        distance = np.searchsorted(DISTANCES, p - np.where(known, before, first[k]))
+        np.add.at(out, (distance[inside], (~known[inside]).astype(int), _bin(emissions[tuple(x[inside].T)]), tag[inside]), 1)
+    return out
+
+
+def fit_emissions(contexts: np.ndarray) -> np.ndarray:
+    """Log-odds of a boundary by context, with the prior."""
+    rate = 1 / (1 + np.exp(-prior()))
+    return np.log((contexts[..., 1] + rate * PRIOR_CASES) / (contexts[..., 0] + (1 - rate) * PRIOR_CASES))
+
+
+def fit_moves(counts: np.ndarray) -> np.ndarray:
+    """What a distance and the tag before add to a boundary's log-odds beyond its emission: the most likely value given
+    the counts and a normal prior, by bisection on the gradient."""
+    value = (np.arange(BINS) + 0.5 - BINS / 2) / 2
+    low, high = prior_moves() - 8, prior_moves() + 8
+    for _ in range(40):
+        at = (low + high) / 2
+        rate = 1 / (1 + np.exp(-value - at[..., None]))
+        slope = (counts[..., 1] - counts.sum(axis=-1) * rate).sum(axis=-1) - PRIOR_CASES * (at - prior_moves())
+        low, high = np.where(slope > 0, at, low), np.where(slope > 0, high, at)
+    return (low + high) / 2
+
+
+def fit(labelled: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The first model (emissions, transitions) of a few (text, one of its sentences)."""
+    emissions = fit_emissions(fit_counts(labelled))
+    return emissions, fit_moves(fit_counts(labelled, emissions))
+
+
+def _first_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows (h, ...) of least h; only the hash of the last one reaches the driver."""
+    last = rows.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.filter(F.col("h") <= F.lit(last)) if last is not None else rows.limit(0)
+
+
+def _counted(pairs: DataFrame, emissions: np.ndarray | None, shape: tuple[int, ...]) -> np.ndarray:
+    """``fit_counts`` over (text, sentence), counted where they are; the driver gets the cells that are not 0."""
+
+    def run(batches):
+        for batch in batches:
+            flat = fit_counts(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), emissions).reshape(-1)
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at].astype(np.int64))], names=["cell", "n"])
+
+    out = np.zeros(int(np.prod(shape)))
+    for cell, n in pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        out[cell] = n
+    return out.reshape(shape)
+
+
+def _stripped_rows(batches):
+    """(text) to (kind, key, a, b, c): the counts of ``stripped_counts``."""
+    for batch in batches:
+        contexts, lengths = stripped_counts(batch.column(0).to_pylist())
+        rows = [(k, x, float(yes), float(n), 0.0) for (k, x), (yes, n) in contexts.items()] + [(0, x, float(n), one, two) for x, (n, one, two) in lengths.items()]
+        columns = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64()))], names=["kind", "key", "a", "b", "c"])
 
 
-def train(docs: DataFrame, sentences: DataFrame | None = None) -> tuple[np.ndarray, dict]:
-    """Both models, from at most ``LABELLED`` labelled sentences and ``STRIPPED`` texts in scripts without case.
+def train(docs: DataFrame, sentences: DataFrame | None = None) -> tuple[tuple[np.ndarray, np.ndarray], dict]:
+    """Both models, from about ``LABELLED`` labelled sentences and ``STRIPPED`` texts in scripts without case.
 
-    Rows are chosen by a hash of their ids, so that the choice does not depend on the number of partitions.
+    Rows are those of least hash of their ids, so that the choice does not depend on the number of partitions. They are
+    counted where they are: the driver gets the cells of the first model, and of the second the contexts that occur.
     """
-    labelled = []
+    emissions, moves = fit([])
     if sentences is not None:
-        rows = sentences.filter("text is not null and doc_id is not null").select("doc_id", F.col("text").alias("sentence"), F.xxhash64("sentence_id").alias("h")).orderBy("h", "sentence").limit(LABELLED)
-        texts = docs.filter("text is not null").select("doc_id", "text")
-        labelled = [(r.text, r.sentence) for r in texts.join(F.broadcast(rows), "doc_id").select("text", "sentence").collect()]
-    uncased = docs.filter(F.col("text").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsDevanagari}\p{IsArabic}\p{IsThai}]")).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(STRIPPED)
-    return fit(labelled), strip_counts([r.text for r in uncased.collect()])
+        rows = sentences.filter("text is not null and doc_id is not null").select("doc_id", F.col("text").alias("sentence"), F.xxhash64("sentence_id", "text").alias("h"))
+        chosen = small_side(stored(_first_hashes(rows, LABELLED).distinct()))
+        pairs = stored(docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", "sentence"))
+        emissions = fit_emissions(_counted(pairs, None, (*_SHAPE, 2)))
+        moves = fit_moves(_counted(pairs, emissions, (len(DISTANCES) + 1, 2, BINS, 2)))
+    uncased = docs.filter(F.col("text").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsDevanagari}\p{IsArabic}\p{IsThai}]")).select("text", F.xxhash64("doc_id").alias("h"))
+    counts = _first_hashes(uncased, STRIPPED).select("text").mapInArrow(_stripped_rows, "kind int, key string, a double, b double, c double").groupBy("kind", "key").agg(F.sum("a"), F.sum("b"), F.sum("c")).collect()
+    contexts = {(k, x): (yes, n) for k, x, yes, n, _ in counts if k}
+    lengths = {x: (n, one, two) for k, x, n, one, two in counts if not k}
+    return (emissions, moves), stripped_model(contexts, lengths)
 
 
 def unit_table(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:
