@@ -1,27 +1,35 @@
 """Problem 10: private data in free text, found and replaced by typed placeholders.
 
-Emails, phone numbers, identity numbers and street addresses are found by their formats and the words around them,
-persons' names by given names (exact, or one typing error off), surnames that the same text uses with a given name,
-and, in scripts without capitals, the words around them. Nothing else of the text changes.
-
-Numbers are replaced by format-preserving Feistel pseudonyms: digits and letters are permuted, under a key, within
-the positions they stand in, separators and country codes stay, and check characters that held are made to hold
-again. Equal values thus stay linked across documents without being readable. Other kinds get a keyed tag.
+Emails, phone numbers, identity numbers and street addresses are found by their formats and the words around them;
+numbers count if they are valid for their kind. Persons' names are found by given names (exact, or one typing error off),
+surnames that the same text uses with a given name, and by what stands around them: ``train`` counts, over at most
+``SAMPLE`` texts, which words stand before, after and within names that a given name shows and which beside other
+capitalised words; names that no list has are then told by their surroundings. In scripts without capitals the words
+around a name decide. Nothing else of the text changes.
+
+Numbers and dates are replaced by format-preserving Feistel pseudonyms: digits and letters are permuted, under a key,
+within the positions they stand in, separators and country codes stay, and check characters that held are made to hold
+again. Equal values thus stay linked across documents without being readable. Other kinds get a keyed tag. The key is an
+argument and stands nowhere here: who has it can turn pseudonyms back.
 
 Null and empty texts have no findings and stay as they are; repeated rows are treated alike; long texts are read whole.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
+import secrets
+from collections import Counter
 from functools import cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .chars import codes
 from .names import _NICK as _EVERY_NICK
@@ -29,7 +37,8 @@ from .names import plain
 from .sentences import lower_table
 
 _NICK = {k: v for k, v in _EVERY_NICK.items() if k.isascii()}
-DEFAULT_KEY = "lodestrand"
+#: Bound on the texts whose names the surroundings of names are counted on.
+SAMPLE = 2000
 
 # ---- format-preserving pseudonyms -----------------------------------------------------------------------------------
 
@@ -122,6 +131,14 @@ def pseudonym_number(key: bytes, value: str, kind: str, inverse: bool = False) -
     return _permute(key, "id_number", value, places, inverse)
 
 
+def valid(value: str, kind: str) -> bool:
+    """Whether a phone or identity number can be one: as many digits as such numbers have, and not all the same."""
+    digits = [c for c in value if c.isdigit()]
+    if kind == "phone":
+        return 7 <= len(digits) <= 21 and len(set(digits)) > 1
+    return kind != "id_number" or 5 <= sum(c.isalnum() for c in value) <= 24 and len(digits) >= 4 and len(set(digits)) > 1
+
+
 def pseudonym_date(key: bytes, value: datetime.date, first: datetime.date = datetime.date(1800, 1, 1), last: datetime.date = datetime.date(2099, 12, 31), inverse: bool = False) -> datetime.date:
     """A date permuted within a range of dates; dates outside the range stay."""
     n = (last - first).days + 1
@@ -136,19 +153,77 @@ def pseudonym_date(key: bytes, value: datetime.date, first: datetime.date = date
             return first + datetime.timedelta(days=i)
 
 
-def placeholder(key: bytes, value: str, kind: str) -> str:
-    """The typed placeholder of a finding."""
+_MONTHS = "january february march april may june july august september october november december".split()
+_DATE = re.compile(r"(?<![\w.])(?:(\d{4})-(\d\d)-(\d\d)|(\d{1,2})([./])(\d{1,2})\5(\d{4})|(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4}))(?![\w])")
+#: What announces a date of birth.
+_BORN = re.compile(r"(?:\b(?:born(?:\s+on)?|date of birth|birth ?date|d\.?o\.?b\.?|geboren(?:\s+am)?|geburtsdatum|né(?:e)?\s+le|naci(?:ó|do|da)\s+el|fecha de nacimiento)|дата рождения|родил(?:ся|ась)|出生日期|生于)[\s:：,]{0,3}$", re.I)
+
+
+def read_date(m: re.Match) -> datetime.date | None:
+    """The date that a match of the date format writes (day before month), if there is such a day."""
+    try:
+        if m.group(1):
+            return datetime.date(int(m.group(1)), int(m.group(2)), int(m.group(3)))
+        if m.group(4):
+            return datetime.date(int(m.group(7)), int(m.group(6)), int(m.group(4)))
+        return datetime.date(int(m.group(10)), next(i for i, x in enumerate(_MONTHS, 1) if x.startswith(m.group(9).lower())), int(m.group(8)))
+    except (ValueError, StopIteration):
+        return None
+
+
+def write_date(m: re.Match, day: datetime.date) -> str:
+    """A date in the format of a match."""
+    if m.group(1):
+        return day.isoformat()
+    if m.group(4):
+        wide = len(m.group(4)) == 2 and len(m.group(6)) == 2
+        return f"{day.day:02d}{m.group(5)}{day.month:02d}{m.group(5)}{day.year}" if wide else f"{day.day}{m.group(5)}{day.month}{m.group(5)}{day.year}"
+    name = _MONTHS[day.month - 1] if len(m.group(9)) > 3 else _MONTHS[day.month - 1][:3]
+    return f"{day.day} {name.title() if m.group(9)[0].isupper() else name} {day.year}"
+
+
+def birth_dates(text: str) -> list[tuple[int, int, datetime.date, re.Match]]:
+    """(start, end, date, match) of the dates of birth of a text: valid dates that such words announce."""
+    out = []
+    for m in _DATE.finditer(text):
+        if _BORN.search(text, max(0, m.start() - 40), m.start()) and (day := read_date(m)):
+            out.append((m.start(), m.end(), day, m))
+    return out
+
+
+def pseudonym(key: bytes, value: str, kind: str) -> str:
+    """The pseudonym of a finding: numbers in their own format, other kinds as a keyed tag."""
     if kind in ("phone", "id_number"):
-        return f"[{kind.upper()} {pseudonym_number(key, value, kind)}]"
+        return pseudonym_number(key, value, kind)
     form = " ".join(sorted(re.findall(r"\w+", plain(value)))) if kind == "name" else re.sub(r"\W+", "", plain(value).replace("[at]", "").replace("(at)", ""))
-    return f"[{kind.upper()} {hashlib.blake2b(form.encode(), key=key, digest_size=4).hexdigest()}]"
+    return hashlib.blake2b(form.encode(), key=key, digest_size=4).hexdigest()
+
+
+def placeholder(key: bytes, value: str, kind: str) -> str:
+    """The typed placeholder of a finding."""
+    return f"[{kind.upper()} {pseudonym(key, value, kind)}]"
 
 
 # ---- formats --------------------------------------------------------------------------------------------------------
 
 _BRACKETED_AT = re.compile(r"[\[({<]\s*(?:at|AT|At)\s*[\])}>]")
 _AT = re.compile(rf"[@＠]|{_BRACKETED_AT.pattern}|(?<=\w)\s+(?:at|AT)\s+(?=[\w-]+\s+(?:dot|DOT)\s)")
-_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+%'’-]*\s{0,2}$")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+%'’-")
+
+
+def local_part(text: str, at: int) -> int | None:
+    """Where the local part of an address before ``at`` begins, however long it is; None if there is none."""
+    end = at
+    while end > max(0, at - 2) and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    while start < end and not (text[start].isascii() and text[start].isalnum()):
+        start += 1
+    return start if start < end else None
+
+
 _DOMAIN = re.compile(r"\s{0,2}[A-Za-z0-9-]+(?:(?:\.|\s{0,2}[\[({]\s*(?:dot|DOT|Dot)\s*[\])}]\s{0,2}|\s+(?:dot|DOT|Dot)\s+)[A-Za-z0-9-]*[A-Za-z0-9])+")
 _EXT = r"(?:[\s,;]{0,3}(?:ext\.?|extension|x|poste|доб\.?|Durchwahl|Apparat|int\.|分机|內線|内線|EXT\.?|Ext\.?)\s{0,2}\.?\s{0,2}\d{1,6})?"
 _SEP = r"[\s.\-/]{0,2}"
@@ -198,8 +273,8 @@ _ADDRESS_OTHER = (
 )
 _ADDRESS = re.compile(f"{_ADDRESS_EN}|{_ADDRESS_OTHER}")
 _ADDRESS_ANY_CASE = re.compile(f"{_ADDRESS_EN}|{_ADDRESS_OTHER}", re.I)
-# Beginnings of what may announce an identity number, in folded text.
-_ID_WORDS = "identity n|identity c|id n|id c|passport|s card|social security|national insurance|ausweis|reisepass|d'identite|d’identite|de identidad|dni|nie|паспорт|снилс|инн|身份证|护照|身分証|マイナンバー|पहचान|आधार|رقم الهوية|هوية رقم|signed with".split("|")
+# Beginnings of what announces an identity number, in folded text.
+_ID_WORDS = "identity n|identity c|identity|id n|id c|passport|reader's card|reader’s card|social security|national insurance|ausweisnummer|personalausweis|reisepass|numero d'identite|numero d’identite|piece d'identite|piece d’identite|numero de identidad|dni|nie|паспорт|снилс|инн|身份证|护照|身分証|マイナンバー|पहचान|आधार|رقم الهوية|هوية رقم|signed with".split("|")
 
 
 def address_words() -> list[str]:
@@ -220,20 +295,135 @@ def _cues() -> ahocorasick.Automaton:
     return automaton
 
 
-def _windows(places: list[int], before: int, after: int) -> list[tuple[int, int]]:
-    """Places widened to windows, overlapping ones joined."""
+#: Words that an address can reach before and after one of its cue words; words may be of any length.
+WORDS_BEFORE, WORDS_AFTER = 12, 16
+
+
+def _windows(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """Places widened to windows by words, overlapping ones joined."""
+    gaps = [m.start() for m in _GAP.finditer(text)]
     out: list[tuple[int, int]] = []
     for p in places:
-        if out and p - before <= out[-1][1]:
-            out[-1] = (out[-1][0], p + after)
+        k = bisect.bisect_left(gaps, p)
+        a = gaps[k - WORDS_BEFORE] if k >= WORDS_BEFORE else 0
+        b = gaps[k + WORDS_AFTER] if k + WORDS_AFTER < len(gaps) else len(text)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            out.append((max(0, p - before), p + after))
+            out.append((a, b))
     return out
 
 
 _ADDRESS_HAN = re.compile(r"(?:[一-龥]{2,3}省)?(?:[一-龥]{2,4}[市县])?(?:[一-龥]{2,3}区)?[一-龥]{2,5}(?:路|街|大道|巷)(?:\d+弄)?\d+号(?:\d+[室栋楼]|\d+单元)*|(?:[一-龥]{2,3}[都道府県])?(?:[一-龥]{1,3}[市区郡])?[一-龥]{1,3}[町村]\d+(?:丁目\d+番地?(?:\d+号)?|-\d+(?:-\d+)?)")
 _HAN_LEAD = re.compile(r"^.*?(?:住在|位于|地址[是为：:]?|住所は|在(?=..市|..区)|の)")
 
+# ---- names by what stands around them --------------------------------------------------------------------------------
+
+_CAPITAL = r"[A-ZÀ-Þ][a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?"
+_CANDIDATE = re.compile(rf"(?<![\w@.'’&-])(?!(?:Dear|Contact|Call|Ask|Miss|Sir|Herr|Frau|Madame|Monsieur|Colleague)\s)({_CAPITAL})((?:\s[A-ZÀ-Þ]\.?(?=\s)){{0,2}})\s({_CAPITAL})(?![\w@'’&-])")
+_WORD_BEFORE, _WORD_AFTER = re.compile(r"(\S+)\s*$"), re.compile(r"\s*([^\W\d_]+|\S)")
+#: Log-odds above which surroundings make capitalised words a name, the most that one of them counts, and cases its prior counts for.
+SURE, MOST, DOUBT = 1.3, 4.0, 4.0
+# Words that stand before and after names whatever the texts; each counts for as many cases as the prior.
+_BEFORE_NAMES = "dr. prof. mr. mrs. ms. miss sir herr frau madame monsieur sr. sra. m. mme by dear contact ask call asked colleague".split()
+_AFTER_NAMES = "said says wrote writes told asked called married replied signed lives works studied joined".split()
+
+
+def surroundings(text: str, m: re.Match) -> list[str]:
+    """The features of a candidate: the words before and after it (^ and $ beside a mark or nothing), and its own two."""
+    before = _WORD_BEFORE.search(text, max(0, m.start() - 40), m.start())
+    after = _WORD_AFTER.match(text, m.end())
+    b = before.group(1).lower() if before else "^"
+    if b[-1] in ".!?:;\"”»)" and b not in _TITLES_DOTTED:
+        b = "^"
+    return ["<" + b.lstrip("(\"“«„"), ">" + (after.group(1).lower() if after else "$"), "=" + fold(m.group(1)), "=" + fold(m.group(3))]
+
+
+_TITLES_DOTTED = {w for w in _BEFORE_NAMES if w.endswith(".")}
+
+
+def known_names(text: str, folded: str) -> tuple[list[tuple[int, int]], list[tuple[re.Match, bool | None]]]:
+    """The names that lists and formats show, and the candidates: whether such a name covers them, None if in part."""
+    spans = latin_names(text, folded)
+    marked = sorted(spans)
+    out, k = [], 0
+    for m in _CANDIDATE.finditer(text):
+        while k < len(marked) and marked[k][1] <= m.start():
+            k += 1
+        near = [s for s in marked[k : k + 3] if s[0] < m.end() and s[1] > m.start()]
+        out.append((m, any(a <= m.start() and b >= m.end() for a, b in near) or (None if near else False)))
+    return spans, out
+
+
+def _surrounding_rows(batches):
+    """(text) to (feature, yes, no): how often each stands with names that lists show, and with other candidates."""
+    for batch in batches:
+        yes, no = Counter(), Counter()
+        for text in batch.column(0).to_pylist():
+            for m, named in known_names(text, fold(text))[1]:
+                if named is not None:
+                    (yes if named else no).update(surroundings(text, m))
+        keys = list(yes.keys() | no.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([yes[k] for k in keys], pa.int64()), pa.array([no[k] for k in keys], pa.int64())], names=["feature", "yes", "no"])
+
+
+def fit_surroundings(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Log-likelihood ratios of features, and the log-odds of a name among candidates (the empty feature).
+
+    Words within names count against a candidate only: those of names do not recur, those of places and bodies do.
+    """
+    counts = dict(counts)
+    for sign, words in (("<", _BEFORE_NAMES), (">", _AFTER_NAMES)):
+        for w in words:
+            yes, no = counts.get(sign + w, (0, 0))
+            counts[sign + w] = yes + 20 * DOUBT, no
+    total = {sign: [sum(v[i] for k, v in counts.items() if k[0] == sign) + 1 for i in (0, 1)] for sign in "<>="}
+    out = {}
+    for k, (yes, no) in counts.items():
+        rate = total[k[0]][0] / sum(total[k[0]])
+        x = float(np.log((yes + DOUBT * rate) / (no + DOUBT * (1 - rate)) * total[k[0]][1] / total[k[0]][0]))
+        x = max(-MOST, min(MOST, x))
+        if abs(x) > 0.5 and (k[0] != "=" or x < 0):
+            out[k] = x
+    return out
+
+
+def train(docs: DataFrame) -> dict[str, float]:
+    """The surroundings of names, counted on the ``SAMPLE`` texts of least hash where they are."""
+    rows = docs.filter("text is not null").select("text", F.xxhash64("doc_id").alias("h"))
+    last = rows.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit_surroundings({})
+    counts = rows.filter(F.col("h") <= F.lit(last)).select("text").mapInArrow(_surrounding_rows, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes"), F.sum("no")).filter("sum(yes) + sum(no) > 2")
+    return fit_surroundings({k: (yes, no) for k, yes, no in counts.collect()})
+
+
+def weaker(x: float) -> float:
+    """What the weaker side counts: as it is if it speaks for a name, a third if it speaks against one, since any name may
+    begin a sentence or stand before any word."""
+    return x if x > 0 else x / 3
+
+
+_LINE_BEFORE, _LINE_AFTER = re.compile(r"(?:^|\n)\s*$"), re.compile(r"[^\S\n]*(?:\n|$)")
+_RUN_AFTER, _RUN_BEFORE = re.compile(r"\s[A-ZÀ-Þ][\w'’-]*"), re.compile(r"(?<!\S)(?!(?:Dr|Prof|Mrs?|Ms|Sra?|M|Mme|Miss|Sir|Herr|Frau|Madame|Monsieur|Dear|Contact|Call|Ask)\b)[A-ZÀ-Þ][\w'’-]*\s$")
+
+
+def surrounded_names(text: str, candidates: list[tuple[re.Match, bool | None]], model: dict[str, float]) -> list[tuple[int, int]]:
+    """The candidates that no list shows but whose surroundings do."""
+    out = []
+    for m, named in candidates:
+        if named or m.group(1).lower() in _NEVER or m.group(3).lower() in _NEVER or _ORG_AFTER.match(text, m.end()) or _ORG_AFTER.match(text, m.end(1)) or _ORG_BEFORE.search(text, max(0, m.start() - 24), m.start()):
+            continue
+        if _RUN_AFTER.match(text, m.end()) or _RUN_BEFORE.search(text, max(0, m.start() - 40), m.start()):
+            continue  # one of a run of capitals, such as a title
+        if _LINE_BEFORE.search(text, max(0, m.start() - 2), m.start()) and _LINE_AFTER.match(text, m.end()):
+            continue  # a line of its own, such as a heading
+        before, after, *own = (model.get(f, 0.0) for f in surroundings(text, m))
+        if max(before, after) + weaker(min(before, after)) + sum(own) >= SURE:
+            out.append((m.start(), m.end()))
+    return out
+
+
 # ---- names ----------------------------------------------------------------------------------------------------------
 
 # Given names; those that are also words count only with a capital.
@@ -430,8 +620,8 @@ def useless_capitals(text: str, step: int) -> bool:
     return upper * 100 < letters or upper * 2 > letters
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the private data of a text, in order, without overlaps."""
+def find(text: str, model: dict[str, float] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the private data of a text, in order, without overlaps; ``model`` is what ``train`` gives."""
     out: list[tuple[int, int, str]] = []
 
     def free(a: int, b: int) -> bool:
@@ -448,27 +638,29 @@ def find(text: str) -> list[tuple[int, int, str]]:
     folded = fold(text)
     if "@" in text or "＠" in text or "dot" in folded or _BRACKETED_AT.search(text):
         for m in _AT.finditer(text):
-            left, right = _LOCAL.search(text, max(0, m.start() - 70), m.start()), _DOMAIN.match(text, m.end())
-            if left and right and (m.group()[0] not in "@＠" or not left.group()[-1:].isspace() and not right.group()[:1].isspace()):
-                add(left.start(), right.end(), "email")
+            left, right = local_part(text, m.start()), _DOMAIN.match(text, m.end())
+            if left is not None and right and (m.group()[0] not in "@＠" or not text[m.start() - 1].isspace() and not right.group()[:1].isspace()):
+                add(left, right.end(), "email")
     if _DIGIT.search(text):
         cues: dict[str, list[int]] = {"address": [], "id_number": []}
         for end, (kind, size) in _cues().iter(_SPACE.sub(" ", folded)):
             cues[kind].append(end - size + 1)
-        for a, b in _windows(sorted(cues["id_number"]), 20, 110):
-            for m in _ID_CUE.finditer(text, a, b):
-                if not _PHONE.fullmatch(m.group(1).strip()):
-                    add(m.start(1), m.end(1), "id_number")
+        for p in sorted(cues["id_number"]):
+            m = _ID_CUE.match(text, p)
+            if m and not _PHONE.fullmatch(m.group(1).strip()) and valid(m.group(1), "id_number"):
+                add(m.start(1), m.end(1), "id_number")
         for m in _ID.finditer(text):
-            add(m.start(), m.end(), "id_number")
+            if valid(m.group(), "id_number"):
+                add(m.start(), m.end(), "id_number")
         for m in _PHONE.finditer(text):
-            add(m.start(), m.end(), "phone")
-        spots = [p for p in sorted(cues["address"]) if _DIGIT.search(text, max(0, p - 45), p + 45)]
-        any_case = {k: useless_capitals(text, k) for k in {p // STEP for p in spots}}
-        for pattern, told in ((_ADDRESS, False), (_ADDRESS_ANY_CASE, True)):
-            for a, b in _windows([p for p in spots if any_case[p // STEP] == told], 90, 140):
-                for m in pattern.finditer(text, a, b):
-                    add(m.start(), m.end(), "address")
+            if valid(m.group(), "phone"):
+                add(m.start(), m.end(), "phone")
+        if spots := sorted(cues["address"]):
+            any_case = {k: useless_capitals(text, k) for k in {p // STEP for p in spots}}
+            for pattern, told in ((_ADDRESS, False), (_ADDRESS_ANY_CASE, True)):
+                for a, b in _windows(text, [p for p in spots if any_case[p // STEP] == told]):
+                    for m in pattern.finditer(text, a, b) if _DIGIT.search(text, a, b) else ():
+                        add(m.start(), m.end(), "address")
         if "号" in text or "町" in text or "村" in text:
             for m in _ADDRESS_HAN.finditer(text):
                 lead = _HAN_LEAD.match(m.group())
@@ -476,7 +668,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
     out.sort()
     blocked = out[:]
     names: list[tuple[int, int, str]] = []
-    spans = sorted(latin_names(text, folded) + ([] if text.isascii() else _non_latin_names(text)))
+    told, candidates = known_names(text, folded)
+    more = surrounded_names(text, candidates, model or fit_surroundings({}))
+    if more:  # a part of a name that its initial shows gives way to the whole
+        told = [(a, b) for a, b in told if not any(a < y and b > x for x, y in more)]
+    spans = sorted(told + more + ([] if text.isascii() else _non_latin_names(text)))
     k, reach = 0, -1
     for a, b in spans:
         while k < len(blocked) and blocked[k][1] <= a:
@@ -488,13 +684,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 _DIGIT = re.compile(r"\d")
-_SPACE = re.compile(r"\s")
+_SPACE, _GAP = re.compile(r"\s"), re.compile(r"\s+")
 
 
-def redact(text: str, key: bytes) -> str:
+def redact(text: str, key: bytes, model: dict[str, float] | None = None) -> str:
     """The text with every finding replaced by its placeholder."""
     parts, at = [], 0
-    for a, b, kind in find(text):
+    for a, b, kind in find(text, model):
         parts += [text[at:a], placeholder(key, text[a:b], kind)]
         at = b
     return "".join([*parts, text[at:]])
@@ -503,28 +699,48 @@ def redact(text: str, key: bytes) -> str:
 # ---- the operators --------------------------------------------------------------------------------------------------
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, start_char, end_char, kind of all private data."""
+def session_key(spark) -> str:
+    """The key of ``spark.lodestrand.pseudonym.key``; without one, a random key that lasts as long as the session."""
+    name = "spark.lodestrand.pseudonym.key"
+    key = spark.conf.get(name, "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(name, key)
+    return key
+
+
+def _secret(key: str) -> bytes:
+    return hashlib.blake2b(key.encode(), digest_size=32).digest()
+
+
+def findings(docs: DataFrame, key: str, model: dict[str, float] | None = None, dates: bool = False) -> DataFrame:
+    """doc_id, start_char, end_char, kind, pseudonym of all private data; with ``dates``, dates of birth as kind ``date`` too."""
+    secret = _secret(key)
+    model = fit_surroundings({}) if model is None else model
 
     def run(batches):
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b, kind in find(text):
-                    for part, x in zip(rows, (doc, a, b, kind)):
+                told = [(a, b, kind, pseudonym(secret, text[a:b], kind)) for a, b, kind in find(text, model)]
+                if dates:
+                    told += [(a, b, "date", write_date(m, pseudonym_date(secret, day))) for a, b, day, m in birth_dates(text)]
+                for a, b, kind, other in told:
+                    for part, x in zip(rows, (doc, a, b, kind, other)):
                         part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "start_char", "end_char", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["doc_id", "start_char", "end_char", "kind", "pseudonym"])
 
-    return docs.filter("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, start_char int, end_char int, kind string")
+    return docs.filter("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, start_char int, end_char int, kind string, pseudonym string")
 
 
-def redacted(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def redacted(docs: DataFrame, key: str, model: dict[str, float] | None = None) -> DataFrame:
     """doc_id, text with private data replaced; null texts stay null."""
-    secret = key.encode()
+    secret = _secret(key)
+    model = fit_surroundings({}) if model is None else model
 
     def run(batches):
         for batch in batches:
-            texts = [None if t is None else redact(t, secret) for t in batch.column(1).to_pylist()]
+            texts = [None if t is None else redact(t, secret, model) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")

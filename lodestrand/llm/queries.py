@@ -82,15 +82,23 @@ def p9_shares(spark, d):
 
 def p10_found(spark, d):
     """Private data in every document, with its place and kind."""
-    return privacy.findings(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return privacy.findings(docs, privacy.session_key(spark), privacy.train(docs)).select("doc_id", "start_char", "end_char", "kind")
+
+
+def p10_linked(spark, d):
+    """Numbers, dates of birth and other private data with their pseudonyms, equal for equal values in all documents."""
+    docs = table(spark, d, "documents")
+    return privacy.findings(docs, privacy.session_key(spark), privacy.train(docs), dates=True)
 
 
 def p10_redacted(spark, d):
     """Every document with its private data replaced."""
-    return privacy.redacted(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return privacy.redacted(docs, privacy.session_key(spark), privacy.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_groups, p5_found, p5_entities, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_groups, p5_found, p5_entities, p6_found, p6_pieces, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_linked, p10_redacted)}
 _BARE = "regexp_replace(lower({}),'[^\\p{{L}}\\p{{N}}]+','','g')"
 _LINES = "regexp_split_to_array(text,'\\r\\n|[\\n\\x0B\\f\\r]')"
 _IS_LABELS = f"contains(text,':') and len(list_filter({_LINES}, lambda x: not regexp_matches(x,'^[^:]{{1,60}}:.*[\\p{{L}}\\p{{N}}]|^[^\\p{{L}}\\p{{N}}]*$')))=0"

@@ -459,6 +459,8 @@ def stripped_counts(texts: list[str]) -> tuple[dict, dict]:
     for t in texts:
         chars: list[str] = []
         bound: list[bool] = []
+        gaps: list[bool] = []
+        spaced = False
         at = depth = quoted = word = 0
         for i, ch in enumerate(t):
             k = table[ord(ch)]
@@ -477,9 +479,14 @@ def stripped_counts(texts: list[str]) -> tuple[dict, dict]:
             elif k not in _DROPPED:
                 chars.append(ch)
                 bound.append(False)
+                gaps.append(spaced)
+                spaced = False
+            spaced |= k in (SPACE, LINE)
             word = word + 1 if LOWER <= k <= UNCASED else 0
         s = "".join(chars)
         for i in range(1, len(s)):
+            if not gaps[i] and not bound[i - 1] and _script(s[i - 1]) == "spaced":
+                continue  # where words are spaced, nothing ends within one
             for key in ((-1, s[i - 1]), (-2, s[max(0, i - 2) : i]), (1, s[i]), (2, s[i : i + 2])):
                 yes, any_ = contexts.get(key, (0, 0))
                 contexts[key] = yes + bound[i - 1], any_ + 1
@@ -510,13 +517,13 @@ def length_scores(model: dict, script: str, n: int) -> np.ndarray:
     return -((x - mean) ** 2) / (2 * spread**2) - x - np.log(spread * np.sqrt(2 * np.pi))
 
 
-def stripped_path(s: str, model: dict, omitted: float = 1.0, marked: bool = False) -> list[int]:
+def stripped_path(s: str, model: dict, omitted: float = 1.0, gaps: np.ndarray | None = None) -> list[int]:
     """Viterbi over the characters of a text without marks: positions where a unit ends.
 
     A boundary scores by its contexts (on either side of a gap the longer known one counts, as they are not independent)
     and by the chance ``omitted`` that a mark was left out there; the units between score by their lengths. States are
     numbered by where their unit began, so the best predecessor of a boundary is found in one vector operation.
-    ``marked`` says that a mark ends the text, so that its last unit must be as long as sentences are.
+    ``gaps`` tells before which characters words end, where the script spaces them; a boundary is at one of those.
     """
     n = len(s)
     known = [v for k, v in model.items() if k is not None and k[0] == "length"]
@@ -528,7 +535,11 @@ def stripped_path(s: str, model: dict, omitted: float = 1.0, marked: bool = Fals
     best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int64)
     best[0] = 0.0
     cost = np.log(omitted)
-    for i in range(1, n + 1):
+    places = range(1, n + 1)
+    if gaps is not None and script == "spaced" and gaps.any():
+        places = [*np.flatnonzero(gaps[1:n]) + 1, n]
+        cost += np.log(n / len(places))  # lengths are spread over the gaps only
+    for i in map(int, places):
         low = max(0, i - reach)
         options = best[low:i] + length[n - i + low : n]
         j = int(options.argmax())
@@ -577,7 +588,8 @@ def _unpunctuated(raw: np.ndarray, cls: np.ndarray, bounds: np.ndarray, model: d
         for a, b in zip([start, *(inside + 1)], [*inside, end]):
             if (bare[b] - bare[a]) * 2 > b - a > 1:
                 solid = np.flatnonzero(~np.isin(cls[a:b], _DROPPED))
-                path = stripped_path(raw[a:b][solid].tobytes().decode("utf-32-le"), model, omitted, b < end)
+                gaps = np.concatenate([[False], np.diff(solid) > 1])
+                path = stripped_path(raw[a:b][solid].tobytes().decode("utf-32-le"), model, omitted, gaps)
                 out.extend(a + solid[i - 1] + 1 for i in path)
     return np.array(out, np.int64)
 

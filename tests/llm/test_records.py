@@ -186,7 +186,7 @@ def test_redaction(spark):
     docs = spark.createDataFrame([(1, text), (2, other), (3, None), (4, "plain")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in privacy.redacted(docs, "k").collect()}
     assert got[3] is None and got[4] == "plain" and "7946" not in got[1] and got[1].endswith(". Ada is 42.") and got[1].startswith("Call ")
-    assert privacy.redact(text, b"k") == got[1]
+    assert privacy.redact(text, privacy._secret("k")) == got[1]
 
 
 def test_precision_and_recall(spark, data):
