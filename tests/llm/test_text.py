@@ -81,6 +81,7 @@ def test_unpunctuated_run_before_a_mark():
 def test_unpunctuated(spark, lang, many):
     """Texts whose marks are taken out, of two sentences or of many: nine boundaries in ten are found again (Hindi: eight)."""
     texts = [r.text for r in table(spark, "/root/testdata/sf0.1", "documents").filter(f"lang = '{lang}' and text is not null").orderBy("doc_id").limit(300).collect()]
+    texts = [t for t in texts if sum(sentences.class_table()[ord(c)] == sentences.UNCASED for c in t) * 2 > len(t)]  # some are in another language than they say
     model = sentences.strip_counts(texts[: len(texts) // 2])
     marks = (sentences.STOP, sentences.EXCLAIM, sentences.DOT)
     good = total = found = 0
