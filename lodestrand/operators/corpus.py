@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..runtime import stored
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -38,19 +39,36 @@ def distractors(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return keyed(docs).join(needed.select("key"), "key", "left_anti")
 
 
+def seeded_order(by: str, seed: int) -> Column:
+    """A column that orders rows by a seeded hash of ``by``: the same for any number of partitions."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(by).cast("string")))
+
+
 def seeded_sample(rows: DataFrame, by: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of a seeded hash of ``by``: the same for any number of partitions."""
-    return rows.orderBy(F.xxhash64(F.col(by).cast("string"), F.lit(seed)), by).limit(n)
+    """``n`` rows in seeded order of ``by``."""
+    return rows.orderBy(seeded_order(by, seed), by).limit(n)
+
 
+def scaled(docs: DataFrame, needed: DataFrame, scale: int | None = None, seed: int = 42, share: float = 1.0) -> DataFrame:
+    """All required documents and seeded distractors up to ``scale`` documents; fails if there are too few.
 
-def scaled(docs: DataFrame, needed: DataFrame, scale: int, seed: int = 42) -> DataFrame:
-    """All required documents and seeded distractors up to ``scale`` documents; fails if there are too few."""
+    Without a scale it takes ``share`` of the distractors, as many whole documents as that is. The distractors are
+    found once and stored; they are in a total order, so a scale holds every smaller one of the same seed.
+    """
     must = needed.select("key", "title", "text", F.lit(True).alias("required"))
-    n = must.count()
-    rest = seeded_sample(distractors(docs, needed), "key", max(0, scale - n), seed + scale).select("key", "title", "text", F.lit(False).alias("required"))
-    if n > scale or n + rest.count() < scale:
-        raise ValueError(f"a corpus of {scale} cannot hold {n} required documents with the distractors there are")
-    return must.union(rest)
+    others = stored(distractors(docs, needed).select("key", "title", "text"))
+    n, there = must.count(), others.count()
+    if scale is None:
+        scale = n + int(share * there)
+    if not n <= scale <= n + there:
+        raise ValueError(f"a corpus of {scale} cannot hold {n} required documents with {there} distractors")
+    rest = seeded_sample(others, "key", scale - n, seed)
+    return must.union(rest.select("key", "title", "text", F.lit(False).alias("required")))
+
+
+def already_in(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """key of the required documents that a corpus holds already."""
+    return needed.select("key").join(keyed(docs).select("key"), "key", "left_semi")
 
 
 def split_rows(samples: DataFrame, split: str) -> DataFrame:

@@ -20,8 +20,7 @@ def gold_set(answer: Column, aliases: Column) -> Column:
 def best(prediction: Column, golds: Column) -> tuple[Column, Column]:
     """(best exact match, best F1) over gold answers; 0 without any."""
     em = F.array_max(F.transform(golds, lambda g: X.exact_match(prediction, g)))
-    f1 = F.array_max(F.transform(golds, lambda g: X.token_f1(prediction, g)))
-    return F.coalesce(em, F.lit(0.0)), F.coalesce(f1, F.lit(0.0))
+    return F.coalesce(em, F.lit(0.0)), X.best_f1(prediction, golds)
 
 
 def answer_match(candidates: Column, *texts: Column) -> Column:
