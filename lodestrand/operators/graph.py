@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as X
 from ..functions.scores import hub_scale
-from ..runtime import small_side, stored
+from ..runtime import numbered, small_side, stored
 
 
 #: Vectors in a block of a similarity join: two blocks and their product stay within a task's memory.
@@ -158,9 +158,9 @@ def build(docs: DataFrame, config: Config = Config(), encode=None) -> dict[str,
     return {"chunks": chunked, "sentences": split, "mentions": mentioned, "entities": named, "facts": known, "edges": edges, "nodes": table}
 
 
-def materialised(index: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The index with every table written once to the shared folder, for plans that read them many times."""
-    return {k: stored(v) for k, v in index.items()}
+def materialised(index: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
+    """The index with its tables, or those named, written once to the shared folder, for plans that read them many times."""
+    return {k: stored(v) if not names or k in names else v for k, v in index.items()}
 
 
 def without_sentences(index: dict[str, DataFrame], compensate: bool = True) -> dict[str, DataFrame]:
@@ -178,76 +178,87 @@ def without_sentences(index: dict[str, DataFrame], compensate: bool = True) -> d
 
 # ---- propagation ----------------------------------------------------------------------------------------------------
 
-
-def base_weights(edges: DataFrame, node_table: DataFrame, config: Config = Config()) -> DataFrame:
-    """corpus_id, src, dst, dst_type, base: the part of an edge's weight that no question changes."""
-    factor = F.array_max(F.transform("edge_kinds", lambda k: reduce(lambda a, kv: F.when(k == kv[0], kv[1]).otherwise(a), config.edge_type_weights.items(), F.lit(1.0))))
-    types = node_table.select("corpus_id", F.col("node_id").alias("dst"), F.col("node_type").alias("dst_type"))
-    deg = degrees(edges).withColumnRenamed("node_id", "dst")
-    return edges.join(deg, ["corpus_id", "dst"]).join(types, ["corpus_id", "dst"]).select("corpus_id", "src", "dst", "dst_type", (F.col("weight") * factor * hub_scale(F.col("degree"), config.hub_penalty)).alias("base"))
+#: Node types as numbers, in the order of the shares of a question (fact, sentence, chunk).
+TYPES = ("entity", "sentence", "chunk")
 
 
-def transitions(base: DataFrame, queries: DataFrame, config: Config = Config()) -> DataFrame:
-    """query_id, src, dst, p: each question's transition probabilities over its corpus.
+def walk(edges: DataFrame, node_table: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
+    """What propagation needs of an index, once for all questions: ``nodes`` (corpus_id, node_id, nid, type), numbered,
+    and ``links`` (corpus_id, s, d, st, dt, there, back) between numbered nodes.
 
-    Weights rise with the question's share of the target's kind, hold both ways with the larger one kept, and are
-    divided by their sum per source.
+    A link is an ordered pair of nodes that an edge joins in either direction, with the part of the edges' weights that
+    no question changes: weight times the factor of its kind, damped by the degree of the edge's end. What depends on a
+    question is made on the fly, so no table of questions times edges is ever written.
     """
-    share = F.when(F.col("dst_type") == "entity", F.col("alpha.fact")).when(F.col("dst_type") == "sentence", F.col("alpha.sentence")).when(F.col("dst_type") == "chunk", F.col("alpha.chunk")).otherwise(0.0)
+    code = F.array_position(F.array(*map(F.lit, TYPES)), F.col("node_type")).cast("tinyint")
+    ids = stored(numbered(node_table.select("corpus_id", "node_id", code.alias("type")), "nid"))
+    factor = F.array_max(F.transform("edge_kinds", lambda k: reduce(lambda a, kv: F.when(k == kv[0], kv[1]).otherwise(a), config.edge_type_weights.items(), F.lit(1.0))))
+    end = lambda name, n, t: ids.select("corpus_id", F.col("node_id").alias(name), F.col("nid").alias(n), F.col("type").alias(t))
+    rows = edges.select("corpus_id", "src", "dst", (F.col("weight") * factor).alias("weight")).join(end("src", "s", "st"), ["corpus_id", "src"]).join(end("dst", "d", "dt"), ["corpus_id", "dst"])
+    rows = stored(rows.select("corpus_id", "s", "d", "st", "dt", "weight"))
+    degree = rows.select(F.explode(F.array("s", "d")).alias("d")).groupBy("d").agg(F.count("*").alias("degree"))
+    base = rows.join(degree, "d").select("corpus_id", "s", "d", "st", "dt", (F.col("weight") * hub_scale(F.col("degree"), config.hub_penalty)).alias("base"))
+    there = base.select("corpus_id", "s", "d", "st", "dt", F.col("base").alias("there"), F.lit(0.0).alias("back"))
+    back = base.select("corpus_id", F.col("d").alias("s"), F.col("s").alias("d"), F.col("dt").alias("st"), F.col("st").alias("dt"), F.lit(0.0), F.col("base"))
+    links = there.union(back).groupBy("corpus_id", "s", "d", "st", "dt").agg(F.max("there").alias("there"), F.max("back").alias("back")).filter("there > 0 or back > 0")
+    return {"nodes": ids, "links": stored(links)}
+
+
+def _weight(config: Config) -> Column:
+    """A link's weight for a question: it rises with the question's share of the target's type; of both ways the larger holds."""
     lam = config.transition_lambda if config.enable_granularity_awareness and config.enable_granularity_pagerank_bias else 0.0
-    w = base.join(small_side(queries.select("query_id", "corpus_id", "alpha")), "corpus_id").select("query_id", "src", "dst", (F.col("base") * (1 + lam * share)).alias("w"))
-    both = w.union(w.select("query_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("query_id", "src", "dst").agg(F.max("w").alias("w")).filter("w > 0")
-    total = both.groupBy("query_id", "src").agg(F.sum("w").alias("t"))
-    return both.join(total, ["query_id", "src"]).select("query_id", "src", "dst", (F.col("w") / F.col("t")).alias("p"))
-
+    rise = lambda t: 1 + lam * F.coalesce(F.get(F.col("shares"), F.col(t) - 1), F.lit(0.0))
+    return F.greatest(F.col("there") * rise("dt"), F.col("back") * rise("st"))
 
-def personalisation(node_table: DataFrame, queries: DataFrame, seeds: DataFrame, config: Config = Config()) -> DataFrame:
-    """query_id, node_id, r: the restart distribution; every node of the corpus has a floor."""
-    all_nodes = node_table.select("corpus_id", "node_id").join(small_side(queries.select("query_id", "corpus_id")), "corpus_id").select("query_id", "node_id")
-    given = seeds.groupBy("query_id", "node_id").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("score"))
-    mass = all_nodes.join(given, ["query_id", "node_id"], "left").withColumn("r", config.seed_floor + F.coalesce("score", F.lit(0.0)))
-    total = mass.groupBy("query_id").agg(F.sum("r").alias("t"))
-    return mass.join(small_side(total), "query_id").select("query_id", "node_id", (F.col("r") / F.col("t")).alias("r"))
 
+def pagerank(walked: dict[str, DataFrame], queries: DataFrame, seeds: DataFrame, config: Config = Config(), iterations: int | None = None) -> DataFrame:
+    """query_id, node_id, score, iterations, converged: personalised PageRank of every question (query_id, corpus_id,
+    alpha) at once, with restarts at its ``seeds`` (query_id, node_id, score) and a floor at every node of its corpus.
 
-def pagerank(moves: DataFrame, restart: DataFrame, config: Config = Config(), iterations: int | None = None) -> DataFrame:
-    """query_id, node_id, score, iterations, converged: personalised PageRank of every question at once.
-
-    Starts uniform; nodes without moves send their mass along the restart distribution; a question stops when its total
+    Starts uniform; nodes without links send their mass along the restart distribution; a question stops when its total
     change is under its node count times the tolerance, and keeps its scores while others go on. ``iterations`` fixes
-    their number instead. At ``pagerank_max_iter`` the last scores come out, marked as not converged. Each step is one
-    join and one partial aggregation on the keys; scores are written to the shared folder, which cuts the lineage.
+    their number instead. At ``pagerank_max_iter`` the last scores come out, marked as not converged. A step is one join
+    of numbers on the link's source and one partial aggregation; scores are written to the shared folder, which cuts the
+    lineage.
     """
-    moves, restart = stored(moves), stored(restart)
-    sizes = restart.groupBy("query_id").agg(F.count("*").alias("n"))
-    sources = moves.select("query_id", F.col("src").alias("node_id")).distinct().withColumn("moves", F.lit(True))
-    base = restart.join(small_side(sizes), "query_id").join(sources, ["query_id", "node_id"], "left")
-    state = stored(base.select("query_id", "node_id", "n", "r", F.coalesce("moves", F.lit(False)).alias("moves"), (1 / F.col("n")).alias("score")))
+    nodes, links = walked["nodes"], walked["links"]
+    q = small_side(stored(queries.select("query_id", "corpus_id", F.array("alpha.fact", "alpha.sentence", "alpha.chunk").alias("shares"))))
+    placed = seeds.join(q.select("query_id", "corpus_id"), "query_id").join(nodes.select("corpus_id", "node_id", "nid"), ["corpus_id", "node_id"])
+    given = placed.groupBy("query_id", "nid").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("given"))
+    mass = nodes.select("corpus_id", "nid").join(q, "corpus_id").join(given, ["query_id", "nid"], "left").withColumn("r", config.seed_floor + F.coalesce("given", F.lit(0.0)))
+    totals = links.join(q, "corpus_id").groupBy("query_id", F.col("s").alias("nid")).agg(F.sum(_weight(config)).alias("out"))
+    mass = stored(mass.join(totals, ["query_id", "nid"], "left").select("query_id", "shares", "nid", "r", "out"))
+    sizes = mass.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("r").alias("t"))
+    base = mass.join(small_side(stored(sizes)), "query_id").select("query_id", "shares", "nid", "n", (F.col("r") / F.col("t")).alias("r"), "out")
+    state = stored(base.withColumn("score", 1 / F.col("n")))
     d, done = config.pagerank_alpha, []
     most = iterations or config.pagerank_max_iter
 
     def result(rows: DataFrame, turn: int, converged: bool) -> DataFrame:
-        return rows.select("query_id", "node_id", "score", F.lit(turn).alias("iterations"), F.lit(converged).alias("converged"))
+        return rows.select("query_id", "nid", "score", F.lit(turn).alias("iterations"), F.lit(converged).alias("converged"))
+
+    def named() -> DataFrame:
+        return reduce(DataFrame.union, done).join(nodes.select("nid", "node_id"), "nid").select("query_id", "node_id", "score", "iterations", "converged")
 
     for turn in range(1, most + 1):
-        flow = moves.join(state.select("query_id", F.col("node_id").alias("src"), "score"), ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("p") * F.col("score")).alias("in"))
-        lost = state.groupBy("query_id").agg(F.sum(F.when(F.col("moves"), 0.0).otherwise(F.col("score"))).alias("lost"))
-        after = state.join(flow, ["query_id", "node_id"], "left").join(small_side(lost), "query_id")
-        moved = after.select("query_id", "node_id", "n", "r", "moves", F.col("score").alias("before"), (d * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("r")) + (1 - d) * F.col("r")).alias("score"))
+        sent = state.filter("out > 0").select("query_id", "shares", F.col("nid").alias("s"), (F.col("score") / F.col("out")).alias("each"))
+        flow = links.join(sent, "s").groupBy("query_id", F.col("d").alias("nid")).agg(F.sum(_weight(config) * F.col("each")).alias("in"))
+        lost = state.groupBy("query_id").agg(F.sum(F.when(F.col("out") > 0, 0.0).otherwise(F.col("score"))).alias("lost"))
+        after = state.join(flow, ["query_id", "nid"], "left").join(small_side(lost), "query_id")
+        moved = after.select("query_id", "shares", "nid", "n", "r", "out", F.col("score").alias("before"), (d * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("r")) + (1 - d) * F.col("r")).alias("score"))
         state = stored(moved)
         if iterations is None:
-            change = state.groupBy("query_id").agg((F.sum(F.abs(F.col("score") - F.col("before"))) < F.first("n") * config.pagerank_tolerance).alias("still"))
-            change = stored(change)
+            change = stored(state.groupBy("query_id").agg((F.sum(F.abs(F.col("score") - F.col("before"))) < F.first("n") * config.pagerank_tolerance).alias("still")))
             if not change.filter("still").isEmpty():
                 done.append(result(state.join(small_side(change.filter("still")), "query_id", "left_semi"), turn, True))
                 if change.filter("not still").isEmpty():
-                    return reduce(DataFrame.union, done)
+                    return named()
                 state = state.join(small_side(change.filter("not still")), "query_id", "left_semi")
-                moves = moves.join(small_side(change.filter("not still")), "query_id", "left_semi")
-    return reduce(DataFrame.union, [*done, result(state, most, False)])
+    done.append(result(state, most, False))
+    return named()
 
 
-def similarity_edges(vectors: DataFrame, threshold: float, top_k: int = Config().entity_similarity_top_k, blocks: int = 8) -> DataFrame:
+def similarity_edges(vectors: DataFrame, threshold: float, top_k: int = Config().entity_similarity_top_k) -> DataFrame:
     """src, dst, cosine: pairs of vectors at ``threshold`` or above, at most ``top_k`` per source; with a column
     ``corpus_id``, which then comes out too, pairs are those of one corpus, in as many blocks as its size calls for.
 
@@ -258,9 +269,12 @@ def similarity_edges(vectors: DataFrame, threshold: float, top_k: int = Config()
     import pandas as pd
 
     by = [c for c in vectors.columns if c == "corpus_id"]
-    given = vectors.filter("vec is not null").withColumn("blocks", F.lit(blocks))
+    given = vectors.filter("vec is not null")
+    size = F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
     if by:
-        given = given.drop("blocks").join(small_side(given.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))), by)
+        given = given.join(small_side(given.groupBy(*by).agg(size)), by)
+    else:
+        given = given.withColumn("blocks", F.lit(max(2, given.agg(size).first()[0])))
     dealt = given.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = dealt.select(*by, F.col("b").alias("x"), F.col("o").alias("y"), "id", "vec")
     right = dealt.select(*(F.col(c).alias(c) for c in by), F.col("o").alias("x"), F.col("b").alias("y"), F.col("id").alias("id"), F.col("vec").alias("vec"))

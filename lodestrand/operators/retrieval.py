@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..functions import text as X
 from ..functions.scores import cosine, l1_normalised, passage_weights
-from ..runtime import small_side
+from ..runtime import BROADCAST_LIMIT, planned_bytes, small_side
 
 DIMENSIONS = 128
 
@@ -50,16 +50,38 @@ def top_k(scored: DataFrame, by: list[str], k: int, order: list[str], score: str
 def dense(queries: DataFrame, items: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """Per query (keys, query_id, query_vec) the ``k`` items (keys, id, vec, ord) of highest cosine, clamped at 0.
 
-    The query side is a stated query set: it is broadcast if its estimated size is small, else the join shuffles on
-    the keys.
+    The query side is a stated query set. If its estimated size is small it is broadcast, and each task keeps the best of
+    its items before the shuffle; else queries are dealt into blocks, and items meet each block under a key of its own
+    (with ``SALT`` parts of items), so that no key holds a whole corpus.
     """
-    q = small_side(queries)
-    met = q.crossJoin(items) if not keys else items.join(q, keys)
+    if planned_bytes(queries) <= BROADCAST_LIMIT:
+        q = F.broadcast(queries)
+        met = q.crossJoin(items) if not keys else items.join(q, keys)
+    else:
+        blocks = -(-queries.count() // QUERY_BLOCK) or 1
+        part, salt = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), F.pmod(F.xxhash64("id"), F.lit(SALT))
+        q = queries.withColumn("_block", part).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        met = items.withColumn("_salt", salt).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, [*keys, "_block", "_salt"])
     scored = met.withColumn("score", cosine(F.col("query_vec"), F.col("vec")))
     ranked = top_k(scored, ["query_id"], k, ["ord"])
     return ranked.select("query_id", "id", "ord", "rank", F.greatest("score", F.lit(0.0)).alias("score"))
 
 
+#: Parts that the items of one key are dealt into where questions and items meet in a shuffle, and questions in a block.
+SALT, QUERY_BLOCK = 16, 4096
+
+
+def term_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """corpus_id, query_id, id, score: the share of each question's terms (corpus_id, query_id, query_terms) that an item
+    of its corpus (corpus_id, id, terms) has; items that share none are not there.
+
+    Terms are exploded and equi-joined, so only items that have a term meet the question, and no key holds a corpus.
+    """
+    asked = queries.select("corpus_id", "query_id", F.size("query_terms").alias("n"), F.explode("query_terms").alias("term"))
+    had = items.select("corpus_id", "id", F.explode("terms").alias("term"))
+    return had.join(small_side(asked), ["corpus_id", "term"]).groupBy("corpus_id", "query_id", "id").agg((F.count("*") / F.first("n")).alias("score"))
+
+
 def entity_channel(parts: DataFrame) -> DataFrame:
     """query_id, id, score: of an id found for several query entities the last one's score stays; then L1.
 
@@ -153,13 +175,13 @@ def direct_scores(channels: DataFrame) -> DataFrame:
     return channels.filter("channel <> 'fact'").groupBy("query_id", F.col("id").alias("node_id")).agg(F.max(F.greatest("score", F.lit(0.0))).alias("score"))
 
 
-def diverse(ranked: DataFrame, k: int) -> DataFrame:
-    """query_id, node_id, rank: the first row per lower-case title (all rows without one), up to ``k``."""
+def diverse(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, node_id, rank: of (query_id, node_id, title, score) the best row per lower-case title (all rows without
+    one), up to ``k``; ties by node_id. Titles are reduced to their best row before anything is ranked."""
     key = F.lower(F.trim(F.coalesce("title", F.lit(""))))
-    first = F.row_number().over(Window.partitionBy("query_id", "key").orderBy("rank"))
-    kept = ranked.withColumn("key", F.when(key == "", F.concat(F.lit("\n"), F.col("node_id"))).otherwise(key)).withColumn("n", first).filter("n = 1")
-    again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return kept.withColumn("place", again).filter(F.col("place") <= k).select("query_id", "node_id", F.col("place").alias("rank"))
+    keyed = scored.withColumn("key", F.when(key == "", F.concat(F.lit("\n"), F.col("node_id"))).otherwise(key))
+    best = keyed.groupBy("query_id", "key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("node_id"))).alias("b")).select("query_id", "b.node_id", (-F.col("b.s")).alias("score"))
+    return top_k(best, ["query_id"], k, ["node_id"]).select("query_id", "node_id", "rank")
 
 
 def neighbours(hits: DataFrame, sentences: DataFrame) -> DataFrame:

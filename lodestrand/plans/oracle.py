@@ -196,7 +196,7 @@ passages as (select query_id, chunk_id, sum(s) score from contrib group by 1,2)"
 _add("passage_rank", ",\n".join((ALL, FACT_PARTS, PASSAGES)), f"select query_id, chunk_id, round(score,6) score from passages qualify row_number() over (partition by query_id order by score desc, chunk_id)<={C.passage_output_top_k}")
 _add("sentence_blend", ",\n".join((ALL, FACT_PARTS)), f"""select query_id, node_id, round(s/sum(s) over (partition by query_id),9) score from (select query_id, node_id, sum(s) s from (select query_id, node_id, 0.65*score s from it{STEPS} where node_id like 'sentence:%' union all select f.query_id, l.x.s, 0.45*f.score from fact_rank f join fact_last l on l.corpus_id=f.corpus_id and l.fact_id=f.id where f.rank<={C.fact_top_k}) group by 1,2) where s>0""")
 _add("neighbour_sentences", ",\n".join((GRAPH, QUERIES, FACT_PARTS)), "select f.query_id, s.sentence_id, round(max(0.82*f.score),6) score from fact_rank f join fact_last l on l.corpus_id=f.corpus_id and l.fact_id=f.id join sents s on s.corpus_id=f.corpus_id and s.chunk_id=l.x.c and abs(s.sentence_index-l.x.si)<=1 group by 1,2")
-_add("title_diverse_topk", ",\n".join((DOCS, CHUNKS, QUERIES, "chunk_scored as (select q.query_id, c.chunk_id node_id, c.title, " + overlap("q.query", "c.body") + " score from qs q join (select corpus_id, chunk_id, arg_max(title, ord) title, arg_max(body, ord) body from chunks group by 1,2) c using (corpus_id)), ranked as (select *, row_number() over (partition by query_id order by score desc, node_id) rank from chunk_scored), firsts as (select *, row_number() over (partition by query_id, lower(trim(title)) order by rank) n from ranked where rank<=50)")), "select query_id, node_id, row_number() over (partition by query_id order by rank) rank from firsts where n=1 qualify row_number() over (partition by query_id order by rank)<=4")
+_add("title_diverse_topk", ",\n".join((DOCS, CHUNKS, QUERIES, "chunk_scored as (select q.query_id, c.chunk_id node_id, c.title, " + overlap("q.query", "c.body") + " score from qs q join (select corpus_id, chunk_id, arg_max(title, ord) title, arg_max(body, ord) body from chunks group by 1,2) c using (corpus_id)), ranked as (select *, row_number() over (partition by query_id order by score desc, node_id) rank from chunk_scored), firsts as (select *, row_number() over (partition by query_id, lower(trim(title)) order by rank) n from ranked)")), "select query_id, node_id, row_number() over (partition by query_id order by rank) rank from firsts where n=1 qualify row_number() over (partition by query_id order by rank)<=4")
 _add("heuristic_alpha", "", f"select example_id, af fact, as_ sentence, ac chunk, case when ac>=0.42 then 'long_context' when as_+af>=0.62 then 'multi_hop' else 'single_hop' end profile, round(greatest(0,1+(case when af>0 then af*ln(af) else 0 end+case when as_>0 then as_*ln(as_) else 0 end+case when ac>0 then ac*ln(ac) else 0 end)/ln(3)),6) confidence from (select example_id, {alpha_sql('question')} from per_example)")
 _f1p, _f1g = f"string_split({normal('predicted_answer')},' ')", f"string_split({normal('gold_answer')},' ')"
 _add("token_f1", "", f"""select example_id, case when p='' and g='' then 1.0 when p='' or g='' then 0.0 else round(2.0*coalesce(list_sum(list_transform(list_distinct(pt), lambda x: least(len(list_filter(pt, lambda y: y=x)),len(list_filter(gt, lambda y: y=x))))),0)/(len(pt)+len(gt)),6) end f1, case when p=g then 1.0 else 0.0 end em from (select example_id, {normal('predicted_answer')} p, {normal('gold_answer')} g, {_f1p} pt, {_f1g} gt from per_example)""")
@@ -211,3 +211,88 @@ SQL["strip_sentence_layer"] = SQL["strip_sentence_layer"].replace("\n, kept", ",
 _add("mode_consistency", "", """select count(*) queries, count(b.query_id) paired, """ + ", ".join(f"sum(case when b.query_id is not null and a.r.{f} is not distinct from b.r.{f} then 1 when b.query_id is null and a.r.{f} is null then 1 else 0 end) same_{f}" for f in ("f1", "em", "final_evidence_tokens", "predicted_answer")) + """ from (select query_id, arg_max(struct_pack(f1:=f1,em:=em,final_evidence_tokens:=final_evidence_tokens,predicted_answer:=predicted_answer), struct_pack(a:=loaded_at,b:=example_id)) r from per_example where query_id is not null and execution_mode='sequential' group by 1) a left join (select query_id, arg_max(struct_pack(f1:=f1,em:=em,final_evidence_tokens:=final_evidence_tokens,predicted_answer:=predicted_answer), struct_pack(a:=loaded_at,b:=example_id)) r from per_example where query_id is not null and execution_mode='multi_worker' group by 1) b using (query_id)""")
 _add("given_facts", "", "select relation, count(*) facts, count(distinct sentence_id) sentences from (select sentence_id, case when trim(regexp_replace(lower(coalesce(t.relation,'')),'[^A-Za-z0-9]+','_','g'),'_')='' then 'related_to' else trim(regexp_replace(lower(coalesce(t.relation,'')),'[^A-Za-z0-9]+','_','g'),'_') end relation from (select sentence_id, unnest(triples) t from extract_sentence)) group by 1")
 _add("truncate_words", "", f"select doc_id, md5(case when len({words('text')})<=50 then {strip('text')} else array_to_string({words('text')}[:50],' ') end) digest from documents where text is not null")
+
+# ---- propagation until it settles ------------------------------------------------------------------------------------
+LONGEST = 24
+
+
+def _settle(n: int) -> str:
+    """Steps until every question's change is under its nodes times the tolerance; settled questions keep their scores."""
+    out = ["st0 as materialized (select query_id, node_id, 1.0/n score, false settled from restart)"]
+    for i in range(1, n + 1):
+        p = f"st{i - 1}"
+        out.append(f"""sl{i} as materialized (select p.query_id, coalesce(sum(p.score) filter (m.node_id is null),0) lost from {p} p left join movers m on m.query_id=p.query_id and m.node_id=p.node_id where not settled group by 1),
+sf{i} as materialized (select m.query_id, m.dst node_id, sum(m.p*p.score) f from moves m join {p} p on p.query_id=m.query_id and p.node_id=m.src where not settled group by 1,2),
+sn{i} as materialized (select p.query_id, p.node_id, p.score before, case when p.settled then p.score else {C.pagerank_alpha}*(coalesce(f.f,0)+l.lost*r.r)+{1 - C.pagerank_alpha}*r.r end score, p.settled, r.n from {p} p join restart r on r.query_id=p.query_id and r.node_id=p.node_id left join sf{i} f on f.query_id=p.query_id and f.node_id=p.node_id left join sl{i} l on l.query_id=p.query_id),
+st{i} as materialized (select query_id, node_id, score, settled or sum(abs(score-before)) over (partition by query_id) < n*{C.pagerank_tolerance} settled from sn{i})""")
+    return ",\n".join(out)
+
+
+_MATERIAL = MOVES.replace("moves as (", "moves as materialized (") + ",\n" + RESTART.replace("restart as (", "restart as materialized (")
+_SEEDED = ",\n".join((GRAPH, COUNTS, QUERIES, FACT_PARTS, SEED_SCORES, "seeds as (select * from seed_scores)", _MATERIAL, _settle(LONGEST)))
+_add("passage_rank_converged", ",\n".join((_SEEDED, PASSAGES.replace(f"it{STEPS}", f"st{LONGEST}"))), f"select query_id, chunk_id, round(score,5) score from passages qualify row_number() over (partition by query_id order by score desc, chunk_id)<={C.passage_output_top_k}")
+_SENT_RANK = f"""sent_scored as (select q.query_id, s.sentence_id id, {overlap('q.query', 's.text')} score from qs q join (select corpus_id, sentence_id, arg_max(text, struct_pack(a:=ord,b:=sentence_index)) text from sents group by 1,2) s using (corpus_id)),
+sent_kept as (select * from sent_scored qualify row_number() over (partition by query_id order by score desc, id)<={C.sentence_top_k}),
+sent_rank as (select query_id, id, score/sum(score) over (partition by query_id) score from sent_kept where score>0)"""
+_add("sentence_blend_dense", ",\n".join((ALL, FACT_PARTS, _SENT_RANK)), f"""select query_id, node_id, round(s/sum(s) over (partition by query_id),9) score from (select query_id, node_id, sum(s) s from (select query_id, node_id, 0.65*score s from it{STEPS} where node_id like 'sentence:%' union all select query_id, id, 0.35*score from sent_rank union all select f.query_id, l.x.s, 0.45*f.score from fact_rank f join fact_last l on l.corpus_id=f.corpus_id and l.fact_id=f.id where f.rank<={C.fact_top_k}) group by 1,2) where s>0""")
+
+# ---- scalar operators ------------------------------------------------------------------------------------------------
+_CAPS = dict(zip("fsc", (C.fact_top_k, C.sentence_top_k, C.passage_output_top_k)))
+_add("alpha_quota", f"""p as (select example_id, greatest(alpha_f,0) f, greatest(alpha_s,0) s, greatest(alpha_c,0) c from per_example where alpha_f is not null and alpha_s is not null and alpha_c is not null),
+n as (select example_id, case when f+s+c=0 then 1.0 else f+s+c end t, f, s, c from p),
+k as (select example_id, unnest([struct_pack(k:=1,x:=f/t,cap:={_CAPS['f']}),struct_pack(k:=2,x:=s/t,cap:={_CAPS['s']}),struct_pack(k:=3,x:=c/t,cap:={_CAPS['c']})]) u from n),
+r as (select example_id, u.k k, u.x x, u.cap cap, {C.evidence_alpha_total_units}*u.x raw, least(u.cap, cast(floor({C.evidence_alpha_total_units}*u.x) as bigint)) given from k),
+l as (select *, {C.evidence_alpha_total_units}-sum(given) over (partition by example_id) rest, row_number() over (partition by example_id order by raw-floor(raw) desc, x desc, k) turn from r),
+more as (select example_id, k, rest, row_number() over (partition by example_id order by round_no, turn) nth from l, (select unnest(range(1,{C.evidence_alpha_total_units}+1)) round_no) where given+round_no<=cap),
+got as (select l.example_id, l.k, l.given+count(m.k) q from l left join more m on m.example_id=l.example_id and m.k=l.k and m.nth<=m.rest group by l.example_id, l.k, l.given)""",
+     "select example_id, max(q) filter (k=1) fact, max(q) filter (k=2) sentence, max(q) filter (k=3) chunk from got group by 1")
+_flat = spaced("coalesce(question,'')")
+_mark = "regexp_replace({},'^[ ?]+|[ ?]+$','','g')||'?'"
+_add("heuristic_decompose", f"""f as (select example_id, {_flat} flat from per_example where question is not null),
+c as (select example_id, flat, list_transform(list_filter(regexp_split_to_array(flat,'(?i)\\s+(?:and then|then|after|before|while)\\s+'), lambda p: len(string_split(trim(p),' '))>=3), lambda s: {_mark.format('s')}) cut from f),
+a as (select example_id, case when flat='' then []::varchar[] when len(cut)>1 then cut[:4] when contains(lower(flat),' which ') and contains(flat,',') then [{_mark.format("regexp_extract(flat,'^(.*),(.*)$',1)")}, {_mark.format("regexp_extract(flat,'^(.*),(.*)$',2)")}] else [regexp_replace(flat,'[?]+$','')||'?'] end parts from c)""",
+     "select example_id, generate_subscripts(parts,1)-1 part, unnest(parts) sub_question from a")
+_add("best_em_f1", f"""s as (select sample_id, lower(answer) p, list_filter(list_concat([answer], coalesce(answer_aliases,[]::varchar[])), lambda a: a is not null and trim(a)<>'') g from samples),
+u as (select sample_id, p, unnest(g) a, generate_subscripts(g,1) i from s),
+n as (select sample_id, {normal('p')} p, {normal('a')} a, i from u),
+d as (select sample_id, p, a from n qualify row_number() over (partition by sample_id, a order by i)=1),
+t as (select sample_id, p, a, string_split(p,' ') pt, string_split(a,' ') gt from d),
+x as (select sample_id, case when p=a then 1.0 else 0.0 end em, case when p='' and a='' then 1.0 when p='' or a='' then 0.0 else 2.0*coalesce(list_sum(list_transform(list_distinct(pt), lambda x: least(len(list_filter(pt, lambda y: y=x)),len(list_filter(gt, lambda y: y=x))))),0)/(len(pt)+len(gt)) end f1 from t)""",
+     "select s.sample_id, count(x.sample_id) golds, coalesce(max(em),0.0) em, round(coalesce(max(f1),0.0),6) f1 from s left join x using (sample_id) group by 1")
+SQL["scaled_corpus"] = f"""with rq as ({SQL['required_docs']}), di as ({SQL['distractors']}), k as (select cast(floor(0.5*count(*)) as bigint) n from di)
+select key, true required from rq union all select key, false from (select key, row_number() over (order by md5('42|'||key), key) i from di), k where i<=n"""
+_AUX = "do|does|did|is|are|was|were|can|could|has|have|had"
+_last = lambda src, pattern, g: f"regexp_extract_all({src},'{pattern}',{g})[-1]"
+_OR = (r"(?i)(.+?)\s+or\s+(.+?)(?:\?|$)", r"(?i)\b(?:between|of|from|than)\s+(.+?)\s+or\s+(.+?)(?:\?|$)", r"(?i)([^,?]+?)\s+or\s+([^,?]+?)(?:\?|$)")
+_tail = "list_last(string_split(flat,','))"
+
+
+def _tidy(x: str) -> str:
+    for pattern in (r"^[ ,.?\"'']+|[ ,.?\"'']+$", rf"(?i)^(?:{_AUX})\s+", r"(?i)^(?:the|film|song|person)\s+", r"(?i)\s+(?:first|earlier|later|older|younger)$"):
+        x = f"regexp_replace({x},'{pattern}','','g')"
+    return spaced(x)
+
+
+_plain = "trim(regexp_replace(lower(coalesce({},'')),'[^a-z0-9]+',' ','g'))"
+_stripped = lambda t: f"regexp_replace(coalesce({t},''),'^{WS}+|{WS}+$','','g')"
+_lines = r"\r\n|[\n\x0B\f\r\x{0085}\x{2028}\x{2029}]"
+_parsed = f"""case when t='' then '' when contains(t,'Answer:') then regexp_replace(regexp_replace(trim(regexp_split_to_array({_stripped("list_last(string_split(t,'Answer:'))")},'{_lines}')[1]),'^"+|"+$','','g'),'^''+|''+$|\\.+$','','g') else regexp_replace(trim(list_last(regexp_split_to_array(t,'{_lines}'))),'\\.+$','','g') end"""
+
+
+def _cut(x: str) -> str:
+    for mark in ("chr(10)", "';'", "' because '", "' since '"):
+        x = f"regexp_replace(trim(string_split({x},{mark})[1]),'\\.+$','','g')"
+    return f"trim({x})"
+
+
+_add("or_choices", f"""f as (select example_id, predicted_answer, {spaced("replace(coalesce(question,''),'?',' ?')")} flat from per_example where question is not null),
+o as (select example_id, predicted_answer, flat, [{_last(_tail, _OR[0], 1)},{_last(_tail, _OR[0], 2)}] a, [{_last('flat', _OR[1], 1)},{_last('flat', _OR[1], 2)}] b, [{_last('flat', _OR[2], 1)},{_last('flat', _OR[2], 2)}] c from f),
+g as (select example_id, predicted_answer, flat, list_filter(case when contains(flat,',') and contains(lower(flat),' or ') and a[1] is not null then a when b[1] is not null then b else c end, lambda x: x is not null) found from o),
+m as (select example_id, predicted_answer, flat, list_filter(list_transform(found, lambda x: {_tidy('x')}), lambda x: x<>'' and len(string_split(x,' '))<=8) made0 from g),
+d as (select *, case when len(made0)=2 and made0[1]=made0[2] then made0[:1] else made0 end made from m),
+e as (select example_id, {_stripped('predicted_answer')} t, case when len(made)>=2 then made[:2] when regexp_matches(lower(flat),'^(?:{_AUX})\\b') then ['yes','no'] else made end offered from d),
+h as (select example_id, offered, {_parsed} answer from e),
+b2 as (select example_id, offered, trim(regexp_replace(regexp_replace(trim(answer),'^["'']+|["'']+$','','g'),'\\.+$','','g')) bare from h),
+n2 as (select *, {_plain.format('bare')} norm from b2),
+k as (select *, list_filter(offered, lambda c: norm<>'' and {_plain.format('c')}<>'' and (contains(norm,{_plain.format('c')}) or contains({_plain.format('c')},norm)))[1] named from n2)""",
+     f"select example_id, array_to_string(offered,' | ') offered, case when named is not null then named when offered=['yes','no'] and regexp_matches(lower(bare),'\\byes\\b') and not regexp_matches(lower(bare),'\\bno\\b') then 'yes' when offered=['yes','no'] and regexp_matches(lower(bare),'\\bno\\b') and not regexp_matches(lower(bare),'\\byes\\b') then 'no' else {_cut('bare')} end settled from k")

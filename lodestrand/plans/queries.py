@@ -193,18 +193,22 @@ def _questions(spark, d) -> DataFrame:
     return stored(rows.withColumn("alpha", heuristic_alpha(F.col("query"))).withColumn("query_terms", X.overlap_terms(F.col("query"))))
 
 
+def _fact_texts(facts) -> DataFrame:
+    return facts.groupBy("corpus_id", F.col("fact_id").alias("id")).agg(F.max_by("text", F.struct("ord", "sentence_index", "fact_index")).alias("text"))
+
+
 def _lexical_facts(index, q) -> DataFrame:
     """Facts of each question's corpus by lexical overlap, reranked: the plan of the fact channel without an encoder."""
-    texts = index["facts"].groupBy("corpus_id", F.col("fact_id").alias("id")).agg(F.max_by("text", F.struct("ord", "sentence_index", "fact_index")).alias("text"))
-    termed = stored(texts.withColumn("terms", X.overlap_terms(F.col("text"))))
-    scored = termed.join(small_side(q), "corpus_id").withColumn("score", X.term_share(F.col("query_terms"), F.col("terms"))).withColumn("ord", F.col("id"))
-    return retrieval.rerank_facts(scored.select("query_id", "query", "id", "text", "ord", "score"), CONFIG).drop("ord")
+    texts = _fact_texts(index["facts"])
+    scored = retrieval.term_scores(q, texts.select("corpus_id", "id", X.overlap_terms(F.col("text")).alias("terms")))
+    best = retrieval.top_k(scored, ["query_id"], CONFIG.fact_rerank_top_k, ["id"]).drop("rank")
+    named = best.join(small_side(q.select("query_id", "query")), "query_id").join(texts, ["corpus_id", "id"]).withColumn("ord", F.col("id"))
+    return retrieval.rerank_facts(named.select("query_id", "query", "id", "text", "ord", "score"), CONFIG).drop("ord")
 
 
 def _lexical_chunks(index, q) -> DataFrame:
     bodies = index["chunks"].groupBy("corpus_id", F.col("chunk_id").alias("id")).agg(F.max_by("body", "ord").alias("body"))
-    termed = stored(bodies.select("corpus_id", "id", X.overlap_terms(F.col("body")).alias("terms")))
-    scored = termed.join(small_side(q), "corpus_id").select("query_id", "id", X.term_share(F.col("query_terms"), F.col("terms")).alias("score"))
+    scored = retrieval.term_scores(q, bodies.select("corpus_id", "id", X.overlap_terms(F.col("body")).alias("terms"))).drop("corpus_id")
     return l1_normalised(retrieval.top_k(scored, ["query_id"], CONFIG.chunk_top_k, ["id"]), ["query_id"])
 
 
@@ -214,65 +218,93 @@ def _seeds(index, q) -> DataFrame:
     return index["entities"].join(small_side(stored(named)), ["corpus_id", "entity_id"]).select("query_id", F.col("entity_id").alias("node_id"), F.lit(1.0).alias("score")).distinct()
 
 
-def _ranks(index, q) -> DataFrame:
-    moves = graph.transitions(graph.base_weights(index["edges"], index["nodes"], CONFIG), q, CONFIG)
-    return graph.pagerank(moves, graph.personalisation(index["nodes"], q, _seeds(index, q), CONFIG), CONFIG, oracle.STEPS)
+def _ranks(index, q, steps: int | None = oracle.STEPS, seeds=None) -> DataFrame:
+    seeds = _seeds(index, q) if seeds is None else seeds
+    return graph.pagerank(graph.walk(index["edges"], index["nodes"], CONFIG), q, seeds, CONFIG, steps)
+
+
+def _channels(index, q) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reranked facts, chunks, and the restart seeds that they give."""
+    facts, chunks = stored(_lexical_facts(index, q)), stored(_lexical_chunks(index, q))
+    counts, degree = graph.chunk_counts(index["edges"], index["nodes"]), graph.degrees(index["edges"])
+    return facts, chunks, retrieval.seed_scores(facts, index["facts"], chunks, q, counts, degree, None, CONFIG)
 
 
 @query
 def fact_rerank(spark, d):
-    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
-    return _lexical_facts(index, q).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    facts = stored(graph.facts(_sentences(spark, d)).select("corpus_id", "fact_id", "text", "ord", "sentence_index", "fact_index"))
+    return _lexical_facts({"facts": facts}, _questions(spark, d)).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query
 def seed_scores(spark, d):
     """Restart seeds from reranked facts and chunks, damped at hubs."""
-    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
-    counts, degree = graph.chunk_counts(index["edges"], index["nodes"]), graph.degrees(index["edges"])
-    seeds = retrieval.seed_scores(stored(_lexical_facts(index, q)), index["facts"], stored(_lexical_chunks(index, q)), q, counts, degree, None, CONFIG)
-    return seeds.select("query_id", "node_id", F.round("score", 6).alias("score"))
+    index, q = graph.materialised(_index(spark, d), "edges", "nodes", "facts"), _questions(spark, d)
+    return _channels(index, q)[2].select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
 @query
 def ppr_fixed_iters(spark, d):
     """The thirty highest nodes of every question after a fixed number of steps."""
-    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
+    index, q = graph.materialised(_index(spark, d), "edges", "nodes", "entities"), _questions(spark, d)
     rounded = _ranks(index, q).select("query_id", "node_id", F.round("score", 9).alias("score"))
     return retrieval.top_k(rounded, ["query_id"], 30, ["node_id"]).drop("rank")
 
 
 @query
 def passage_rank(spark, d):
-    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
+    index, q = graph.materialised(_index(spark, d), "edges", "nodes", "entities", "facts"), _questions(spark, d)
     facts = stored(pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q))
     ranked = retrieval.rank_passages(_ranks(index, q), index, _lexical_chunks(index, q), facts, q, CONFIG)
     return ranked.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query
+def passage_rank_converged(spark, d):
+    """Passages as the whole pipeline ranks them: restarts at the seeds of facts and chunks, steps until they settle."""
+    index, q = graph.materialised(_index(spark, d), "edges", "nodes", "facts"), _questions(spark, d)
+    reranked, chunks, seeds = _channels(index, q)
+    facts = stored(pipeline.ranked_facts(index["facts"], reranked, q))
+    ranked = retrieval.rank_passages(_ranks(index, q, None, seeds), index, chunks, facts, q, CONFIG)
+    return ranked.select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+
+
 @query
 def sentence_blend(spark, d):
-    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
+    index, q = graph.materialised(_index(spark, d), "edges", "nodes", "entities", "facts"), _questions(spark, d)
     facts = stored(pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q))
     none = _lexical_chunks(index, q).limit(0)
     return retrieval.sentence_scores(_ranks(index, q), none, facts, CONFIG).withColumn("score", F.round("score", 9))
 
 
+@query
+def sentence_blend_dense(spark, d):
+    """The same with a channel of sentences (by lexical overlap) in it."""
+    index, q = graph.materialised(_index(spark, d), "edges", "nodes", "entities", "facts"), _questions(spark, d)
+    facts = stored(pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q))
+    texts = index["sentences"].groupBy("corpus_id", F.col("sentence_id").alias("id")).agg(F.max_by("text", F.struct("ord", "sentence_index")).alias("text"))
+    scored = retrieval.term_scores(q, texts.select("corpus_id", "id", X.overlap_terms(F.col("text")).alias("terms"))).drop("corpus_id")
+    channel = l1_normalised(retrieval.top_k(scored, ["query_id"], CONFIG.sentence_top_k, ["id"]), ["query_id"])
+    return retrieval.sentence_scores(_ranks(index, q), channel, facts, CONFIG).withColumn("score", F.round("score", 9))
+
+
 @query
 def neighbour_sentences(spark, d):
-    index, q = graph.materialised(_index(spark, d)), _questions(spark, d)
+    sentences = graph.sentences(graph.chunks(table(spark, d, "documents")))
+    index, q = {"sentences": stored(sentences), "facts": None}, _questions(spark, d)
+    index["facts"] = stored(graph.facts(index["sentences"]))
     facts = pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q).select("query_id", "corpus_id", "chunk_id", "sentence_index", "score")
     return retrieval.neighbours(facts, index["sentences"]).withColumn("score", F.round("score", 6))
 
 
 @query
 def title_diverse_topk(spark, d):
+    """The best passages of each question, one a title: all passages of its corpus are ranked."""
     q = _questions(spark, d)
     bodies = graph.chunks(table(spark, d, "documents")).groupBy("corpus_id", F.col("chunk_id").alias("node_id")).agg(F.max_by(F.struct("title", "body"), "ord").alias("c"))
     termed = stored(bodies.select("corpus_id", "node_id", "c.title", X.overlap_terms(F.col("c.body")).alias("terms")))
     scored = termed.join(small_side(q), "corpus_id").select("query_id", "node_id", "title", X.term_share(F.col("query_terms"), F.col("terms")).alias("score"))
-    ranked = retrieval.top_k(scored, ["query_id"], 50, ["node_id"])
-    return retrieval.diverse(ranked, CONFIG.qa_passage_top_k).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.diverse(scored, CONFIG.qa_passage_top_k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _answered(spark, d, **options):
@@ -372,16 +404,16 @@ def distractors(spark, d):
 
 @query
 def scaled_corpus(spark, d):
-    """All required documents with seeded distractors, as large as the tables allow up to 1,000."""
+    """All required documents and half of the distractors, in seeded order."""
     docs, needed = table(spark, d, "documents"), corpus.required(table(spark, d, "samples"))
-    return corpus.scaled(docs, needed, min(1000, needed.count() + corpus.distractors(docs, needed).count())).select("key", "required")
+    return corpus.scaled(docs, needed, share=0.5).select("key", "required")
 
 
 # ---- nested records (problem 7) -------------------------------------------------------------------------------------
 
 
-def _nodes(spark, d):
-    return nested.nodes(table(spark, d, "last_query_result"), "result_id", JSON_COLUMNS)
+def _nodes(spark, d, *kinds):
+    return nested.nodes(table(spark, d, "last_query_result"), "result_id", JSON_COLUMNS, ("element", *kinds))
 
 
 @query
@@ -399,13 +431,13 @@ def p7_objects(spark, d):
 @query
 def p7_values(spark, d):
     """The table of values with the element object they belong to."""
-    return nested.value_table(_nodes(spark, d)).withColumnRenamed("record_id", "result_id")
+    return nested.value_table(_nodes(spark, d, "value")).withColumnRenamed("record_id", "result_id")
 
 
 @query
 def p7_arrays(spark, d):
     """The table of arrays with the element object they belong to."""
-    return nested.array_table(_nodes(spark, d)).withColumnRenamed("record_id", "result_id")
+    return nested.array_table(_nodes(spark, d, "array")).withColumnRenamed("record_id", "result_id")
 
 
 SQL = {("heuristic_alpha_routing" if k == "heuristic_alpha" else k): v for k, v in oracle.SQL.items()}

@@ -221,6 +221,10 @@ def dataset_name(rows: DataFrame, path: str) -> str:
     return best[0][0] if best else DATASET_SUFFIX.sub("", re.sub(r"\.\w+$", "", path.rsplit("/", 1)[-1]))
 
 
+#: The file that stands beside the tables of an index once all of them are there.
+COMPLETE = "complete.json"
+
+
 def write_index(index: dict[str, DataFrame], path: str) -> None:
     """Every index table as Parquet, partitioned by corpus, with the number of nodes of each layer in ``summary``.
 
@@ -229,6 +233,7 @@ def write_index(index: dict[str, DataFrame], path: str) -> None:
     layers = index["nodes"].groupBy("corpus_id").agg(*[F.count_if(F.col("node_type") == k).alias(f"{k}_nodes") for k in ("chunk", "sentence", "entity")])
     counts = layers.join(index["facts"].groupBy("corpus_id").agg(F.count("*").alias("facts")), "corpus_id", "left").join(index["edges"].groupBy("corpus_id").agg(F.count("*").alias("edges")), "corpus_id", "left").na.fill(0)
     spark = counts.sparkSession
+    _delete(spark, f"{path}/{COMPLETE}")
     corpora = stored(counts)
     for name, rows in {**index, "summary": corpora}.items():
         kept = stored(rows)
@@ -237,6 +242,7 @@ def write_index(index: dict[str, DataFrame], path: str) -> None:
         for corpus in gone:
             part = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(corpus)
             _delete(spark, f"{path}/{name}/corpus_id={part}")
+    write_json(spark, f"{path}/{COMPLETE}", sorted(index))
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -278,7 +284,7 @@ def write_manifest(spark: SparkSession, path: str, **members) -> None:
 
 def index_is_current(spark: SparkSession, path: str, manifest: dict, keys: tuple[str, ...] = ()) -> bool:
     """Whether an index at ``path`` is complete and was built as ``manifest`` says, on the members ``keys`` (or all)."""
-    fs, at = _file_system(spark, f"{path}/summary/_SUCCESS")
+    fs, at = _file_system(spark, f"{path}/{COMPLETE}")
     kept = read_json(spark, f"{path}/manifest.json")
     return bool(fs.exists(at) and kept is not None and all(kept.get(k) == manifest.get(k) for k in keys or manifest))
 

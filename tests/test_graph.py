@@ -48,36 +48,80 @@ def test_degree_counts_loops_twice(spark):
     assert {r.node_id: r.degree for r in graph.degrees(edges).collect()}["entity:b"] == 3
 
 
-def test_pagerank(spark):
+def moves_of(nodes, edges, shares, config=Config()):
+    """The transition matrix by the definition, node by node."""
+    names = sorted(nodes)
+    degree = {n: sum((e[0] == n) + (e[1] == n) for e in edges) for n in names}
+    share = dict(zip(("entity", "sentence", "chunk"), shares))
+    w = np.zeros((len(names), len(names)))
+    for src, dst, weight, kinds in edges:
+        x = weight * max(config.edge_type_weights.get(k, 1.0) for k in kinds) / (1 + config.hub_penalty * np.log(1 + degree[dst])) * (1 + config.transition_lambda * share[dst.split(":")[0]])
+        i, j = names.index(src), names.index(dst)
+        w[i, j], w[j, i] = max(w[i, j], x), max(w[j, i], x)
+    total = w.sum(axis=1, keepdims=True)
+    return names, np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+
+
+@pytest.mark.parametrize("seeded", [True, False])
+def test_pagerank(spark, seeded):
     q, nodes, edges, seeds = _toy(spark)
-    moves = graph.transitions(graph.base_weights(edges, nodes), q)
-    restart = graph.personalisation(nodes, q, seeds)
-    got = graph.pagerank(moves, restart).collect()
+    seeds = seeds if seeded else seeds.limit(0)
+    got = graph.pagerank(graph.walk(edges, nodes), q, seeds).collect()
     s = {r.node_id: r.score for r in got}
-    assert sum(s.values()) == pytest.approx(1) and all(v > 0 for v in s.values()) and max(s, key=s.get) == "entity:a" and all(r.converged for r in got)
-    p = {(r.src, r.dst): r.p for r in moves.collect()}
-    names = sorted(s)
-    m = np.array([[p.get((a, b), 0.0) for b in names] for a in names])
-    r = np.array([{x.node_id: x.r for x in restart.collect()}[n] for n in names])
+    assert sum(s.values()) == pytest.approx(1) and all(v > 0 for v in s.values()) and all(r.converged for r in got)
+    assert not seeded or max(s, key=s.get) == "entity:a"
+    names, m = moves_of([r.node_id for r in nodes.collect()], [(r.src, r.dst, r.weight, r.edge_kinds) for r in edges.collect()], (0.4, 0.4, 0.2))
+    assert names == sorted(s)
+    r = np.array([Config().seed_floor + (seeded and n == "entity:a") for n in names])
+    r = r / r.sum()
     x = np.full(len(names), 1 / len(names))
-    for _ in range(got[0].iterations):
-        x = 0.5 * (x @ m + x[m.sum(1) == 0].sum() * r) + 0.5 * r
-    assert np.allclose(x, [s[n] for n in names])
+    for turn in range(1, 101):
+        before, x = x, 0.5 * (x @ m + x[m.sum(1) == 0].sum() * r) + 0.5 * r
+        if np.abs(x - before).sum() < len(names) * Config().pagerank_tolerance:
+            break
+    assert turn == got[0].iterations < 100 and np.allclose(x, [s[n] for n in names], atol=1e-12)
+
+
+def test_questions_settle_apart(spark, data):
+    """Questions that settle at different steps give what each gives alone."""
+    index = graph.materialised(graph.build(table(spark, data, "documents")), "edges", "nodes", "entities")
+    walked = graph.walk(index["edges"], index["nodes"])
+    corpora = [r[0] for r in index["nodes"].groupBy("corpus_id").count().orderBy("count", "corpus_id").select("corpus_id").collect()]
+    chosen = [corpora[0], corpora[-1]]
+    q = spark.createDataFrame([(i, c, a) for i, c in enumerate(chosen) for a in ((0.6, 0.3, 0.1),)], "query_id long, corpus_id string, alpha struct<fact:double,sentence:double,chunk:double>")
+    first = {r.corpus_id: r.node_id for r in index["nodes"].groupBy("corpus_id").agg(F.min("node_id").alias("node_id")).collect()}
+    seeds = spark.createDataFrame([(0, first[chosen[0]], 1.0)], "query_id long, node_id string, score double")
+    run = lambda some: {(r.query_id, r.node_id): (round(r.score, 12), r.iterations, r.converged) for r in graph.pagerank(walked, some, seeds).collect()}
+    both = run(q)
+    assert both == {**run(q.filter("query_id = 0")), **run(q.filter("query_id = 1"))} and all(v[2] for v in both.values())
+
 
+def test_most_steps(spark):
+    q, nodes, edges, seeds = _toy(spark)
+    got = graph.pagerank(graph.walk(edges, nodes), q, seeds, Config(pagerank_max_iter=2)).collect()
+    assert len(got) == 5 and all(r.iterations == 2 and not r.converged for r in got)
 
-def test_batch_equals_single(spark, data):
-    index = graph.materialised(graph.build(table(spark, data, "documents")))
-    corpora = [r[0] for r in index["nodes"].select("corpus_id").distinct().orderBy("corpus_id").limit(2).collect()]
-    rows = [(i, c, (0.6, 0.3, 0.1)) for i, c in enumerate(corpora)]
-    q = spark.createDataFrame(rows, "query_id long, corpus_id string, alpha struct<fact:double,sentence:double,chunk:double>")
 
-    def run(some):
-        moves = graph.transitions(graph.base_weights(index["edges"], index["nodes"]), some)
-        restart = graph.personalisation(index["nodes"], some, spark.createDataFrame([], "query_id long, node_id string, score double"))
-        return {(r.query_id, r.node_id): round(r.score, 9) for r in graph.pagerank(moves, restart, iterations=2).collect()}
+def test_term_scores(spark):
+    q = spark.createDataFrame([("c", 1, ["old", "bridge"]), ("c", 2, []), ("d", 3, ["old"])], "corpus_id string, query_id long, query_terms array<string>")
+    items = spark.createDataFrame([("c", "x", ["old", "mill"]), ("c", "y", ["bridge", "old"]), ("d", "x", ["new"]), ("c", "z", None)], "corpus_id string, id string, terms array<string>")
+    assert {(r.query_id, r.id): r.score for r in retrieval.term_scores(q, items).collect()} == {(1, "x"): 0.5, (1, "y"): 1.0}
 
-    both = run(q)
-    assert both == {**run(q.filter("query_id = 0")), **run(q.filter("query_id = 1"))}
+
+def test_dense_beyond_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, "c", rng.normal(size=8).tolist(), i) for i in range(60)], "id long, corpus_id string, vec array<double>, ord long")
+    q = v.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "corpus_id", F.col("vec").alias("query_vec"))
+    rows = lambda keys: {(r.query_id, r.id, r["rank"]) for r in retrieval.dense(q if keys else q.drop("corpus_id"), v if keys else v.drop("corpus_id"), 5, keys).collect()}
+    want = rows([]), rows(["corpus_id"])
+    monkeypatch.setattr(retrieval, "BROADCAST_LIMIT", 64)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    assert (rows([]), rows(["corpus_id"])) == want and len(want[0]) == 30 and want[0] == want[1]
+
+
+def test_diverse(spark):
+    rows = spark.createDataFrame([(1, f"n{i:02d}", "Same" if i < 60 else f"T{i}", 1 - i / 100) for i in range(64)] + [(1, "x", None, 0.5), (1, "y", " ", 0.45)], "query_id long, node_id string, title string, score double")
+    assert [r.node_id for r in retrieval.diverse(rows, 4).orderBy("rank").collect()] == ["n00", "x", "y", "n60"]
 
 
 def test_packing(spark):

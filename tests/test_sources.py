@@ -96,34 +96,29 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "m/metrics_csv"), header=True).columns == ["variant", "f1", "edge_a", "edge_b"] and spark.read.json(str(tmp_path / "m/metrics_json")).count() == 2
 
 
-def test_shared_folder(spark, monkeypatch):
+def test_shared_folder(spark):
     """Off one machine a shared folder must be named."""
     import pytest
 
     from lodestrand import runtime
 
+    class Empty:
+        isEmpty = staticmethod(lambda: True)
+
     class Context:
         master = "spark://somewhere:7077"
-        _jsc = spark.sparkContext._jsc
-
-        def getConf(self):
-            return spark.sparkContext.getConf()
+        getConf = staticmethod(dict)
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("C", (), {"getCheckpointDir": staticmethod(Empty)})())})()
 
     class Session:
         sparkContext = Context()
 
-    runtime.shared_dir(spark)
-    monkeypatch.setattr(runtime, "_is_local", lambda s: False)
-    before = spark.sparkContext._jsc.sc().getCheckpointDir()
-    assert before.isDefined() and runtime.shared_dir(spark)
-    assert runtime._is_local(Session()) is False
+    assert runtime._is_local(spark) and not runtime._is_local(Session())
     with pytest.raises(RuntimeError):
-        class Unset:
-            def getCheckpointDir(self):
-                return type("none", (), {"isEmpty": staticmethod(lambda: True)})()
-
-        Session.sparkContext._jsc = type("j", (), {"sc": staticmethod(Unset)})()
         runtime.shared_dir(Session())
+    Context.getConf = staticmethod(lambda: {"spark.checkpoint.dir": "hdfs://shared"})
+    assert runtime.shared_dir(Session()) == "hdfs://shared"
+    assert runtime.tables_dir(spark).endswith(f"/tables/{spark.sparkContext.applicationId}")
 
 
 def test_index_round_trip(spark, data, tmp_path):
