@@ -17,13 +17,12 @@ Null and empty texts have no findings and stay as they are; repeated rows are tr
 
 from __future__ import annotations
 
-import bisect
 import datetime
 import hashlib
 import re
 import secrets
 from collections import Counter
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from .chars import codes
 from .names import _NICK as _EVERY_NICK
 from .names import plain
-from .sentences import lower_table
+from .sentences import LOWER, UNCASED, UPPER, class_table, lower_table
 
 _NICK = {k: v for k, v in _EVERY_NICK.items() if k.isascii()}
 #: Bound on the texts whose names the surroundings of names are counted on.
@@ -45,9 +44,15 @@ SAMPLE = 2000
 ROUNDS = 10
 
 
+@lru_cache(256)
+def _keyed(key: bytes, tweak: str):
+    return hashlib.blake2b(tweak.encode() + b"|", key=key, digest_size=16)
+
+
 def _prf(key: bytes, tweak: str, turn: int, value: int, modulus: int) -> int:
-    h = hashlib.blake2b(f"{tweak}|{turn}|{value}|{modulus}".encode(), key=key, digest_size=16).digest()
-    return int.from_bytes(h, "big") % modulus
+    h = _keyed(key, tweak).copy()
+    h.update(b"%d|%d|%d" % (turn, value, modulus))
+    return int.from_bytes(h.digest(), "big") % modulus
 
 
 def feistel(key: bytes, tweak: str, value: int, left: int, right: int) -> int:
@@ -299,14 +304,26 @@ def _cues() -> ahocorasick.Automaton:
 WORDS_BEFORE, WORDS_AFTER = 12, 16
 
 
-def _windows(text: str, places: list[int]) -> list[tuple[int, int]]:
-    """Places widened to windows by words, overlapping ones joined."""
-    gaps = [m.start() for m in _GAP.finditer(text)]
+def _windows(flat: str, places: list[int]) -> list[tuple[int, int]]:
+    """Places widened to windows by words, overlapping ones joined; ``flat`` has a plain space for all white space."""
     out: list[tuple[int, int]] = []
     for p in places:
-        k = bisect.bisect_left(gaps, p)
-        a = gaps[k - WORDS_BEFORE] if k >= WORDS_BEFORE else 0
-        b = gaps[k + WORDS_AFTER] if k + WORDS_AFTER < len(gaps) else len(text)
+        a = p
+        for _ in range(WORDS_BEFORE):
+            a = flat.rfind(" ", 0, a)
+            while a > 0 and flat[a - 1] == " ":
+                a -= 1
+            if a <= 0:
+                break
+        b, n = p, len(flat)
+        for _ in range(WORDS_AFTER):
+            b = flat.find(" ", b)
+            if b < 0:
+                b = n
+                break
+            while b < n and flat[b] == " ":
+                b += 1
+        a = max(0, a)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -319,8 +336,24 @@ _HAN_LEAD = re.compile(r"^.*?(?:住在|位于|地址[是为：:]?|住所は|在(
 
 # ---- names by what stands around them --------------------------------------------------------------------------------
 
-_CAPITAL = r"[A-ZÀ-Þ][a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?"
-_CANDIDATE = re.compile(rf"(?<![\w@.'’&-])(?!(?:Dear|Contact|Call|Ask|Miss|Sir|Herr|Frau|Madame|Monsieur|Colleague)\s)({_CAPITAL})((?:\s[A-ZÀ-Þ]\.?(?=\s)){{0,2}})\s({_CAPITAL})(?![\w@'’&-])")
+_CAPITAL = r"[a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?"
+# the first letter comes before what must not stand before it, so that the search goes from capital to capital
+_CANDIDATE = re.compile(rf"([A-ZÀ-Þ](?<![\w@.'’&-].){_CAPITAL})((?:\s[A-ZÀ-Þ]\.?(?=\s)){{0,2}})\s([A-ZÀ-Þ]{_CAPITAL})(?![\w@'’&-])")
+# Words with a capital that a name may follow but does not begin with.
+_NOT_FIRST = frozenset("Dear Contact Call Ask Miss Sir Herr Frau Madame Monsieur Colleague".split())
+
+
+def candidates(text: str):
+    """Matches of two words with a capital, with initials between them, that may be a name."""
+    m = _CANDIDATE.search(text)
+    while m:
+        if m.group(1) in _NOT_FIRST:
+            m = _CANDIDATE.search(text, m.end(1))
+            continue
+        yield m
+        m = _CANDIDATE.search(text, m.end())
+
+
 _WORD_BEFORE, _WORD_AFTER = re.compile(r"(\S+)\s*$"), re.compile(r"\s*([^\W\d_]+|\S)")
 #: Log-odds above which surroundings make capitalised words a name, the most that one of them counts, and cases its prior counts for.
 SURE, MOST, DOUBT = 1.3, 4.0, 4.0
@@ -347,11 +380,14 @@ def known_names(text: str, folded: str) -> tuple[list[tuple[int, int]], list[tup
     spans = latin_names(text, folded)
     marked = sorted(spans)
     out, k = [], 0
-    for m in _CANDIDATE.finditer(text):
+    for m in candidates(text):
         while k < len(marked) and marked[k][1] <= m.start():
             k += 1
-        near = [s for s in marked[k : k + 3] if s[0] < m.end() and s[1] > m.start()]
-        out.append((m, any(a <= m.start() and b >= m.end() for a, b in near) or (None if near else False)))
+        first, last = m.span()
+        if k < len(marked) and marked[k][0] < last:
+            out.append((m, True if any(a <= first and b >= last for a, b in marked[k : k + 3]) else None))
+        else:
+            out.append((m, False))
     return spans, out
 
 
@@ -388,6 +424,11 @@ def fit_surroundings(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return out
 
 
+@cache
+def _unfitted() -> dict[str, float]:
+    return fit_surroundings({})
+
+
 def train(docs: DataFrame) -> dict[str, float]:
     """The surroundings of names, counted on the ``SAMPLE`` texts of least hash where they are."""
     rows = docs.filter("text is not null").select("text", F.xxhash64("doc_id").alias("h"))
@@ -408,18 +449,18 @@ _LINE_BEFORE, _LINE_AFTER = re.compile(r"(?:^|\n)\s*$"), re.compile(r"[^\S\n]*(?
 _RUN_AFTER, _RUN_BEFORE = re.compile(r"\s[A-ZÀ-Þ][\w'’-]*"), re.compile(r"(?<!\S)(?!(?:Dr|Prof|Mrs?|Ms|Sra?|M|Mme|Miss|Sir|Herr|Frau|Madame|Monsieur|Dear|Contact|Call|Ask)\b)[A-ZÀ-Þ][\w'’-]*\s$")
 
 
-def surrounded_names(text: str, candidates: list[tuple[re.Match, bool | None]], model: dict[str, float]) -> list[tuple[int, int]]:
+def surrounded_names(text: str, found: list[tuple[re.Match, bool | None]], model: dict[str, float]) -> list[tuple[int, int]]:
     """The candidates that no list shows but whose surroundings do."""
     out = []
-    for m, named in candidates:
-        if named or m.group(1).lower() in _NEVER or m.group(3).lower() in _NEVER or _ORG_AFTER.match(text, m.end()) or _ORG_AFTER.match(text, m.end(1)) or _ORG_BEFORE.search(text, max(0, m.start() - 24), m.start()):
-            continue
-        if _RUN_AFTER.match(text, m.end()) or _RUN_BEFORE.search(text, max(0, m.start() - 40), m.start()):
-            continue  # one of a run of capitals, such as a title
-        if _LINE_BEFORE.search(text, max(0, m.start() - 2), m.start()) and _LINE_AFTER.match(text, m.end()):
-            continue  # a line of its own, such as a heading
+    for m, named in found:
+        if named or _RUN_AFTER.match(text, m.end()) or _ORG_AFTER.match(text, m.end(1)) or _ORG_AFTER.match(text, m.end()):
+            continue  # told already, one of a run of capitals such as a title, or a body's name
         before, after, *own = (model.get(f, 0.0) for f in surroundings(text, m))
-        if max(before, after) + weaker(min(before, after)) + sum(own) >= SURE:
+        if max(before, after) + weaker(min(before, after)) + sum(own) < SURE or m.group(1).lower() in _NEVER or m.group(3).lower() in _NEVER:
+            continue
+        if _RUN_BEFORE.search(text, max(0, m.start() - 40), m.start()) or _ORG_BEFORE.search(text, max(0, m.start() - 24), m.start()):
+            continue
+        if not (_LINE_BEFORE.search(text, max(0, m.start() - 2), m.start()) and _LINE_AFTER.match(text, m.end())):  # a line of its own is a heading
             out.append((m.start(), m.end()))
     return out
 
@@ -461,7 +502,7 @@ _NAME_CYRILLIC = re.compile(rf"(?<!\w)(?i:(?:{'|'.join(_CYRILLIC_GIVEN)})\s+(?:[
 
 @cache
 def _givens() -> tuple[set[str], set[str], ahocorasick.Automaton]:
-    """Given names without accents: those known, those one typing error off, and an automaton of both."""
+    """Given names without accents: those known, those one typing error off, and an automaton of the known ones."""
     known = {x for x in (*_GIVEN, *_NICK, *(y for v in _NICK.values() for y in v)) if len(x) > 1}
     letters = "abcdefghijklmnopqrstuvwxyz"
     typed: set[str] = set()
@@ -482,12 +523,22 @@ def _givens() -> tuple[set[str], set[str], ahocorasick.Automaton]:
     automaton = ahocorasick.Automaton()
     for w in known:
         automaton.add_word(w, (w, True))
-    for w in typed:
-        automaton.add_word(w, (w, False))
     automaton.make_automaton()
     return known, typed, automaton
 
 
+_CAPITAL_WORD = re.compile(r"[A-ZÀ-ÞĀ-Ɏ][^\W\d_]{2,}")
+
+
+def given_names(text: str, folded: str) -> list[tuple[int, tuple[str, bool]]]:
+    """(last place, (name, whether it is known)) of the given names of a text: known ones in any case, and words with a
+    capital that are one typing error off."""
+    known, typed, automaton = _givens()
+    slips = [(m.end() - 1, (w, False)) for m in _CAPITAL_WORD.finditer(text) if (w := folded[m.start() : m.end()]) in typed]
+    found = list(automaton.iter_long(folded))
+    return sorted([*found, *slips], key=lambda x: x[0]) if slips else found
+
+
 @cache
 def _fold_table() -> np.ndarray:
     out = lower_table().copy()
@@ -518,7 +569,7 @@ def latin_names(text: str, folded: str) -> list[tuple[int, int]]:
     taken = -1
     doubtful: list[tuple[int, int]] = []
     last = -1
-    for end, (given, sure) in _givens()[2].iter_long(folded):
+    for end, (given, sure) in given_names(text, folded):
         a, b = end - len(given) + 1, end + 1
         if a < taken or a > 0 and (text[a - 1].isalnum() or text[a - 1] in "@_+'’") or b < n and (text[b].isalnum() or text[b] in "@_+"):
             continue
@@ -584,8 +635,13 @@ _LINK_WORDS = set("called named holder contact donor surveyor saint museum insti
 _PERSON_LEAD = re.compile(r"(?:\b(?:by|under|credit|and|Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Sr\.|among them|dit|dijo|sagte|para|holder|donor|to|engineer|married|épousa|con|bei|that)|[\"”»“],?)\s+$")
 
 
+_OTHER_SCRIPTS = re.compile("[一-龥ァ-ヴऀ-ॿ؀-ۿА-я]")
+
+
 def _non_latin_names(text: str) -> list[tuple[int, int]]:
     spans = []
+    if not _OTHER_SCRIPTS.search(text):
+        return spans
     scripts = {_script_of(c) for c in set(text)}
     if "han" in scripts:
         found = {m.group(1) for m in _NAME_HAN.finditer(text) if m.group(1)[-1] not in _HAN_PLACE_END and len(m.group(1)) > 1}
@@ -615,8 +671,8 @@ AROUND, STEP = 4000, 1000
 def useless_capitals(text: str, step: int) -> bool:
     """Whether hardly any or most letters around a step of a text are capitals, so that they tell nothing."""
     start = max(0, min(step * STEP - (AROUND - STEP) // 2, len(text) - AROUND))
-    part = text[start : start + AROUND]
-    letters, upper = sum(map(str.isalpha, part)), sum(map(str.isupper, part))
+    kinds = class_table()[codes([text[start : start + AROUND]])[0]]
+    letters, upper = int(((kinds >= LOWER) & (kinds <= UNCASED)).sum()), int((kinds == UPPER).sum())
     return upper * 100 < letters or upper * 2 > letters
 
 
@@ -643,22 +699,21 @@ def find(text: str, model: dict[str, float] | None = None) -> list[tuple[int, in
                 add(left, right.end(), "email")
     if _DIGIT.search(text):
         cues: dict[str, list[int]] = {"address": [], "id_number": []}
-        for end, (kind, size) in _cues().iter(_SPACE.sub(" ", folded)):
+        flat = _SPACE.sub(" ", folded)
+        for end, (kind, size) in _cues().iter(flat):
             cues[kind].append(end - size + 1)
         for p in sorted(cues["id_number"]):
             m = _ID_CUE.match(text, p)
             if m and not _PHONE.fullmatch(m.group(1).strip()) and valid(m.group(1), "id_number"):
                 add(m.start(1), m.end(1), "id_number")
-        for m in _ID.finditer(text):
-            if valid(m.group(), "id_number"):
-                add(m.start(), m.end(), "id_number")
-        for m in _PHONE.finditer(text):
-            if valid(m.group(), "phone"):
-                add(m.start(), m.end(), "phone")
+        runs = [m.start() for m in _DIGITS.finditer(text)]
+        for kind, a, b in (*numbers(text, runs, _ID, "id_number", 3, _ID_LEAD), *numbers(text, runs, _PHONE, "phone", 1, _PHONE_LEAD)):
+            if valid(text[a:b], kind):
+                add(a, b, kind)
         if spots := sorted(cues["address"]):
             any_case = {k: useless_capitals(text, k) for k in {p // STEP for p in spots}}
             for pattern, told in ((_ADDRESS, False), (_ADDRESS_ANY_CASE, True)):
-                for a, b in _windows(text, [p for p in spots if any_case[p // STEP] == told]):
+                for a, b in _windows(flat, [p for p in spots if any_case[p // STEP] == told]):
                     for m in pattern.finditer(text, a, b) if _DIGIT.search(text, a, b) else ():
                         add(m.start(), m.end(), "address")
         if "号" in text or "町" in text or "村" in text:
@@ -668,8 +723,8 @@ def find(text: str, model: dict[str, float] | None = None) -> list[tuple[int, in
     out.sort()
     blocked = out[:]
     names: list[tuple[int, int, str]] = []
-    told, candidates = known_names(text, folded)
-    more = surrounded_names(text, candidates, model or fit_surroundings({}))
+    told, others = known_names(text, folded)
+    more = surrounded_names(text, others, _unfitted() if model is None else model)
     if more:  # a part of a name that its initial shows gives way to the whole
         told = [(a, b) for a, b in told if not any(a < y and b > x for x, y in more)]
     spans = sorted(told + more + ([] if text.isascii() else _non_latin_names(text)))
@@ -683,8 +738,28 @@ def find(text: str, model: dict[str, float] | None = None) -> list[tuple[int, in
     return sorted(out + names)
 
 
-_DIGIT = re.compile(r"\d")
-_SPACE, _GAP = re.compile(r"\s"), re.compile(r"\s+")
+def numbers(text: str, runs: list[int], pattern: re.Pattern, kind: str, most: int, lead: frozenset[str]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the matches of a pattern that begin at a run of digits or up to ``most`` characters before it,
+    at one of ``lead``, from left to right; that is where all matches of the number patterns begin."""
+    out = []
+    match, last = pattern.match, 0
+    for p in runs:
+        if p < last:
+            continue
+        m = None
+        if p and text[p - 1] in lead or most > 1 and text[p - 1] == " ":
+            for a in range(max(last, p - most), p):
+                if text[a] in lead and (m := match(text, a)):
+                    break
+        if m or (m := match(text, p)):
+            out.append((kind, m.start(), m.end()))
+            last = m.end()
+    return out
+
+
+_ID_LEAD, _PHONE_LEAD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), frozenset("+(")
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
+_SPACE = re.compile(r"\s")
 
 
 def redact(text: str, key: bytes, model: dict[str, float] | None = None) -> str:
@@ -713,22 +788,27 @@ def _secret(key: str) -> bytes:
     return hashlib.blake2b(key.encode(), digest_size=32).digest()
 
 
-def findings(docs: DataFrame, key: str, model: dict[str, float] | None = None, dates: bool = False) -> DataFrame:
-    """doc_id, start_char, end_char, kind, pseudonym of all private data; with ``dates``, dates of birth as kind ``date`` too."""
+def findings(docs: DataFrame, key: str, model: dict[str, float] | None = None, tags: bool = True, dates: bool = False) -> DataFrame:
+    """doc_id, start_char, end_char, kind, pseudonym of all private data; with ``dates``, dates of birth as kind ``date`` too.
+
+    Numbers are validated and permuted within their format; the keyed tags of other kinds are made only with ``tags``.
+    """
     secret = _secret(key)
     model = fit_surroundings({}) if model is None else model
 
     def run(batches):
+        @lru_cache(1 << 16)
+        def other(value: str, kind: str) -> str | None:
+            return pseudonym(secret, value, kind) if tags or kind in ("phone", "id_number") else None
+
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                told = [(a, b, kind, pseudonym(secret, text[a:b], kind)) for a, b, kind in find(text, model)]
+                rows += [(doc, a, b, kind, other(text[a:b], kind)) for a, b, kind in find(text, model)]
                 if dates:
-                    told += [(a, b, "date", write_date(m, pseudonym_date(secret, day))) for a, b, day, m in birth_dates(text)]
-                for a, b, kind, other in told:
-                    for part, x in zip(rows, (doc, a, b, kind, other)):
-                        part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["doc_id", "start_char", "end_char", "kind", "pseudonym"])
+                    rows += [(doc, a, b, "date", write_date(m, pseudonym_date(secret, day))) for a, b, day, m in birth_dates(text)]
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["doc_id", "start_char", "end_char", "kind", "pseudonym"])
 
     return docs.filter("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, start_char int, end_char int, kind string, pseudonym string")
 
