@@ -71,12 +71,6 @@ def already_in(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return needed.select("key").join(keyed(docs).select("key"), "key", "left_semi")
 
 
-def split_rows(samples: DataFrame, split: str) -> DataFrame:
-    """Samples of a split; dev and validation are one."""
-    names = ["dev", "validation"] if split in ("dev", "validation") else [split]
-    return samples.filter(F.lower("split").isin(names))
-
-
 def plan_scales(total: int, needed: int, presets: tuple[int, ...] = (500, 1000, 2000, 5000, 10000)) -> list[tuple[int, str]]:
     """(scale, '' or why it is left out) of every preset."""
     return [(s, "below the required documents" if s < needed else "above the corpus" if s > total else "") for s in presets]

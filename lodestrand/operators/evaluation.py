@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: Columns of evaluated samples whose means a metrics row has, where they are there.
+MEANS = ("query_total_latency", "retrieval_latency", "qa_latency", "nodes", "entity_nodes", "fact_nodes", "sentence_nodes", "chunk_nodes", "edges", "final_evidence_tokens", "alpha_f", "alpha_s", "alpha_c",
+         "fact_tokens", "sentence_tokens", "chunk_tokens", "fact_count", "sentence_count", "chunk_count")
 METRICS = ("f1", "em", "query_total_latency", "retrieval_latency", "final_evidence_tokens")
 
 
@@ -62,3 +67,27 @@ def token_shares(packed: DataFrame) -> DataFrame:
     """query_id and the share of evidence tokens per kind; 0 without tokens."""
     total = F.col("fact_tokens") + F.col("sentence_tokens") + F.col("chunk_tokens")
     return packed.select("query_id", *[F.when(total > 0, F.col(f"{k}_tokens") / total).otherwise(0.0).alias(f"{k}_share") for k in ("fact", "sentence", "chunk")])
+
+
+def parse_fail_rate(failed: Column) -> Column:
+    """The share of questions whose model reply said nothing; 0 without questions."""
+    return F.coalesce(F.avg(failed.cast("double")), F.lit(0.0))
+
+
+def edge_type_averages(rows: DataFrame) -> DataFrame:
+    """edge_type, edges: the mean number of edges of a type over the rows whose ``edge_types`` (a map) have it."""
+    return rows.select(F.explode("edge_types").alias("edge_type", "n")).groupBy("edge_type").agg(F.avg("n").alias("edges"))
+
+
+def token_allocation(rows: DataFrame) -> DataFrame:
+    """Mean evidence tokens and counts per kind, by source and over all."""
+    cols = [f"{k}_{x}" for k in ("fact", "sentence", "chunk") for x in ("tokens", "count")]
+    by = rows.withColumn("source", F.coalesce("source_dataset", F.lit("unknown"))).rollup("source").agg(F.count("*").alias("examples"), *[F.avg(c).alias(f"avg_{c}") for c in cols], F.grouping("source").alias("g"))
+    return by.select(F.when(F.col("g") == 1, "overall").otherwise(F.col("source")).alias("source"), "examples", *[f"avg_{c}" for c in cols])
+
+
+def summaries(rows: DataFrame) -> dict[str, DataFrame]:
+    """The four summaries of a run: overall, by source, of the granularity shares, and of the tokens of each kind."""
+    timed = reduce(lambda a, c: a if c in a.columns else a.withColumn(c, F.lit(None).cast("double")), METRICS, rows)
+    means = by_source(timed)
+    return {"summary_overall": means.filter("source = 'overall'"), "summary_by_source": means.filter("source <> 'overall'"), "summary_alpha": alpha_spread(rows), "summary_tokens": token_allocation(rows)}

@@ -139,18 +139,29 @@ def seed_scores(fact_scores: DataFrame, facts: DataFrame, chunk_scores: DataFram
     return l1_normalised(total, ["query_id"])
 
 
+# Weights of the contributions to a passage's score where a question's shares do not set them.
+FIXED_WEIGHTS = {"chunk_rank": 0.70, "sentence_rank": 0.20, "entity_rank": 0.05, "dense": 0.30, "fact": 0.15}
+ENTITY_TO_CHUNK = 0.08
+
+
 def rank_passages(ranks: DataFrame, index: dict[str, DataFrame], chunk_scores: DataFrame, ranked_facts: DataFrame, queries: DataFrame, config: Config = Config()) -> DataFrame:
     """query_id, chunk_id, rank, score: passages by five weighted contributions.
 
-    An entity counts for a chunk once per edge, in either direction, to one of its sentences.
+    An entity counts for a chunk once per edge, in either direction, to one of its sentences; without a sentence layer,
+    to the chunk itself. Weights follow the question's shares, or are fixed where the settings say so.
     """
     weight = passage_weights(F.col("alpha"))
+    if not (config.enable_granularity_awareness and config.evidence_use_alpha_weights):
+        weight = {k: F.lit(v) for k, v in FIXED_WEIGHTS.items()}
+        if not config.enable_sentence_layer:
+            weight["entity_rank"] = F.lit(ENTITY_TO_CHUNK)
+    home_type = "sentence" if config.enable_sentence_layer else "chunk"
     q = small_side(queries.select("query_id", "corpus_id", "alpha"))
     placed = ranks.join(q, "query_id").join(index["nodes"].select("corpus_id", "node_id", "node_type", "chunk_id"), ["corpus_id", "node_id"])
     own = placed.filter("node_type = 'chunk'").select("query_id", "chunk_id", (weight["chunk_rank"] * F.col("score")).alias("s"))
     inner = placed.filter("node_type = 'sentence'").select("query_id", "chunk_id", (weight["sentence_rank"] * F.col("score")).alias("s"))
     e = index["edges"].select("corpus_id", "src", "dst")
-    homes = index["nodes"].filter("node_type = 'sentence'").select("corpus_id", F.col("node_id").alias("near"), F.col("chunk_id").alias("home"))
+    homes = index["nodes"].filter(F.col("node_type") == home_type).select("corpus_id", F.col("node_id").alias("near"), F.col("chunk_id").alias("home"))
     touch = e.select("corpus_id", F.col("src").alias("node_id"), F.col("dst").alias("near")).union(e.select("corpus_id", "dst", "src")).join(homes, ["corpus_id", "near"]).groupBy("corpus_id", "node_id", "home").agg(F.count("*").alias("times"))
     through = placed.filter("node_type = 'entity'").drop("chunk_id").join(touch, ["corpus_id", "node_id"]).select("query_id", F.col("home").alias("chunk_id"), (weight["entity_rank"] * F.col("score") * F.col("times")).alias("s"))
     direct = chunk_scores.join(q, "query_id").select("query_id", F.col("id").alias("chunk_id"), (weight["dense"] * F.col("score")).alias("s"))

@@ -296,3 +296,25 @@ b2 as (select example_id, offered, trim(regexp_replace(regexp_replace(trim(answe
 n2 as (select *, {_plain.format('bare')} norm from b2),
 k as (select *, list_filter(offered, lambda c: norm<>'' and {_plain.format('c')}<>'' and (contains(norm,{_plain.format('c')}) or contains({_plain.format('c')},norm)))[1] named from n2)""",
      f"select example_id, array_to_string(offered,' | ') offered, case when named is not null then named when offered=['yes','no'] and regexp_matches(lower(bare),'\\byes\\b') and not regexp_matches(lower(bare),'\\bno\\b') then 'yes' when offered=['yes','no'] and regexp_matches(lower(bare),'\\bno\\b') and not regexp_matches(lower(bare),'\\byes\\b') then 'no' else {_cut('bare')} end settled from k")
+
+_add("fact_evidence_scores", ",\n".join((ALL, FACT_PARTS)), f"""select f.query_id, f.id, round(f.score+0.35*(coalesce(h.score,0)+coalesce(t.score,0))+0.20*coalesce(c.score,0),6) score from fact_rank f join fact_last l on l.corpus_id=f.corpus_id and l.fact_id=f.id left join it{STEPS} h on h.query_id=f.query_id and h.node_id=l.x.h left join it{STEPS} t on t.query_id=f.query_id and t.node_id=l.x.l left join it{STEPS} c on c.query_id=f.query_id and c.node_id=l.x.c where f.rank<={C.fact_top_k}""")
+_add("index_summary", GRAPH, """select corpus_id, n.nodes, entity_nodes, sentence_nodes, chunk_nodes, coalesce(f.n,0) fact_nodes, coalesce(e.n,0) edges from (select corpus_id, count(*) nodes, count(*) filter (node_type='entity') entity_nodes, count(*) filter (node_type='sentence') sentence_nodes, count(*) filter (node_type='chunk') chunk_nodes from nodes group by 1) n left join (select corpus_id, count(*) n from facts group by 1) f using (corpus_id) left join (select corpus_id, count(*) n from edges group by 1) e using (corpus_id)""")
+_add("edge_type_averages", GRAPH, "select edge_type, round(avg(n),6) edges from (select corpus_id, edge_type, count(*) n from edges group by 1,2) group by 1")
+_add("repeat_summary", "", "select coalesce(source_dataset,'unknown') source, count(*) runs, " + ", ".join(f"round(avg({m}),9) {m}_mean, round(coalesce(stddev_samp({m}),0),9) {m}_std" for m in ("f1", "em", "retrieval_latency")) + " from per_example group by 1")
+_add("gold_in_answer", "", f"select example_id, {normal('gold_answer')}<>'' and contains({normal('predicted_answer')},{normal('gold_answer')}) matched from per_example where gold_answer is not null")
+_add("title_slugs", "", "select doc_id, trim(regexp_replace(lower(title),'[^a-z0-9]+','-','g'),'-') slug from documents where title is not null")
+_add("held_out_samples", "", "select sample_id, len(documents) documents from samples where lower(split) in ('dev','valid','validation')")
+SQL["required_in_corpus"] = f"with need as ({SQL['required_docs']}) select key from need where key in (select {_key} from documents where text is not null)"
+_LEFT = """, kept0 as (select corpus_id, src, dst, weight, edge_type, edge_kinds from edges where src not like 'sentence:%' and dst not like 'sentence:%'),
+edges2 as (select * from kept0 union all select corpus_id, src, dst, count(*)::double, 'entity_chunk', ['entity_chunk'] from (select corpus_id, entity_id src, chunk_id dst from ends union all select corpus_id, chunk_id, entity_id from ends) group by 1,2,3),
+degree2 as (select corpus_id, node_id, count(*) degree from (select corpus_id, src node_id from edges2 union all select corpus_id, dst from edges2) group by 1,2),
+nodes2 as (select * from nodes where node_type<>'sentence')"""
+_MOVES2 = MOVES.replace("from edges e join degree d", "from edges2 e join degree2 d").replace("join nodes n", "join nodes2 n") + ",\n" + RESTART.replace("join nodes n", "join nodes2 n")
+_PASS2 = f"""placed as (select i.query_id, i.node_id, i.score, q.corpus_id, q.af, q.ac, n.node_type, n.chunk_id from it{STEPS} i join qs q using (query_id) join nodes2 n on n.corpus_id=q.corpus_id and n.node_id=i.node_id),
+touch as (select t.corpus_id, t.node_id, h.chunk_id home, count(*) times from (select corpus_id, src node_id, dst near from edges2 union all select corpus_id, dst, src from edges2) t join nodes2 h on h.corpus_id=t.corpus_id and h.node_id=t.near and h.node_type='chunk' group by 1,2,3),
+contrib as (select query_id, chunk_id, (0.35+0.90*ac)*score s from placed where node_type='chunk'
+ union all select p.query_id, t.home, (0.02+0.25*af)*score*times from placed p join touch t on t.corpus_id=p.corpus_id and t.node_id=p.node_id where node_type='entity'
+ union all select c.query_id, c.id, (0.12+0.70*ac)*c.score from chunk_rank c join qs using (query_id)
+ union all select f.query_id, l.x.c, (0.06+0.45*af)*f.score from fact_rank f join qs using (query_id) join fact_last l on l.corpus_id=f.corpus_id and l.fact_id=f.id where f.rank<={C.fact_top_k}),
+passages as (select query_id, chunk_id, sum(s) score from contrib group by 1,2)"""
+_add("passages_without_sentences", ",\n".join((GRAPH + _LEFT, QUERIES, QENTS, SEEDS, _MOVES2, PPR, FACT_PARTS, _PASS2)), f"select query_id, chunk_id, round(score,6) score from passages qualify row_number() over (partition by query_id order by score desc, chunk_id)<={C.passage_output_top_k}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from ..functions import reader
 from ..functions import text as X
 from ..functions.scores import entropy_confidence, heuristic_alpha, l1_normalised, profile_of, quota_of
 from ..functions.scores import alpha as normal_alpha
-from ..operators import corpus, evaluation, graph, nested, retrieval
+from ..operators import corpus, evaluation, evidence, graph, nested, retrieval
 from ..runtime import small_side, stored
+from ..sources import payloads
 from ..sources.tables import table
-from . import oracle, pipeline
+from . import evaluate, oracle, pipeline
 
 CONFIG = Config()
 JSON_COLUMNS = ["ranked_evidence", "channel_scores", "retrieval_meta"]
@@ -324,6 +327,39 @@ def direct_evidence(spark, d):
     return _answered(spark, d, propagate=False)["packed"]
 
 
+@query
+def fact_evidence_scores(spark, d):
+    """Facts as they are scored without a sentence layer: with the ranks of their ends and chunks."""
+    index, q = graph.materialised(_index(spark, d), "edges", "nodes", "entities", "facts"), _questions(spark, d)
+    facts = stored(pipeline.ranked_facts(index["facts"], _lexical_facts(index, q), q))
+    scored = evidence.fact_evidence(facts, stored(_ranks(index, q)), CONFIG)
+    return scored.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query
+def passages_without_sentences(spark, d):
+    """Passages of the index whose sentence layer is taken out, by the fixed steps and seeds."""
+    config = replace(CONFIG, enable_sentence_layer=False)
+    whole, q = graph.materialised(_index(spark, d), "edges", "nodes", "entities", "facts"), _questions(spark, d)
+    index = graph.materialised(graph.without_sentences(whole), "edges", "nodes", "facts")
+    facts = stored(pipeline.ranked_facts(index["facts"], _lexical_facts(whole, q), q))
+    ranks = graph.pagerank(graph.walk(index["edges"], index["nodes"], config), q, _seeds(whole, q), config, oracle.STEPS)
+    ranked = retrieval.rank_passages(ranks, index, _lexical_chunks(whole, q), facts, q, config)
+    return ranked.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def index_summary(spark, d):
+    """What is known of each corpus's index."""
+    return evaluate.index_records(graph.materialised(_index(spark, d), "edges", "nodes")).select("corpus_id", "nodes", "entity_nodes", "sentence_nodes", "chunk_nodes", "fact_nodes", "edges")
+
+
+@query
+def edge_type_averages(spark, d):
+    """Mean edges of each type over the corpora that have it."""
+    return evaluation.edge_type_averages(evaluate.index_records(graph.materialised(_index(spark, d), "edges", "nodes"))).withColumn("edges", F.round("edges", 6))
+
+
 # ---- given extractions, evaluation, corpora -------------------------------------------------------------------------
 
 
@@ -381,6 +417,37 @@ def alpha_std_by_source(spark, d):
     return rows.select("source", "examples", *[F.round(c, 9).alias(c) for c in rows.columns[2:]])
 
 
+@query
+def repeat_summary(spark, d):
+    """Means and deviations of each source over its evaluated questions, as over repeated runs."""
+    rows = evaluation.repeat_summary(_examples(spark, d).withColumn("source", F.coalesce("source_dataset", F.lit("unknown"))), "source", ["f1", "em", "retrieval_latency"])
+    return rows.select("source", "runs", *[F.round(c, 9).alias(c) for c in rows.columns[2:]])
+
+
+@query
+def gold_in_answer(spark, d):
+    """Examples whose gold answer occurs in the predicted one."""
+    matched = evaluation.answer_match(F.array("gold_answer"), F.col("predicted_answer"))
+    return _examples(spark, d).filter("gold_answer is not null").select("example_id", (F.size(matched) > 0).alias("matched"))
+
+
+@query
+def title_slugs(spark, d):
+    return table(spark, d, "documents").filter("title is not null").select("doc_id", X.slug(F.col("title")).alias("slug"))
+
+
+@query
+def held_out_samples(spark, d):
+    """Samples of the development split, whichever name it has."""
+    return payloads.of_split(table(spark, d, "samples"), "dev").select("sample_id", F.size("documents").alias("documents"))
+
+
+@query
+def required_in_corpus(spark, d):
+    """Required documents that the corpus holds already."""
+    return corpus.already_in(table(spark, d, "documents"), corpus.required(table(spark, d, "samples")))
+
+
 @query
 def mode_consistency(spark, d):
     return evaluation.mode_consistency(_examples(spark, d))
