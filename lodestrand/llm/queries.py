@@ -112,7 +112,15 @@ db as (select doc_id, {_BARE.format("text")} b from documents where text is not
 select distinct doc_id, sample_id from ({_WINDOWS.format("doc_id", 75, "db")}) join ({_WINDOWS.format("sample_id", 75, "(select * from sb where n=75)")}) using (w)
 union select distinct doc_id, sample_id from ({_WINDOWS.format("doc_id", 24, "db")}) join ({_WINDOWS.format("sample_id", 24, "(select * from sb where n=24)")}) using (w)"""
 
+_P1 = f"""{_P4.replace("g as (select doc_id,", "g as (select doc_id, x,")}, t as (select distinct x from b where length(x)>=8), n as (select x, row_number() over () i from t),
+w as (select distinct i, substr(x, k, 8) s from (select x, i, unnest(range(1, length(x)-6)) k from n)), c as (select i, count(*) n from w group by 1),
+p as (select a.i a, b.i b, count(*) shared from w a join w b on a.s=b.s and a.i<b.i group by 1,2),
+l as (select a, b from p join c ca on ca.i=a join c cb on cb.i=b where shared>=0.6*(ca.n+cb.n-shared) union all select i, i from n),
+m as (select doc_id, keep, i from g join n using (x))
+select distinct least(u.doc_id,v.doc_id) doc_id_a, greatest(u.doc_id,v.doc_id) doc_id_b from l join m u on u.i=l.a join m v on v.i=l.b where u.keep<>v.keep and u.doc_id<>v.doc_id"""
+
 SQL: dict[str, str] = {
+    "p1_found": _P1,
     "p4_found": _P4 + " select distinct keep keep_doc_id, doc_id copy_doc_id from g where doc_id<>keep",
     "p4_groups": _P4 + " select distinct keep, copies from g",
     "p8_found": _P8,
