@@ -249,11 +249,13 @@ def pagerank(walked: dict[str, DataFrame], queries: DataFrame, seeds: DataFrame,
         state = stored(moved)
         if iterations is None:
             change = stored(state.groupBy("query_id").agg((F.sum(F.abs(F.col("score") - F.col("before"))) < F.first("n") * config.pagerank_tolerance).alias("still")))
-            if not change.filter("still").isEmpty():
-                done.append(result(state.join(small_side(change.filter("still")), "query_id", "left_semi"), turn, True))
-                if change.filter("not still").isEmpty():
-                    return named()
-                state = state.join(small_side(change.filter("not still")), "query_id", "left_semi")
+            settled, others = change.filter("still"), change.filter("not still")
+            if others.isEmpty():
+                done.append(result(state, turn, True))
+                return named()
+            if not settled.isEmpty():
+                done.append(result(state.join(small_side(settled), "query_id", "left_semi"), turn, True))
+                state = state.join(small_side(others), "query_id", "left_semi")
     done.append(result(state, most, False))
     return named()
 

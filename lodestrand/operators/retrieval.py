@@ -47,22 +47,26 @@ def top_k(scored: DataFrame, by: list[str], k: int, order: list[str], score: str
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, items: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """Per query (keys, query_id, query_vec) the ``k`` items (keys, id, vec, ord) of highest cosine, clamped at 0.
+def meet(queries: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """Every query (keys, query_id, ...) with every item (keys, id, ...) of its keys, or with all without keys.
 
-    The query side is a stated query set. If its estimated size is small it is broadcast, and each task keeps the best of
-    its items before the shuffle; else queries are dealt into blocks, and items meet each block under a key of its own
-    (with ``SALT`` parts of items), so that no key holds a whole corpus.
+    The query side is a stated query set. If its estimated size is small it is broadcast; else queries are dealt into
+    blocks, and items meet each block under a key of its own (with ``SALT`` parts of items), so that no key holds a
+    whole corpus.
     """
     if planned_bytes(queries) <= BROADCAST_LIMIT:
         q = F.broadcast(queries)
-        met = q.crossJoin(items) if not keys else items.join(q, keys)
-    else:
-        blocks = -(-queries.count() // QUERY_BLOCK) or 1
-        part, salt = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), F.pmod(F.xxhash64("id"), F.lit(SALT))
-        q = queries.withColumn("_block", part).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-        met = items.withColumn("_salt", salt).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, [*keys, "_block", "_salt"])
-    scored = met.withColumn("score", cosine(F.col("query_vec"), F.col("vec")))
+        return q.crossJoin(items) if not keys else items.join(q, keys)
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    part, salt = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), F.pmod(F.xxhash64("id"), F.lit(SALT))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = queries.withColumn("_block", part).withColumn("_salt", every(SALT))
+    return items.withColumn("_salt", salt).withColumn("_block", every(blocks)).join(q, [*keys, "_block", "_salt"]).drop("_block", "_salt")
+
+
+def dense(queries: DataFrame, items: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """Per query (keys, query_id, query_vec) the ``k`` items (keys, id, vec, ord) of highest cosine, clamped at 0."""
+    scored = meet(queries, items, keys).withColumn("score", cosine(F.col("query_vec"), F.col("vec")))
     ranked = top_k(scored, ["query_id"], k, ["ord"])
     return ranked.select("query_id", "id", "ord", "rank", F.greatest("score", F.lit(0.0)).alias("score"))
 
