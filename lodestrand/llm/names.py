@@ -122,16 +122,16 @@ def parse(name: str) -> dict | None:
 
 
 def _parsed(batches):
-    """(name) to (name, base, qualifier, org, short, other)."""
+    """(name, n) to (name, n, base, qualifier, org, short, other)."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for name in batch.column(0).to_pylist():
+        out: list[list] = [[] for _ in range(7)]
+        for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             p = parse(name)
             if p:
-                for part, x in zip(out, (name, p["base"], p["qualifier"], p["org"], p["short"], p["other"])):
+                for part, x in zip(out, (name, n, p["base"], p["qualifier"], p["org"], p["short"], p["other"])):
                     part.append(x)
-        types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["name", "base", "qualifier", "org", "short", "other"])
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["name", "n", "base", "qualifier", "org", "short", "other"])
 
 
 def omissions(base: str) -> list[str]:
@@ -209,7 +209,7 @@ def owners(forms: DataFrame, by: str) -> DataFrame:
 
 def entities(names: DataFrame) -> DataFrame:
     """name, base, qualifier, entity for every name: rows of one entity, and of no contradicting qualifier, are one."""
-    parsed = stored(names.select("name").mapInArrow(_parsed, "name string, base string, qualifier string, org boolean, short boolean, other array<string>").join(names, "name"))
+    parsed = stored(names.select("name", "n").mapInArrow(_parsed, "name string, n long, base string, qualifier string, org boolean, short boolean, other array<string>"))
     bases = stored(parsed.groupBy("base").agg(F.max("org").alias("org"), F.min("short").alias("short"), F.sum("n").alias("n")))
     # typing errors
     full = bases.filter("not short").select("base")

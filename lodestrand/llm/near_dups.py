@@ -32,6 +32,8 @@ SIMILARITY = 0.6
 BAND, BANDS = 5, 60
 #: Rows of a bucket that a row meets in one sorted pass.
 NEAR = 6
+#: What ends a line for problem 4, so that both problems form the same groups.
+_LINE_END = re.compile(r"\r\n|[\n\x0b\f\r\x85\u2028\u2029]")
 _LABEL_LINE = re.compile(r"^[^:]{1,60}:.*\w|^[\W_]*$")
 _U = np.uint64
 _UNIT = float(2.0**-64)
@@ -141,7 +143,7 @@ def _key_rows(batches):
 
 
 def _lines_key(text: str) -> bytes | None:
-    lines = [x for x in text.splitlines() if x]
+    lines = [x for x in _LINE_END.split(text) if x]
     if not all(_LABEL_LINE.search(x) for x in lines):
         return None
     low, starts = bare_codes(lines)
