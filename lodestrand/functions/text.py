@@ -59,9 +59,12 @@ def sentences(text: Column) -> Column:
 
 
 def node_id(prefix: str, *parts: Column) -> Column:
-    """A stable id: parts joined, everything but ASCII letters and digits one underscore, at most 120 characters."""
-    joined = F.concat_ws("||", *[F.regexp_replace(F.coalesce(p.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "") for p in parts])
-    clean = F.substring(F.lower(F.regexp_replace(F.regexp_replace(joined, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", "")), 1, 120)
+    """A stable id: parts joined, everything but ASCII letters and digits one underscore, at most 120 characters.
+
+    White space around a part falls to the same underscore as the join beside it, so parts need no trimming of their own.
+    """
+    joined = F.concat_ws("||", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    clean = F.substring(F.lower(F.btrim(F.regexp_replace(joined, "[^a-zA-Z0-9]+", "_"), F.lit("_"))), 1, 120)
     return F.concat(F.lit(f"{prefix}:"), F.regexp_replace(clean, "^$", "node"))
 
 

@@ -73,8 +73,10 @@ def facts(split: DataFrame) -> DataFrame:
 
 
 def _both_ways(rows: DataFrame, a: str, b: str, kind: str) -> list[DataFrame]:
-    one = lambda x, y, step: rows.select("corpus_id", F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(1.0).alias("weight"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("relation"), "ord", F.lit(step).alias("step"))
-    return [one(a, b, 0), one(b, a, 1)]
+    """The edges of rows in both directions, from one reading of them."""
+    way = lambda x, y, step: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(step).alias("step"))
+    made = rows.select("corpus_id", "ord", F.explode(F.array(way(a, b, 0), way(b, a, 1))).alias("e"))
+    return [made.select("corpus_id", "e.src", "e.dst", F.lit(1.0).alias("weight"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("relation"), "ord", "e.step")]
 
 
 def raw_edges(split: DataFrame, mentioned: DataFrame, known: DataFrame, sentence_layer: bool = True) -> DataFrame:
@@ -109,15 +111,26 @@ def all_edges(split: DataFrame, mentioned: DataFrame, known: DataFrame, named: D
     return merged_edges(raw)
 
 
+#: Kinds between two entities; all other pairs of nodes have edges of one kind only, which their types decide.
+BETWEEN_ENTITIES = ("entity_relation", "entity_similarity")
+_KINDS = ("entity_chunk", "entity_sentence", "sentence_chunk", "sentence_sequence")
+
+
 def merged_edges(raw: DataFrame) -> DataFrame:
     """One row per (src, dst): weights summed, kinds and relations as sorted sets, the first kind as type.
 
-    The kinds are few, so the sets and sums reduce on the map side; a hub's edges differ in their other end.
+    Only pairs of entities can have several kinds, or relations: they are few and aggregate into sets. For all others a
+    sum and a number are enough, so they reduce by hash on the map side.
     """
-    return raw.groupBy("corpus_id", "src", "dst").agg(
+    kind = F.array_position(F.array(*map(F.lit, _KINDS)), F.col("kind"))
+    plain = raw.filter(~F.col("kind").isin(*BETWEEN_ENTITIES)).groupBy("corpus_id", "src", "dst").agg(F.sum("weight").alias("weight"), F.min(kind.cast("int")).alias("k"))
+    name = F.element_at(F.array(*map(F.lit, _KINDS)), F.col("k"))
+    plain = plain.select("corpus_id", "src", "dst", "weight", name.alias("edge_type"), F.array(name).alias("edge_kinds"), F.array().cast("array<string>").alias("relations"))
+    rich = raw.filter(F.col("kind").isin(*BETWEEN_ENTITIES)).groupBy("corpus_id", "src", "dst").agg(
         F.sum("weight").alias("weight"), F.min_by("kind", F.struct("ord", "step")).alias("edge_type"),
         F.sort_array(F.collect_set("kind")).alias("edge_kinds"), F.sort_array(F.collect_set("relation")).alias("relations"),
     )
+    return plain.union(rich)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -149,8 +162,7 @@ def build(docs: DataFrame, config: Config = Config(), encode=None) -> dict[str,
     """All index tables of the corpora in ``docs``; ``encode`` makes the vectors that edges between similar entities need."""
     chunked = chunks(docs, config)
     split = stored(sentences(chunked))
-    mentioned = mentions(split)
-    known = facts(split)
+    mentioned, known = stored(mentions(split)), stored(facts(split))  # ids are made once for all that reads them
     # a name among a fact's ends is a mention of its sentence already
     named = entities(mentioned)
     edges = all_edges(split, mentioned, known, named, config, encode)
