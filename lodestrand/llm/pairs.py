@@ -42,6 +42,8 @@ OPENING, BAND, BANDS, ALIKE = 32, 4, 20, 0.6
 NEAR = 8
 #: Openings of a larger bucket that all others of it are compared with at first.
 LEADERS = 16
+#: Openings of a larger bucket, about, that meet as many others under one key.
+BLOCK = 256
 #: A template's answers have to do with their row in at most the first share of cases; true answers in at least the
 #: second; and the cases must be so many that the first would come by chance with a probability under the third.
 LOOSE, BOUND, CHANCE = 0.25, 0.6, 1e-3
@@ -521,27 +523,31 @@ def _opening_bands(batches):
 def _alike(batches):
     """Keep the rows (a, b) whose sets of four-character stretches have a Jaccard similarity of ``ALIKE`` or more."""
     for batch in batches:
+        left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        sets = {t: {t[i : i + 4] for i in range(len(t) - 3)} for t in {*left, *right}}
         keep = []
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = ({t[i : i + 4] for i in range(len(t) - 3)} for t in (a, b))
-            keep.append(len(x & y) >= ALIKE * len(x | y))
-        yield batch.filter(pa.array(keep))
+        for a, b in zip(left, right):
+            x, y = sets[a], sets[b]
+            shared = len(x & y)
+            keep.append(shared >= ALIKE * (len(x) + len(y) - shared))
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def alike_openings(openings: DataFrame) -> DataFrame:
-    """a, b: alike openings, enough of them to join all of a bucket that leaders and neighbours join.
+    """a, b: alike openings, enough of them to join all that a chain of alike openings joins, each two sharing a bucket.
 
     In order, every opening of a bucket is compared with the ``NEAR`` before it, which is all pairs of most buckets. In
     larger ones it is compared with ``LEADERS`` of them too; those that are like none go on to the next round, with four
-    times as many leaders of their own, until none is left. So alike openings leave a large bucket after few comparisons,
-    and no row is passed over.
+    times as many leaders of their own, until none is left. Openings that these links join need no comparison of their
+    own; all other pairs of a larger bucket are compared at the end (``apart``).
     """
     bands = stored(openings.mapInArrow(_opening_bands, "bucket long, opening string"))
     order = Window.partitionBy("bucket").orderBy("opening")
     met = stored(bands.select("bucket", "opening", *[F.lag("opening", i).over(order).alias(f"c{i}") for i in range(1, NEAR + 2)]).filter("c1 is not null"))
     near = met.select(F.explode(F.array(*[f"c{i}" for i in range(1, NEAR + 1)])).alias("a"), F.col("opening").alias("b")).filter("a is not null")
     found = [stored(near.distinct().mapInArrow(_alike, "a string, b string"))]
-    rest = stored(bands.join(met.filter(f"c{NEAR + 1} is not null").select("bucket").distinct(), "bucket"))
+    large = stored(bands.join(met.filter(f"c{NEAR + 1} is not null").select("bucket").distinct(), "bucket"))
+    rest = large
     many = LEADERS
     while not rest.isEmpty():
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("opening"), "opening"))
@@ -553,7 +559,31 @@ def alike_openings(openings: DataFrame) -> DataFrame:
         followers = led.join(linked, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("opening")).distinct()
         rest = stored(ranked.filter(F.col("place") > many).select("bucket", "opening").join(followers, ["bucket", "opening"], "left_anti"))
         many *= 4
-    return reduce(DataFrame.union, found).distinct()
+    links = reduce(DataFrame.union, found).distinct()
+    if large.isEmpty():
+        return links
+    links = stored(links)
+    labels = connected_components(links).select(F.col("node").alias("opening"), "component")
+    placed = large.join(labels, "opening", "left").withColumn("component", F.coalesce("component", "opening"))
+    return links.union(apart(placed).mapInArrow(_alike, "a string, b string"))
+
+
+def apart(placed: DataFrame) -> DataFrame:
+    """a, b: all pairs of (bucket, opening, component) that share a bucket and no component, each once.
+
+    The largest component of a bucket meets the others of it and these each other, so a bucket of one component and
+    a few strays has few pairs. Both sides are cut into blocks of about ``BLOCK`` that meet under keys of their own.
+    """
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    sizes = parts.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most")).filter("n > most.m")
+    dealt = placed.join(sizes, "bucket").select("bucket", "opening", "component", F.xxhash64("opening").alias("h"), F.col("most.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("xs"), F.ceil((F.col("n") - F.col("most.m")) / BLOCK).cast("int").alias("ys"))
+    dealt = stored(dealt)
+    left = dealt.select("bucket", F.pmod("h", "xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.col("opening").alias("a"), F.col("component").alias("c"), (F.col("component") == F.col("main")).alias("in_main"))
+    right = dealt.filter("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), F.pmod("h", "ys").alias("y"), F.col("opening").alias("b"), F.col("component").alias("d"))
+    right = right.select("bucket", F.col("x").cast("long").alias("x"), "y", "b", "d")
+    left = left.select("bucket", "x", F.col("y").cast("long").alias("y"), "a", "c", "in_main")
+    met = left.join(right, ["bucket", "x", "y"]).filter("c <> d and (in_main or a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def refusal_openings(judged: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Refusals: templates of any wording and length, found by their recurrence over unrelated questions."""
 
 import random
+from collections import defaultdict
 
+import pyarrow as pa
 
 from lodestrand.llm import pairs
 
@@ -61,5 +63,30 @@ def test_hot_bucket(spark):
     assert len({x.component for x in pairs.connected_components(edges).collect()}) == 1
 
 
+def test_followers_of_different_leaders(spark):
+    """All alike openings of a large bucket end in one component, brute force, also where each follows a leader of its own."""
+    r = random.Random(8)
+    names = [word(r).lower() for _ in range(40)]
+    openings = sorted({f"{lead} bought the {r.choice(names)[:k]} {r.choice(names)}"[: pairs.OPENING] for lead in ("n", "n of n", "n or n") for k in (4, 6, 8) for _ in range(150)})
+    grams = {t: {t[i : i + 4] for i in range(len(t) - 3)} for t in openings}
+    buckets = defaultdict(list)
+    for batch in pairs._opening_bands([pa.record_batch([pa.array(openings)], names=["opening"])]):
+        for bucket, t in zip(*(c.to_pylist() for c in batch.columns)):
+            buckets[bucket].append(t)
+    alike = {(a, b) for group in buckets.values() for a in group for b in group if a < b and len(grams[a] & grams[b]) >= pairs.ALIKE * len(grams[a] | grams[b])}
+    edges = pairs.alike_openings(spark.createDataFrame([(t,) for t in openings], "opening string"))
+    label = {x.node: x.component for x in pairs.connected_components(edges).collect()}
+    assert max(map(len, buckets.values())) > 100 and len(alike) > 2000
+    assert not [(a, b) for a, b in alike if a not in label or label[a] != label.get(b)]
+
+
+def test_apart(spark):
+    """Every two openings of a bucket in different components meet once, however many blocks that takes."""
+    rows = [(1, f"a{i}", "a") for i in range(pairs.BLOCK + 40)] + [(1, f"b{i}", "b") for i in range(30)] + [(1, f"c{i}", "c") for i in range(20)] + [(2, f"d{i}", "d") for i in range(50)]
+    got = [(x.a, x.b) for x in pairs.apart(spark.createDataFrame(rows, "bucket long, opening string, component string")).collect()]
+    want = {(a, b) for _, a, c in rows for _, b, d in rows if a < b and c != d and "d" not in (c, d)}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_language_of_quotes_in_long_answers():
     assert not pairs.is_other_language("Who said it to the people of the town?", "He said to them: „" + "das ist nicht der Weg und die Stadt war für uns. " * 60 + "“ and it was in the town")
