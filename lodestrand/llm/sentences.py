@@ -4,11 +4,11 @@ Characters are tagged boundary or inside by a linear-chain model decoded with Vi
 terminal mark are inside by constraint, so the chain is compressed to its candidates: ends of runs of terminal marks
 (with closing quotes and brackets). A candidate's emission is the log-odds of its context (kind of mark, kind of word
 before it, kind of what follows, white space, closers); a transition is the log-odds by the tag before and the distance
-to it. Both are counts over labelled sentences with a prior: ``train`` takes at most ``LABELLED`` rows. Blocks between
+to it. Both are counts over all labelled sentences with a prior. Blocks between
 blank lines, list lines and lines ``Label: value`` bound the chains, and what lies in matched quotes or brackets is inside.
 
 What lies between two terminal marks in an uncased script is tagged character by character by a second chain, trained on
-at most ``STRIPPED`` texts whose marks were stripped (they are its labels). A boundary that no mark shows needs a mark to
+all texts in such scripts, whose marks are stripped (they are its labels). A boundary that no mark shows needs a mark to
 have been left out: how likely that is follows from how many marks the block has for its length, and how long sentences
 of the script are. So an unpunctuated text of any length is cut, and a punctuated one is left alone.
 
@@ -27,11 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small_side, stored
-from .chars import codes, steps
+from .chars import STEP_CHARS, codes, steps
 
-#: Bounds on the labelled rows that the two models are fitted on.
-LABELLED, STRIPPED = 4000, 1500
 #: How many labelled cases a context's prior counts for.
 PRIOR_CASES = 20.0
 #: Distances (upper bounds, in characters) that transitions tell apart, and their prior: boundaries hardly ever follow so close.
@@ -446,6 +443,81 @@ def _script(ch: str) -> str:
     return "dense" if "\u3040" <= ch <= "\u30ff" or "\u3400" <= ch <= "\u9fff" else "spaced"
 
 
+def _dense(c: np.ndarray) -> np.ndarray:
+    """Which code points are of ``_script`` dense."""
+    return (c >= 0x3040) & (c <= 0x30FF) | (c >= 0x3400) & (c <= 0x9FFF)
+
+
+def _left_open(cls: np.ndarray, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which characters lie within a quotation or a bracket that began in their text; a blank line ends what nothing closed."""
+    n = len(cls)
+    first = np.zeros(n, bool)
+    first[starts[:-1][starts[:-1] < n]] = True
+    first |= (cls == LINE) & np.concatenate([[False], raw[:-1] == 10])
+    stretch = np.cumsum(first) - 1
+    at = np.flatnonzero(first)
+    move = np.isin(cls, (OPEN_Q, OPEN_B)).astype(np.int64) - np.isin(cls, (CLOSE_Q, CLOSE_B))
+    total = np.cumsum(move)
+    walk = total - (total - move)[at][stretch]
+    lower = stretch * (2 * n + 2)  # stretches lie below each other, so that a running minimum stays within one
+    depth = walk - np.minimum(0, np.minimum.accumulate(walk - lower) + lower)
+    straight = np.cumsum(cls == ASCII_Q)
+    return (depth > 0) | ((straight - (straight - (cls == ASCII_Q))[at][stretch]) % 2 == 1)
+
+
+def stripped_cells(texts: list[str]) -> tuple[tuple[np.ndarray, ...], dict]:
+    """``stripped_counts`` with the contexts as arrays: (distance, first character, second or -1, at a boundary, anywhere)."""
+    raw, starts = codes(texts)
+    n = len(raw)
+    if not n:
+        return (np.zeros(0, np.int64),) * 5, {}
+    cls = class_table()[raw]
+    place = np.arange(n)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(starts))
+    begin = starts[:-1][text_of]
+    mark = (cls == DOT) | (cls == EXCLAIM) | (cls == STOP)
+    kept = ~mark & ~np.isin(cls, _DROPPED)
+    before = np.cumsum(kept)  # kept characters up to here
+    head = np.concatenate([[0], before])[begin]  # and before the text
+    # a full stop within a number or a word or after a short one, or a mark within a quotation, ends nothing
+    letter = (cls >= LOWER) & (cls <= UNCASED)
+    gap_at = np.maximum(np.maximum.accumulate(np.where(letter, -1, place)), begin - 1)
+    word = np.where(place > begin, place - 1 - np.concatenate([[-1], gap_at[:-1]]), 0)
+    joined = np.concatenate([(cls[1:] >= LOWER) & (cls[1:] <= DIGIT) & (text_of[1:] == text_of[:-1]), [False]])
+    ends = mark & (before > head) & ~_left_open(cls, raw, starts) & ~((cls == DOT) & ((word < SHORTEST) | joined))
+    at = np.flatnonzero(kept)
+    c, owner = raw[at].astype(np.int64), text_of[at]
+    bound = np.zeros(len(at), bool)
+    bound[before[ends] - 1] = True
+    dense = _dense(c)
+    lengths: dict = {}
+    last = np.flatnonzero(bound)
+    if len(last):
+        opens = np.searchsorted(owner, owner[last])
+        prior_end = np.concatenate([[0], last[:-1] + 1])
+        x = np.log(last + 1 - np.maximum(opens, prior_end))
+        for script, of in (("dense", dense[last]), ("spaced", ~dense[last])):
+            if of.any():
+                lengths[script] = int(of.sum()), float(x[of].sum()), float((x[of] ** 2).sum())
+    # where words are spaced, nothing ends within one
+    spaces = np.cumsum((cls == SPACE) | (cls == LINE))[at]
+    i = np.flatnonzero((owner[1:] == owner[:-1]) & ((spaces[1:] > spaces[:-1]) | bound[:-1] | dense[:-1])) + 1
+    yes = bound[i - 1]
+    same_back = (i > 1) & (owner[np.maximum(i - 2, 0)] == owner[i])
+    after = np.minimum(i + 1, len(at) - 1)
+    same_on = (i + 1 < len(at)) & (owner[after] == owner[i])
+    none = np.full(len(i), -1)
+    parts = []
+    for distance, x, y in ((-1, c[i - 1], none), (-2, np.where(same_back, c[np.maximum(i - 2, 0)], c[i - 1]), np.where(same_back, c[i - 1], -1)), (1, c[i], none), (2, c[i], np.where(same_on, c[after], -1))):
+        keys, back, counts = np.unique(x << 21 | y + 1, return_inverse=True, return_counts=True)
+        parts.append((np.full(len(keys), distance), keys >> 21, (keys & (1 << 21) - 1) - 1, np.bincount(back, yes, len(keys)).astype(np.int64), counts))
+    return tuple(np.concatenate(x) for x in zip(*parts)), lengths
+
+
+def _context(first: int, second: int) -> str:
+    return chr(first) + (chr(second) if second >= 0 else "")
+
+
 def stripped_counts(texts: list[str]) -> tuple[dict, dict]:
     """What the second model counts, from texts whose terminal marks are stripped.
 
@@ -453,44 +525,8 @@ def stripped_counts(texts: list[str]) -> tuple[dict, dict]:
     they stand at a boundary and anywhere. Lengths: by script, number, sum and sum of squares of the logarithms of the
     sentences' lengths.
     """
-    contexts: dict = {}
-    lengths: dict = {}
-    table = class_table()
-    for t in texts:
-        chars: list[str] = []
-        bound: list[bool] = []
-        gaps: list[bool] = []
-        spaced = False
-        at = depth = quoted = word = 0
-        for i, ch in enumerate(t):
-            k = table[ord(ch)]
-            if k == LINE and t[i - 1 : i] == "\n":  # a blank line ends a quotation that nothing closed
-                depth = quoted = 0
-            depth = max(0, depth + (k in (OPEN_Q, OPEN_B)) - (k in (CLOSE_Q, CLOSE_B)))
-            quoted ^= k == ASCII_Q
-            if k in (STOP, EXCLAIM) or k == DOT:
-                # a full stop within a number or a word or after a short one, or a mark within a quotation, ends nothing
-                if bound and not bound[-1] and not depth and not quoted and not (k == DOT and (word < SHORTEST or i + 1 < len(t) and LOWER <= table[ord(t[i + 1])] <= DIGIT)):
-                    bound[-1] = True
-                    x = np.log(len(bound) - at)
-                    n, one, two = lengths.get(_script(chars[-1]), (0, 0.0, 0.0))
-                    lengths[_script(chars[-1])] = n + 1, one + x, two + x * x
-                    at = len(bound)
-            elif k not in _DROPPED:
-                chars.append(ch)
-                bound.append(False)
-                gaps.append(spaced)
-                spaced = False
-            spaced |= k in (SPACE, LINE)
-            word = word + 1 if LOWER <= k <= UNCASED else 0
-        s = "".join(chars)
-        for i in range(1, len(s)):
-            if not gaps[i] and not bound[i - 1] and _script(s[i - 1]) == "spaced":
-                continue  # where words are spaced, nothing ends within one
-            for key in ((-1, s[i - 1]), (-2, s[max(0, i - 2) : i]), (1, s[i]), (2, s[i : i + 2])):
-                yes, any_ = contexts.get(key, (0, 0))
-                contexts[key] = yes + bound[i - 1], any_ + 1
-    return contexts, lengths
+    cells, lengths = stripped_cells(texts)
+    return {(k, _context(x, y)): (yes, n) for k, x, y, yes, n in zip(*(part.tolist() for part in cells))}, lengths
 
 
 def stripped_model(contexts: dict, lengths: dict) -> dict:
@@ -605,26 +641,28 @@ def _bin(emission: np.ndarray) -> np.ndarray:
     return np.clip((emission * 2 + BINS / 2).astype(np.int64), 0, BINS - 1)
 
 
-def fit_counts(labelled: list[tuple[str, str]], emissions: np.ndarray | None = None) -> np.ndarray:
-    """Counts from (text, one of its sentences): candidates at the sentence's end are boundaries, those within it are not,
-    and its start is one. By (context, tag), or, given emissions, by (distance, tag before, step of emission, tag)."""
-    out = np.zeros((*_SHAPE, 2) if emissions is None else (len(DISTANCES) + 1, 2, BINS, 2))
-    usable = [(t, a, a + len(x)) for t, x in labelled if t and x and (a := t.find(x)) >= 0]
-    for i, j in steps([len(t) for t, _, _ in usable]):
-        texts = [t for t, _, _ in usable[i:j]]
-        _, _, _, _, p, x = candidates(texts)
-        starts = np.cumsum([0, *map(len, texts)])
-        k = np.searchsorted(starts, p - 1, "right") - 1
-        first, last = (starts[:-1] + np.array([u[n] for u in usable[i:j]]) for n in (1, 2))
-        inside = (p > first[k]) & (p <= last[k])
-        tag = (p == last[k]).astype(int)
-        if emissions is None:
-            np.add.at(out, (*x[inside].T, tag[inside]), 1)
-            continue
-        before, known = np.concatenate([[-1], p[:-1]]), np.concatenate([[False], inside[:-1] & (k[1:] == k[:-1])])
-        distance = np.searchsorted(DISTANCES, p - np.where(known, before, first[k]))
-        np.add.at(out, (distance[inside], (~known[inside]).astype(int), _bin(emissions[tuple(x[inside].T)]), tag[inside]), 1)
-    return out
+#: What ``labelled_counts`` tells apart: context, distance, tag before, tag.
+_CELLS = (*_SHAPE, len(DISTANCES) + 1, 2, 2)
+
+
+def labelled_counts(texts: list[str], sentences: list[list[str]]) -> np.ndarray:
+    """Counts from texts and sentences of each: candidates at a sentence's end are boundaries, those within it are not,
+    and its start is one. By context, distance, tag before and tag, from one pass over the texts."""
+    out = np.zeros(int(np.prod(_CELLS)))
+    usable = [(t, spans) for t, own in zip(texts, sentences) if t and (spans := [(a, a + len(x)) for x in own if x and (a := t.find(x)) >= 0])]
+    for i, j in steps([len(t) for t, _ in usable]):
+        part = [t for t, _ in usable[i:j]]
+        _, _, _, _, p, x = candidates(part)
+        starts = np.cumsum([0, *map(len, part)])
+        span = np.array([(s + a, s + b) for s, (_, spans) in zip(starts.tolist(), usable[i:j]) for a, b in spans], np.int64)
+        low, high = (np.searchsorted(p, span[:, k], "right") for k in (0, 1))
+        of = np.repeat(np.arange(len(span)), high - low)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[of]
+        opens = at == low[of]  # the first candidate of a sentence, after its start
+        distance = np.searchsorted(DISTANCES, p[at] - np.where(opens, span[of, 0], p[at - 1]))
+        cell = np.ravel_multi_index((*x[at].T, distance, opens.astype(np.int64), (p[at] == span[of, 1]).astype(np.int64)), _CELLS)
+        out += np.bincount(cell, minlength=len(out))
+    return out.reshape(_CELLS)
 
 
 def fit_emissions(contexts: np.ndarray) -> np.ndarray:
@@ -646,60 +684,73 @@ def fit_moves(counts: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-def fit(labelled: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """The first model (emissions, transitions) of a few (text, one of its sentences)."""
-    emissions = fit_emissions(fit_counts(labelled))
-    return emissions, fit_moves(fit_counts(labelled, emissions))
-
+def fit_both(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first model (emissions, transitions) from ``labelled_counts``."""
+    emissions = fit_emissions(counts.sum(axis=(5, 6)))
+    binned = np.zeros((BINS, *_CELLS[5:]))
+    np.add.at(binned, _bin(emissions).reshape(-1), counts.reshape(-1, *_CELLS[5:]))
+    return emissions, fit_moves(np.moveaxis(binned, 0, 2))
 
-def _first_hashes(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows (h, ...) of least h; only the hash of the last one reaches the driver."""
-    last = rows.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return rows.filter(F.col("h") <= F.lit(last)) if last is not None else rows.limit(0)
 
+def fit(labelled: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The first model (emissions, transitions) of a few (text, one of its sentences)."""
+    return fit_both(labelled_counts([t for t, _ in labelled], [[x] for _, x in labelled]))
 
-def _counted(pairs: DataFrame, emissions: np.ndarray | None, shape: tuple[int, ...]) -> np.ndarray:
-    """``fit_counts`` over (text, sentence), counted where they are; the driver gets the cells that are not 0."""
 
-    def run(batches):
-        for batch in batches:
-            flat = fit_counts(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), emissions).reshape(-1)
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at].astype(np.int64))], names=["cell", "n"])
+def _labelled_rows(batches):
+    """(doc_id, sentence, text), the sentences of a document before its texts, to (cell, n) of ``labelled_counts``.
 
-    out = np.zeros(int(np.prod(shape)))
-    for cell, n in pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        out[cell] = n
-    return out.reshape(shape)
+    Of one document the sentences are kept while its texts pass, each of which is read once.
+    """
+    out = np.zeros(_CELLS)
+    doc, own = None, []
+    for batch in batches:
+        texts, labels = [], []
+        for rid, sentence, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if rid != doc:
+                doc, own = rid, []
+            if text is None:
+                own.append(sentence)
+            elif own:
+                texts.append(text)
+                labels.append(own)
+        out += labelled_counts(texts, labels)
+    flat = out.reshape(-1)
+    at = np.flatnonzero(flat)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at].astype(np.int64))], names=["cell", "n"])
 
 
 def _stripped_rows(batches):
     """(text) to (kind, key, a, b, c): the counts of ``stripped_counts``."""
     for batch in batches:
-        contexts, lengths = stripped_counts(batch.column(0).to_pylist())
-        rows = [(k, x, float(yes), float(n), 0.0) for (k, x), (yes, n) in contexts.items()] + [(0, x, float(n), one, two) for x, (n, one, two) in lengths.items()]
-        columns = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64()))], names=["kind", "key", "a", "b", "c"])
+        texts = batch.column(0).to_pylist()
+        for i, j in steps([len(t) for t in texts], 4 * STEP_CHARS):
+            (kind, first, second, yes, n), lengths = stripped_cells(texts[i:j])
+            keys = [_context(x, y) for x, y in zip(first.tolist(), second.tolist())]
+            few = list(lengths.items())
+            kinds = np.concatenate([kind, np.zeros(len(few), np.int64)]).astype(np.int32)
+            sums = [np.concatenate([x.astype(float), [v[k] for _, v in few]]) for k, x in enumerate((yes, n, np.zeros(len(keys))))]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys + [x for x, _ in few], pa.string()), *map(pa.array, sums)], names=["kind", "key", "a", "b", "c"])
 
 
 def train(docs: DataFrame, sentences: DataFrame | None = None) -> tuple[tuple[np.ndarray, np.ndarray], dict]:
-    """Both models, from about ``LABELLED`` labelled sentences and ``STRIPPED`` texts in scripts without case.
+    """Both models, from all labelled sentences and all texts in scripts without case.
 
-    Rows are those of least hash of their ids, so that the choice does not depend on the number of partitions. They are
-    counted where they are: the driver gets the cells of the first model, and of the second the contexts that occur.
+    They are counted where they are: the driver gets the cells of the first model, and of the second the contexts that
+    occur. Sentences and texts meet by sorting within the hash partitions of their document, without a table of both.
     """
-    emissions, moves = fit([])
+    counts = np.zeros(int(np.prod(_CELLS)))
     if sentences is not None:
-        rows = sentences.filter("text is not null and doc_id is not null").select("doc_id", F.col("text").alias("sentence"), F.xxhash64("sentence_id", "text").alias("h"))
-        chosen = small_side(stored(_first_hashes(rows, LABELLED).distinct()))
-        pairs = stored(docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", "sentence"))
-        emissions = fit_emissions(_counted(pairs, None, (*_SHAPE, 2)))
-        moves = fit_moves(_counted(pairs, emissions, (len(DISTANCES) + 1, 2, BINS, 2)))
-    uncased = docs.filter(F.col("text").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsDevanagari}\p{IsArabic}\p{IsThai}]")).select("text", F.xxhash64("doc_id").alias("h"))
-    counts = _first_hashes(uncased, STRIPPED).select("text").mapInArrow(_stripped_rows, "kind int, key string, a double, b double, c double").groupBy("kind", "key").agg(F.sum("a"), F.sum("b"), F.sum("c")).collect()
-    contexts = {(k, x): (yes, n) for k, x, yes, n, _ in counts if k}
-    lengths = {x: (n, one, two) for k, x, n, one, two in counts if not k}
-    return (emissions, moves), stripped_model(contexts, lengths)
+        known = sentences.filter("text is not null and doc_id is not null").select("doc_id", F.col("text").alias("sentence"), "sentence_id").distinct()
+        both = known.select("doc_id", "sentence", F.lit(None).cast("string").alias("text")).union(docs.filter("text is not null and doc_id is not null").select("doc_id", F.lit(None).cast("string").alias("sentence"), "text"))
+        rows = both.repartition("doc_id").sortWithinPartitions("doc_id", F.col("text").isNotNull())
+        for cell, n in rows.mapInArrow(_labelled_rows, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+            counts[cell] = n
+    uncased = docs.filter(F.col("text").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsDevanagari}\p{IsArabic}\p{IsThai}]")).select("text")
+    rows = uncased.mapInArrow(_stripped_rows, "kind int, key string, a double, b double, c double").groupBy("kind", "key").agg(F.sum("a"), F.sum("b"), F.sum("c")).collect()
+    contexts = {(k, x): (yes, n) for k, x, yes, n, _ in rows if k}
+    lengths = {x: (n, one, two) for k, x, n, one, two in rows if not k}
+    return fit_both(counts.reshape(_CELLS)), stripped_model(contexts, lengths)
 
 
 def unit_table(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:

@@ -110,6 +110,23 @@ def test_one_mark_and_a_long_run():
     assert len(units("字" * 400, None)) == 1
 
 
+def test_models_count_all_rows(spark):
+    """Both models are those of all labelled sentences and of all texts in scripts without case, however many."""
+    rng = random.Random(7)
+    clause = lambda: "".join(rng.choice("山水田石木火土金") for _ in range(rng.randint(3, 9))) + rng.choice("了的呢")
+    uncased = ["。".join(clause() for _ in range(rng.randint(2, 5))) + "。" for _ in range(2500)]
+    spaced = [[f"{rng.choice(('Ada', 'He', 'Dr. Lee'))} came {rng.choice(('to no. 3', 'at 10 p.m', 'in 1912', 'late', '...'))}." for _ in range(3)] for _ in range(2000)]
+    texts = uncased + [" ".join(x) for x in spaced]
+    labels = [(len(uncased) + i, x) for i, own in enumerate(spaced) for x in own]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(str(i), d, x) for i, (d, x) in enumerate(labels)], "sentence_id string, doc_id long, text string")
+    (emissions, moves), stripped = sentences.train(docs, known)
+    whole = sentences.fit([(texts[d], x) for d, x in labels])
+    assert np.allclose(emissions, whole[0]) and np.allclose(moves, whole[1])
+    want = sentences.strip_counts(uncased)
+    assert stripped.keys() == want.keys() and all(np.allclose(stripped[k], v) for k, v in want.items())
+
+
 def test_viterbi():
     score, p = np.array([5.0, 4.5, -1.0, 2.0]), np.array([10, 12, 30, 33])
     assert sentences.decode(score, p).tolist() == [True, True, False, True]
