@@ -21,6 +21,7 @@ import datetime
 import hashlib
 import re
 import secrets
+from bisect import bisect_left
 from collections import Counter
 from functools import cache, lru_cache
 
@@ -30,7 +31,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chars import codes
 from .names import _NICK as _EVERY_NICK
 from .names import plain
 from .sentences import LOWER, UNCASED, UPPER, class_table, lower_table
@@ -282,24 +282,60 @@ _ADDRESS_ANY_CASE = re.compile(f"{_ADDRESS_EN}|{_ADDRESS_OTHER}", re.I)
 _ID_WORDS = "identity n|identity c|identity|id n|id c|passport|reader's card|reader’s card|social security|national insurance|ausweisnummer|personalausweis|reisepass|numero d'identite|numero d’identite|piece d'identite|piece d’identite|numero de identidad|dni|nie|паспорт|снилс|инн|身份证|护照|身分証|マイナンバー|पहचान|आधार|رقم الهوية|هوية رقم|signed with".split("|")
 
 
-def address_words() -> list[str]:
-    """What every address holds one of: the words of the patterns, with the space or stop that must stand beside them."""
-    words = ["box ", *(f" {w}" for w in _STREETS), *(f" {w} " for w in _RUES), *_CALLES, *(f"{w} " for w in _STRASSEN), *(w + end for w in _ULITSY for end in (" ", "."))]
-    return sorted({fold(w) for w in words})
+# By alternative of the address patterns: what it has from its word for a street on, the words before that word among which
+# its number stands (0 if that comes after it), and what it has from that number on.
+_FROM_CUE = {
+    "box": (r"Box\s+\d", 0, ""),
+    "street": (rf"\s+{_STREET}\b", 4, rf"\d[A-Za-z]?\s+(?:[A-Z][\w'’-]*\s+){{1,3}}{_STREET}\b"),
+    "rue": (rf"\s+{_any_of(_RUES)}\s+(?:de\s+|du\s+|des\s+|d['’]|la\s+|le\s+|l['’])*[A-Z][\w'’-]", 3, rf"\d(?:\s?(?:bis|ter))?,?\s+{_any_of(_RUES)}\s"),
+    "calle": (rf"\b{_any_of(_CALLES)}\s*(?:de\s+|del\s+|la\s+)*[A-Z][\w'’-]+,?\s+(?:n\.?\s?[º°o]\s*)?\d", 0, ""),
+    "strasse": (rf"{_any_of(_STRASSEN)}\s+\d", 0, ""),
+    "ulitsa": (rf"\b{_any_of(_ULITSY)}\.?\s+[А-ЯЁ][а-яё-]+(?:\s[А-ЯЁ][а-яё-]+)?,\s+(?:д\.|дом)\s*\d", 0, ""),
+}
+_FROM_CUE = {kind: (re.compile(cue, re.I), words, re.compile(number, re.I)) for kind, (cue, words, number) in _FROM_CUE.items()}
+
+
+def address_words() -> dict[str, list[str]]:
+    """What every address holds one of, by alternative: the words of the patterns, with the space or stop that must stand
+    beside them."""
+    words = {"box": ["box "], "street": [f" {w}" for w in _STREETS], "rue": [f" {w} " for w in _RUES], "calle": _CALLES, "strasse": [f"{w} " for w in _STRASSEN], "ulitsa": [w + end for w in _ULITSY for end in (" ", ".")]}
+    return {kind: sorted({fold(w) for w in forms}) for kind, forms in words.items()}
 
 
 @cache
 def _cues() -> ahocorasick.Automaton:
     """Beginnings of what may hold an address or announce an identity number, in folded text with plain spaces."""
-    automaton = ahocorasick.Automaton()
-    for kind, words in (("address", address_words()), ("id_number", _ID_WORDS)):
+    forms: dict[str, set[str]] = {}
+    for kind, words in (*address_words().items(), ("id_number", _ID_WORDS)):
         for w in words:
-            for form in {w, w.replace(" ", "  ")}:
-                automaton.add_word(form, (kind, len(form)))
+            for form in (w, w.replace(" ", "  ")):
+                forms.setdefault(form, set()).add(kind)
+    automaton = ahocorasick.Automaton()
+    for form, kinds in forms.items():
+        automaton.add_word(form, (tuple(sorted(kinds)), len(form)))
     automaton.make_automaton()
     return automaton
 
 
+def address_stands(text: str, flat: str, place: int, kind: str) -> bool:
+    """Whether an address of this alternative can have its word for a street at a cue: what follows is there, and a number
+    before it where one must be. Capitals are not asked for."""
+    cue, words, number = _FROM_CUE[kind]
+    m = cue.match(text, place)
+    if not m or not words:
+        return bool(m)
+    a = place
+    while a > 0 and flat[a - 1] == " ":
+        a -= 1
+    for _ in range(words):
+        a = flat.rfind(" ", 0, a)
+        while a > 0 and flat[a - 1] == " ":
+            a -= 1
+        if a <= 0:
+            break
+    return bool(number.search(text, max(0, a), m.end() + 1))  # one more, which tells whether the word ends
+
+
 #: Words that an address can reach before and after one of its cue words; words may be of any length.
 WORDS_BEFORE, WORDS_AFTER = 12, 16
 
@@ -331,30 +367,86 @@ def _windows(flat: str, places: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+# ---- classes of characters ------------------------------------------------------------------------------------------
+
+#: Classes by bit, each the set of one character that the patterns ask for.
+DIGIT, CAPITAL, WORD, JOINED, BLANK, STOP, ZERO, LEAD = 1, 2, 4, 8, 16, 32, 64, 128
+_CLASSES = {DIGIT: r"\d", CAPITAL: "[A-ZÀ-Þ]", WORD: r"\w", JOINED: r"[\w.'’&-]", BLANK: r"[^\S ]", STOP: r"[.\s]", ZERO: "0", LEAD: "[+(]"}
+
+
+@cache
+def _mark_table() -> np.ndarray:
+    """The classes of every code point, as the patterns' own sets tell them."""
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for bit, pattern in _CLASSES.items():
+        for m in re.finditer(f"{pattern}+", every):
+            out[m.start() : m.end()] |= bit
+    return out
+
+
+def points(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def marks(text: str) -> np.ndarray:
+    """The classes of the characters of a text, with four of none behind them and one before."""
+    out = np.zeros(len(text) + 5, np.uint8)
+    out[1:-4] = _mark_table()[points(text)]
+    return out
+
+
+def matches_at(pattern: re.Pattern, text: str, places: list[int]):
+    """What ``finditer`` gives of a pattern whose matches all begin at one of these places, in order."""
+    last = 0
+    for p in places:
+        if p >= last and (m := pattern.match(text, p)):
+            yield m
+            last = m.end()
+
+
+def digit_runs(classes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of digits begin that an identity number can have first, and those that a phone number can have first: by
+    their length and what stands beside them, which for runs of up to three is one mark or space and a digit behind it,
+    unless a phone number begins with 0, + or a bracket."""
+    digit = classes & DIGIT
+    edges = np.flatnonzero(digit[1:] != digit[:-1])
+    starts = edges[::2]
+    ends = edges[1::2]
+    sizes = ends - starts
+    parted = classes[ends + 2] & DIGIT > 0
+    ids = (sizes <= 3) & parted | (sizes == 6) | (sizes == 7) | (sizes == 10)
+    phones = (sizes == 3) & parted | ((classes[starts + 1] & ZERO | classes[starts] & LEAD) > 0)
+    return starts[ids].tolist(), starts[phones].tolist()
+
+
 _ADDRESS_HAN = re.compile(r"(?:[一-龥]{2,3}省)?(?:[一-龥]{2,4}[市县])?(?:[一-龥]{2,3}区)?[一-龥]{2,5}(?:路|街|大道|巷)(?:\d+弄)?\d+号(?:\d+[室栋楼]|\d+单元)*|(?:[一-龥]{2,3}[都道府県])?(?:[一-龥]{1,3}[市区郡])?[一-龥]{1,3}[町村]\d+(?:丁目\d+番地?(?:\d+号)?|-\d+(?:-\d+)?)")
+_HAN_NUMBER = re.compile(r"[路街道巷町村]\d")  # what every match of it holds
 _HAN_LEAD = re.compile(r"^.*?(?:住在|位于|地址[是为：:]?|住所は|在(?=..市|..区)|の)")
 
 # ---- names by what stands around them --------------------------------------------------------------------------------
 
 _CAPITAL = r"[a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?"
-# the first letter comes before what must not stand before it, so that the search goes from capital to capital
 _CANDIDATE = re.compile(rf"([A-ZÀ-Þ](?<![\w@.'’&-].){_CAPITAL})((?:\s[A-ZÀ-Þ]\.?(?=\s)){{0,2}})\s([A-ZÀ-Þ]{_CAPITAL})(?![\w@'’&-])")
 # Words with a capital that a name may follow but does not begin with.
 _NOT_FIRST = frozenset("Dear Contact Call Ask Miss Sir Herr Frau Madame Monsieur Colleague".split())
 
 
-def candidates(text: str):
+def candidates(text: str, classes: np.ndarray):
     """Matches of two words with a capital, with initials between them, that may be a name."""
-    m = _CANDIDATE.search(text)
-    while m:
-        if m.group(1) in _NOT_FIRST:
-            m = _CANDIDATE.search(text, m.end(1))
-            continue
-        yield m
-        m = _CANDIDATE.search(text, m.end())
+    match, last = _CANDIDATE.match, 0
+    places = np.flatnonzero(classes[1:] & CAPITAL)
+    for p in places[classes[places] & JOINED == 0].tolist():
+        if p >= last and (m := match(text, p)):
+            if m.group(1) in _NOT_FIRST:
+                last = m.end(1)
+                continue
+            yield m
+            last = m.end()
 
 
-_WORD_BEFORE, _WORD_AFTER = re.compile(r"(\S+)\s*$"), re.compile(r"\s*([^\W\d_]+|\S)")
+_WORD_AFTER = re.compile(r"\s*([^\W\d_]+|\S)")
 #: Log-odds above which surroundings make capitalised words a name, the most that one of them counts, and cases its prior counts for.
 SURE, MOST, DOUBT = 1.3, 4.0, 4.0
 # Words that stand before and after names whatever the texts; each counts for as many cases as the prior.
@@ -364,23 +456,24 @@ _AFTER_NAMES = "said says wrote writes told asked called married replied signed
 
 def surroundings(text: str, m: re.Match) -> list[str]:
     """The features of a candidate: the words before and after it (^ and $ beside a mark or nothing), and its own two."""
-    before = _WORD_BEFORE.search(text, max(0, m.start() - 40), m.start())
+    before = text[max(0, m.start() - 40) : m.start()].rsplit(None, 1)
     after = _WORD_AFTER.match(text, m.end())
-    b = before.group(1).lower() if before else "^"
+    b = before[-1].lower() if before else "^"
     if b[-1] in ".!?:;\"”»)" and b not in _TITLES_DOTTED:
         b = "^"
-    return ["<" + b.lstrip("(\"“«„"), ">" + (after.group(1).lower() if after else "$"), "=" + fold(m.group(1)), "=" + fold(m.group(3))]
+    return ["<" + b.lstrip("(\"“«„"), ">" + (after.group(1).lower() if after else "$"), "=" + _fold_word(m.group(1)), "=" + _fold_word(m.group(3))]
 
 
 _TITLES_DOTTED = {w for w in _BEFORE_NAMES if w.endswith(".")}
 
 
-def known_names(text: str, folded: str) -> tuple[list[tuple[int, int]], list[tuple[re.Match, bool | None]]]:
+def known_names(text: str, folded: str, classes: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[tuple[re.Match, bool | None]]]:
     """The names that lists and formats show, and the candidates: whether such a name covers them, None if in part."""
-    spans = latin_names(text, folded)
+    classes = marks(text) if classes is None else classes
+    spans = latin_names(text, folded, classes)
     marked = sorted(spans)
     out, k = [], 0
-    for m in candidates(text):
+    for m in candidates(text, classes):
         while k < len(marked) and marked[k][1] <= m.start():
             k += 1
         first, last = m.span()
@@ -453,11 +546,13 @@ def surrounded_names(text: str, found: list[tuple[re.Match, bool | None]], model
     """The candidates that no list shows but whose surroundings do."""
     out = []
     for m, named in found:
-        if named or _RUN_AFTER.match(text, m.end()) or _ORG_AFTER.match(text, m.end(1)) or _ORG_AFTER.match(text, m.end()):
-            continue  # told already, one of a run of capitals such as a title, or a body's name
+        if named or _RUN_AFTER.match(text, m.end()):
+            continue  # told already, or one of a run of capitals such as a title
         before, after, *own = (model.get(f, 0.0) for f in surroundings(text, m))
         if max(before, after) + weaker(min(before, after)) + sum(own) < SURE or m.group(1).lower() in _NEVER or m.group(3).lower() in _NEVER:
             continue
+        if _ORG_AFTER.match(text, m.end(1)) or _ORG_AFTER.match(text, m.end()):
+            continue  # a body's name
         if _RUN_BEFORE.search(text, max(0, m.start() - 40), m.start()) or _ORG_BEFORE.search(text, max(0, m.start() - 24), m.start()):
             continue
         if not (_LINE_BEFORE.search(text, max(0, m.start() - 2), m.start()) and _LINE_AFTER.match(text, m.end())):  # a line of its own is a heading
@@ -484,6 +579,7 @@ _BEFORE = re.compile(rf"({_SURNAME})\s+$")
 _MIDDLE = re.compile(r"\s+[^\W\d_](?:\.|(?=[\s,;.)]))(?!\s?[^\W\d_]\.)")
 _INITIALS = re.compile(r"(?<![\w.'’&-])([A-ZÀ-Þ])(?:\.\s?|\s)(?:([A-ZÀ-Þ])(?:\.\s?|\s))?([A-ZÀ-Þ][a-zß-ÿ]{4,}(?:-[A-Z][a-z]+)?)(?![\w@])")
 _SURNAME_INITIALS = re.compile(r"(?<![\w'’-])([A-ZÀ-Þ][a-zß-ÿ]{4,}|[A-ZÀ-Þ]{5,}), ([A-ZÀ-Þ])\.(?:\s?[A-ZÀ-Þ]\.)?(?!\w)")
+_COMMA_INITIAL = re.compile(r", [A-ZÀ-Þ]\.")
 _PLACE_PREPOSITION = re.compile(r"\b(?:in|of|at|near|from|to|reach|made|de|à|en|von|bei|nach|cerca de|près de|between)\s+$", re.I)
 _PLACES = re.compile(r"\b(?:Lake|Port|Pt\.|Fort|Ft\.|Mount|Mt\.|Saint|St\.|Upper|Upr\.|North|Bay of|University of|Univ\. of|Uni of|Association of|Assn\. of|Assoc\. of)[\s-]+([A-ZÀ-Þ][\w-]+)|\b([A-ZÀ-Þ][\w-]+)(?=(?:-|\s+)(?:Bay\b|bay\b|Institute|Instit|Inst\.|Museum|Mus\.|Lab|Academy|Acad|Society|Soc\.|Brothers|Bros|[A-Z]\w+ (?:Company|Comp\.|Co\b|Corp|Limited|Ltd)))")
 _NEVER = set("the a an in on at by to of for from with and or but as is was were dr prof mr mrs ms st sir jr sr according visitors only then when while between after before until under dear call ask questions no not fig vol version inventory records critics flood why how what who was did which yet still later elsewhere moreover eventually however meanwhile nevertheless consequently afterwards nobody perhaps écrire le la les de du en el los am um im an der die das nr sagte dit dijo said told asked that both tel phone and holder".split())
@@ -534,7 +630,9 @@ def given_names(text: str, folded: str) -> list[tuple[int, tuple[str, bool]]]:
     """(last place, (name, whether it is known)) of the given names of a text: known ones in any case, and words with a
     capital that are one typing error off."""
     known, typed, automaton = _givens()
-    slips = [(m.end() - 1, (w, False)) for m in _CAPITAL_WORD.finditer(text) if (w := folded[m.start() : m.end()]) in typed]
+    slips = []
+    if any(_is_slip(w) for w in set(_CAPITAL_WORD.findall(text)) if len(w) <= _LONGEST_SLIP):
+        slips = [(m.end() - 1, (w, False)) for m in _CAPITAL_WORD.finditer(text) if (w := folded[m.start() : m.end()]) in typed]
     found = list(automaton.iter_long(folded))
     return sorted([*found, *slips], key=lambda x: x[0]) if slips else found
 
@@ -553,7 +651,18 @@ def fold(text: str) -> str:
     """Lower case without accents on Latin letters, character by character."""
     if text.isascii():
         return text.lower()
-    return _fold_table()[codes([text])[0]].tobytes().decode("utf-32-le", "surrogatepass")
+    return _fold_table()[points(text)].tobytes().decode("utf-32-le", "surrogatepass")
+
+
+_fold_word = lru_cache(1 << 14)(fold)
+
+
+_LONGEST_SLIP = max(map(len, _GIVEN)) + 1
+
+
+@lru_cache(1 << 15)
+def _is_slip(word: str) -> bool:
+    return fold(word) in _givens()[1]
 
 
 def _same_case(a: str, b: str) -> bool:
@@ -561,8 +670,27 @@ def _same_case(a: str, b: str) -> bool:
     return b[0].isupper() if a[0].isupper() else b.islower()
 
 
-def latin_names(text: str, folded: str) -> list[tuple[int, int]]:
-    """Spans of persons' names in Latin script; ``folded`` is the text in lower case without accents, of equal length."""
+def _initial_places(classes: np.ndarray) -> list[int]:
+    """Where ``_INITIALS`` can begin: at a capital on its own, with another one behind a stop, a space or both."""
+    capital = classes & CAPITAL > 0
+    places = np.flatnonzero(capital[1:-3] & (classes[2:-2] & STOP > 0))
+    return places[(classes[places] & JOINED == 0) & (capital[places + 3] | capital[places + 4])].tolist()
+
+
+def _surnames_with_initials(text: str):
+    """The matches of ``_SURNAME_INITIALS``, looked for from the space before each comma with an initial behind it."""
+    last = 0
+    for c in _COMMA_INITIAL.finditer(text):
+        m = _SURNAME_INITIALS.search(text, max(last, text.rfind(" ", last, c.start()) + 1), c.start() + 8)
+        if m:
+            yield m
+            last = m.end()
+
+
+def latin_names(text: str, folded: str, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spans of persons' names in Latin script; ``folded`` is the text in lower case without accents, of equal length,
+    ``classes`` its ``marks``."""
+    classes = marks(text) if classes is None else classes
     spans: list[tuple[int, int]] = []
     surnames: set[str] = set()
     n = len(text)
@@ -599,10 +727,16 @@ def latin_names(text: str, folded: str) -> list[tuple[int, int]]:
                 surnames.add(s.lower())
                 taken = m.end()
                 continue
-        m = _BEFORE_COMMA.search(text, max(0, a - 40), a)
-        comma = bool(m)
-        if not m and sure and capital:
-            m = _BEFORE.search(text, max(0, a - 40), a)
+        low = max(0, a - 40)
+        stop = low + len(text[low:a].rstrip())
+        if stop == low or stop == a:
+            continue
+        low = max(low, text.rfind(" ", low, stop) + 1)
+        m = None
+        if comma := text[stop - 1] == ",":
+            m = _BEFORE_COMMA.search(text, low, a)
+        elif sure and capital:
+            m = _BEFORE.search(text, low, a)
         if m and m.start() > last and len(m.group(1)) > 3 and m.group(1)[0].isupper() and m.group(1).lower() not in _NEVER and (sure or comma):
             s = m.group(1)
             if not comma and (_ORG_BEFORE.search(text, max(0, m.start() - 24), m.start()) or s.lower() in _LINK_WORDS):
@@ -613,15 +747,17 @@ def latin_names(text: str, folded: str) -> list[tuple[int, int]]:
             surnames.add(s.lower())
             taken = last = stop
     places: set[str] | None = None
-    for p in (_INITIALS, _SURNAME_INITIALS):
-        for m in p.finditer(text):
+    for p, found in ((_INITIALS, matches_at(_INITIALS, text, _initial_places(classes))), (_SURNAME_INITIALS, _surnames_with_initials(text))):
+        for m in found:
             s = m.group(3 if p is _INITIALS else 1)
             low = s.lower()
             if low in _NEVER or fold(low) in _givens()[0] or m.group().lower().endswith(("e.g.", "i.e.", "p.m.", "a.m.")) or _ORG_AFTER.match(text, m.end()):
                 continue
             if low not in surnames:
                 if places is None:
-                    places = {x.lower() for y in _PLACES.finditer(text) for x in y.groups() if x}
+                    words = classes & WORD
+                    edges = np.flatnonzero((classes[1:] & CAPITAL > 0) & (words[1:] != words[:-1]))
+                    places = {x.lower() for y in matches_at(_PLACES, text, edges.tolist()) for x in y.groups() if x}
                 lead = _PERSON_LEAD.search(text, max(0, m.start() - 16), m.start())
                 if low in places or not (p is _INITIALS and m.group(2)) and _PLACE_PREPOSITION.search(text, max(0, m.start() - 14), m.start()):
                     continue
@@ -638,6 +774,22 @@ _PERSON_LEAD = re.compile(r"(?:\b(?:by|under|credit|and|Dr\.|Prof\.|Mr\.|Mrs\.|M
 _OTHER_SCRIPTS = re.compile("[一-龥ァ-ヴऀ-ॿ؀-ۿА-я]")
 
 
+def _occurrences(words: set[str], text: str) -> list[tuple[int, int]]:
+    """Where these words stand, from left to right without overlaps, the longest first."""
+    every = []
+    for w in words:
+        a = text.find(w)
+        while a >= 0:
+            every.append((a, -len(w)))
+            a = text.find(w, a + 1)
+    out, last = [], 0
+    for a, size in sorted(every):
+        if a >= last:
+            last = a - size
+            out.append((a, last))
+    return out
+
+
 def _non_latin_names(text: str) -> list[tuple[int, int]]:
     spans = []
     if not _OTHER_SCRIPTS.search(text):
@@ -648,7 +800,7 @@ def _non_latin_names(text: str) -> list[tuple[int, int]]:
         firm = {x for x in found if len(x) == 3}
         firm |= {x for x in found if len(x) == 2 and not any(y.startswith(x) for y in firm)}
         if firm:
-            spans += [(m.start(), m.end()) for m in re.finditer("|".join(sorted(map(re.escape, firm), key=lambda x: (-len(x), x))), text)]
+            spans += _occurrences(firm, text)
     if "kana" in scripts:
         spans += [(m.start(), m.end()) for m in _NAME_KANA.finditer(text)]
     if "devanagari" in scripts:
@@ -671,7 +823,7 @@ AROUND, STEP = 4000, 1000
 def useless_capitals(text: str, step: int) -> bool:
     """Whether hardly any or most letters around a step of a text are capitals, so that they tell nothing."""
     start = max(0, min(step * STEP - (AROUND - STEP) // 2, len(text) - AROUND))
-    kinds = class_table()[codes([text[start : start + AROUND]])[0]]
+    kinds = class_table()[points(text[start : start + AROUND])]
     letters, upper = int(((kinds >= LOWER) & (kinds <= UNCASED)).sum()), int((kinds == UPPER).sum())
     return upper * 100 < letters or upper * 2 > letters
 
@@ -691,39 +843,45 @@ def find(text: str, model: dict[str, float] | None = None) -> list[tuple[int, in
         if a < b and free(a, b):
             out.append((a, b, kind))
 
-    folded = fold(text)
+    folded, classes = fold(text), marks(text)
     if "@" in text or "＠" in text or "dot" in folded or _BRACKETED_AT.search(text):
         for m in _AT.finditer(text):
             left, right = local_part(text, m.start()), _DOMAIN.match(text, m.end())
             if left is not None and right and (m.group()[0] not in "@＠" or not text[m.start() - 1].isspace() and not right.group()[:1].isspace()):
                 add(left, right.end(), "email")
-    if _DIGIT.search(text):
-        cues: dict[str, list[int]] = {"address": [], "id_number": []}
-        flat = _SPACE.sub(" ", folded)
-        for end, (kind, size) in _cues().iter(flat):
-            cues[kind].append(end - size + 1)
-        for p in sorted(cues["id_number"]):
+    if (classes & DIGIT).any():
+        flat = folded
+        for c in {text[p] for p in np.flatnonzero(classes[1:] & BLANK).tolist()}:
+            flat = flat.replace(c, " ")
+        announced, spots = [], []
+        for end, (kinds, size) in _cues().iter(flat):
+            for kind in kinds:
+                (announced if kind == "id_number" else spots).append((end - size + 1, kind))
+        for p, _ in sorted(announced):
             m = _ID_CUE.match(text, p)
             if m and not _PHONE.fullmatch(m.group(1).strip()) and valid(m.group(1), "id_number"):
                 add(m.start(1), m.end(1), "id_number")
-        runs = [m.start() for m in _DIGITS.finditer(text)]
-        for kind, a, b in (*numbers(text, runs, _ID, "id_number", 3, _ID_LEAD), *numbers(text, runs, _PHONE, "phone", 1, _PHONE_LEAD)):
+        ids, phones = digit_runs(classes)
+        for kind, a, b in (*numbers(text, ids, _ID, "id_number", 3, _ID_LEAD), *numbers(text, phones, _PHONE, "phone", 1, _PHONE_LEAD)):
             if valid(text[a:b], kind):
                 add(a, b, kind)
-        if spots := sorted(cues["address"]):
+        if stands := sorted({p for p, kind in spots if address_stands(text, flat, p, kind)}):
+            spots = sorted(p for p, _ in spots)
             any_case = {k: useless_capitals(text, k) for k in {p // STEP for p in spots}}
             for pattern, told in ((_ADDRESS, False), (_ADDRESS_ANY_CASE, True)):
                 for a, b in _windows(flat, [p for p in spots if any_case[p // STEP] == told]):
-                    for m in pattern.finditer(text, a, b) if _DIGIT.search(text, a, b) else ():
-                        add(m.start(), m.end(), "address")
-        if "号" in text or "町" in text or "村" in text:
+                    k = bisect_left(stands, a)
+                    if k < len(stands) and stands[k] < b:
+                        for m in pattern.finditer(text, a, b):
+                            add(m.start(), m.end(), "address")
+        if _HAN_NUMBER.search(text):
             for m in _ADDRESS_HAN.finditer(text):
                 lead = _HAN_LEAD.match(m.group())
                 add(m.start() + (lead.end() if lead else 0), m.end(), "address")
     out.sort()
     blocked = out[:]
     names: list[tuple[int, int, str]] = []
-    told, others = known_names(text, folded)
+    told, others = known_names(text, folded, classes)
     more = surrounded_names(text, others, _unfitted() if model is None else model)
     if more:  # a part of a name that its initial shows gives way to the whole
         told = [(a, b) for a, b in told if not any(a < y and b > x for x, y in more)]
@@ -739,8 +897,8 @@ def find(text: str, model: dict[str, float] | None = None) -> list[tuple[int, in
 
 
 def numbers(text: str, runs: list[int], pattern: re.Pattern, kind: str, most: int, lead: frozenset[str]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the matches of a pattern that begin at a run of digits or up to ``most`` characters before it,
-    at one of ``lead``, from left to right; that is where all matches of the number patterns begin."""
+    """(kind, start, end) of the matches of a pattern that begin at one of these runs of digits or up to ``most`` characters
+    before it, at one of ``lead``, from left to right; that is where all matches of the number patterns begin."""
     out = []
     match, last = pattern.match, 0
     for p in runs:
@@ -758,8 +916,7 @@ def numbers(text: str, runs: list[int], pattern: re.Pattern, kind: str, most: in
 
 
 _ID_LEAD, _PHONE_LEAD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), frozenset("+(")
-_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
-_SPACE = re.compile(r"\s")
+_DIGIT = re.compile(r"\d")
 
 
 def redact(text: str, key: bytes, model: dict[str, float] | None = None) -> str:
