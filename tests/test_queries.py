@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from lodestrand.plans import queries
 from lodestrand.plans.queries import QUERIES, SQL
 
 
@@ -48,3 +49,14 @@ def test_repeated_and_null_rows(spark, doubled, data, name):
     once = QUERIES[name](spark, data)
     twice = QUERIES[name](spark, doubled)
     assert twice.columns == once.columns and twice.distinct().count() >= once.distinct().count() > 0
+
+
+@pytest.mark.parametrize("name", ["packed_evidence", "direct_evidence"])
+def test_evidence_answers_every_question(spark, tmp_path, monkeypatch, name):
+    """All questions reach the pipeline, whatever their ids."""
+    docs = [(1, "c", 0, "T", "Ada Byron came.")]
+    spark.createDataFrame(docs, "doc_id long, corpus_id string, document_index int, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(7, "c", "Who came?"), (100, "c", "Who left?"), (101, "c", "Who came?"), (102, "c", None)]
+    spark.createDataFrame(asked, "example_id long, corpus_id string, question string").write.parquet(f"{tmp_path}/per_example.parquet")
+    monkeypatch.setattr(queries.pipeline, "answer", lambda index, rows, *a, **k: {"packed": rows})
+    assert sorted(r.query_id for r in QUERIES[name](spark, str(tmp_path)).collect()) == [7, 100, 101]
