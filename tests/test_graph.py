@@ -176,3 +176,25 @@ def test_fact_filter(spark):
         return ["f7", "nope", "f1"]
 
     assert {r.id for r in retrieval.filter_facts(rows, chooser).collect()} == {"f7", "f1"}
+
+
+@pytest.mark.parametrize("steps", [3, None])
+def test_pagerank_in_tasks_and_by_joins(spark, data, monkeypatch, steps):
+    """Arrays of a corpus in one task give what joins give: all scores, the highest, sentences, sums of passages."""
+    index = graph.materialised(graph.build(table(spark, data, "documents")), "edges", "nodes")
+    c = index["nodes"].groupBy("corpus_id").count().orderBy("count", "corpus_id").first()[0]
+    q = spark.createDataFrame([(1, c, (0.6, 0.3, 0.1)), (2, c, (0.1, 0.2, 0.7))], "query_id long, corpus_id string, alpha struct<fact:double,sentence:double,chunk:double>")
+    seeds = index["nodes"].filter((F.col("corpus_id") == c) & (F.col("node_type") == "entity")).limit(2).select(F.lit(1).cast("long").alias("query_id"), "node_id", F.lit(1.0).alias("score"))
+    seeds = spark.createDataFrame(seeds.collect(), seeds.schema)
+    walked = graph.walk(index["edges"], index["nodes"])
+
+    def run(emit, top=0):
+        return {tuple(r)[:2]: [round(float(x), 9) for x in tuple(r)[2:]] for r in graph.pagerank(walked, q, seeds, Config(), steps, emit, top).collect()}
+
+    tasks = {e: run(e) for e in ("all", "sentence", "passages")}
+    best = run("top", 3)
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    assert tasks == {e: run(e) for e in tasks} and len(tasks["all"]) > len(tasks["sentence"]) > 0 < len(tasks["passages"])
+    for n in (1, 2):
+        scores = sorted((v[0] for k, v in tasks["all"].items() if k[0] == n), reverse=True)
+        assert sorted((v[0] for k, v in best.items() if k[0] == n), reverse=True)[:3] == scores[:3] and all(tasks["all"][k] == v for k, v in best.items())
