@@ -198,3 +198,13 @@ def test_pagerank_in_tasks_and_by_joins(spark, data, monkeypatch, steps):
     for n in (1, 2):
         scores = sorted((v[0] for k, v in tasks["all"].items() if k[0] == n), reverse=True)
         assert sorted((v[0] for k, v in best.items() if k[0] == n), reverse=True)[:3] == scores[:3] and all(tasks["all"][k] == v for k, v in best.items())
+
+
+def test_counts_without_edges(spark):
+    """Chunks and degrees of entities from mentions are those from edges, also where chunks share a sentence id."""
+    rows = [(1, "c", 0, "T", "0 0 Ada Byron"), (2, "c", 1, "T 0", "0 Ada Byron"), (3, "c", 2, "U", "Ada Byron met Otto Lee. Otto Lee met Ada Byron in Bath."), (4, "d", 3, "U", "Otto Lee came.")]
+    index = graph.build(spark.createDataFrame(rows, "doc_id long, corpus_id string, document_index int, title string, text string"))
+    assert index["sentences"].filter("ord < 3").select("sentence_id").distinct().count() == 1
+    found = lambda df: sorted(map(tuple, df.collect()))
+    assert found(graph.entity_chunks(index["sentences"], index["mentions"])) == found(graph.chunk_counts(index["edges"], index["nodes"]))
+    assert found(graph.entity_degrees(index["mentions"], index["facts"])) == found(graph.degrees(index["edges"]).filter("node_id like 'entity:%'"))
