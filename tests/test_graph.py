@@ -208,3 +208,9 @@ def test_counts_without_edges(spark):
     found = lambda df: sorted(map(tuple, df.collect()))
     assert found(graph.entity_chunks(index["sentences"], index["mentions"])) == found(graph.chunk_counts(index["edges"], index["nodes"]))
     assert found(graph.entity_degrees(index["mentions"], index["facts"])) == found(graph.degrees(index["edges"]).filter("node_id like 'entity:%'"))
+
+
+def test_contenders(spark):
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate((0.5, 0.5, 0.25, 0.25, 0.25, 0.0))] + [(2, 9, 0.0)], "query_id long, id int, score double")
+    kept = lambda k: {(r.query_id, r.id) for r in retrieval.contenders(rows, ["query_id"], k).collect()}
+    assert kept(2) == {(1, 0), (1, 1), (2, 9)} and kept(3) == kept(5) == {(1, i) for i in range(5)} | {(2, 9)} and len(kept(6)) == 7
